@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, urlfilter
+from . import bpe, pii, secrets, urlfilter
 from .common import table
 
 
@@ -19,9 +19,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal(table(spark, sf_dir, "documents")))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
+    "op8_pii": op8_pii,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
