@@ -58,3 +58,15 @@ def secrets(text: str | None) -> dict:
             out.append((m.start(), 2, m.end(), "hex"))
     n = lambda k: sum(x[3] == k for x in out)
     return {"n_assign": n("assign"), "n_access": n("access"), "n_hex": n("hex"), "base": spans_text(out), "base_sha256": sha(spans_text(out))}
+
+
+def quality(text: str | None) -> dict:
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    seen: dict[tuple, list[int]] = {}
+    for i in range(len(w) - 7):
+        seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+    repeat = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(8)}
+    out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeat)}
+    return out | {"base_failed": len(w) < 20 or 100 * len(repeat) > 30 * len(w)}
