@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality_rules, secrets, urlfilter
+from . import bpe, pii, quality_rules, rule_classifier, secrets, urlfilter
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_classifier.classify(docs, rule_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal(table(spark, sf_dir, "documents")))
 
@@ -34,6 +39,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_secrets": op10_secrets,
