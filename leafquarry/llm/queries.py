@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, pii, quality_rules, rule_classifier, secrets, urlfilter
+from . import bpe, line_dedup, pii, quality_rules, rule_classifier, secrets, urlfilter
 from .common import table
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.url_filter(table(spark, sf_dir, "pages"), urlfilter.DEFAULT_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -37,6 +43,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
     "op7_quality_classifier": op7_quality_classifier,

@@ -70,3 +70,34 @@ def quality(text: str | None) -> dict:
     repeat = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(8)}
     out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeat)}
     return out | {"base_failed": len(w) < 20 or 100 * len(repeat) > 30 * len(w)}
+
+
+def line_dedup(rows: list[tuple[int, str]], min_words: int = 50) -> dict[int, str]:
+    """Delete every line in a run of min_words words or more that stands at an earlier place too; all pairs are tried."""
+    docs = []
+    for i, t in sorted(rows):
+        parts = (t or "").split("\n")
+        docs.append((i, parts, [k for k, p in enumerate(parts) if WORD.search(p)]))
+    places: dict[str, list[tuple[int, int]]] = {}
+    for d, (_, parts, at) in enumerate(docs):
+        for k, p in enumerate(at):
+            places.setdefault(parts[p], []).append((d, k))
+    gone: dict[int, set[int]] = {d: set() for d in range(len(docs))}
+    for d, (_, parts, at) in enumerate(docs):
+        for k in range(len(at)):
+            best = 0
+            for d2, k2 in places[parts[at[k]]]:
+                if (d2, k2) >= (d, k):
+                    continue
+                n, total, ends = 0, 0, docs[d2]
+                while k + n < len(at) and k2 + n < len(ends[2]) and parts[at[k + n]] == ends[1][ends[2][k2 + n]]:
+                    total += len(WORD.findall(parts[at[k + n]]))
+                    n += 1
+                if total >= min_words:
+                    best = max(best, n)
+            if best:
+                gone[d].update(at[k : k + best])
+        for a, b in zip(at, at[1:]):  # wordless lines between two deleted lines go with them
+            if {a, b} <= gone[d]:
+                gone[d].update(range(a, b))
+    return {i: "\n".join(p for k, p in enumerate(parts) if k not in gone[d]) for d, (i, parts, _) in enumerate(docs)}
