@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, pii, quality_rules, rule_classifier, secrets, urlfilter
+from . import bpe, ctw, line_dedup, pii, quality_rules, rule_classifier, secrets, urlfilter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rule_classifier.classify(docs, rule_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
+    "op6_lm_score": op6_lm_score,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,

@@ -101,3 +101,64 @@ def line_dedup(rows: list[tuple[int, str]], min_words: int = 50) -> dict[int, st
             if {a, b} <= gone[d]:
                 gone[d].update(range(a, b))
     return {i: "\n".join(p for k, p in enumerate(parts) if k not in gone[d]) for d, (i, parts, _) in enumerate(docs)}
+
+
+def unigram(rows: list[tuple[int, str]]) -> dict[int, tuple]:
+    """(held_out, n_tokens, n_known, train_tokens, base_score) by id."""
+    import math
+    import zlib
+    from collections import Counter
+
+    tokens = {i: [w for w in WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))] + [None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {i: (held[i], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens.items()}
+
+
+def context_tree(rows: list[tuple[int, str]], depth: int = 4) -> dict[int, float]:
+    """log10 probability of each text, every decision mixed over all depths by recursion."""
+    import math
+    import zlib
+    from collections import defaultdict
+    from functools import lru_cache
+
+    def steps(t):
+        b = bytes(depth) + (t or "").encode() + b"\0"
+        for p in range(depth, len(b)):
+            for i in range(8):
+                yield b[p - depth : p], 1 << i | b[p] >> 8 - i, b[p] >> 7 - i & 1
+
+    counts = defaultdict(lambda: [0, 0])
+    kids = defaultdict(set)
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            for ctx, node, bit in steps(t):
+                for d in range(depth + 1):
+                    counts[ctx[depth - d :], node][bit] += 1
+                    if d:
+                        kids[ctx[depth - d + 1 :], node].add(ctx[depth - d :])
+
+    @lru_cache(None)
+    def weigh(ctx, node):  # (ln of the node's own estimate, ln of the weighted one)
+        a, b = counts[ctx, node]
+        kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        if len(ctx) == depth:
+            return kt, kt
+        deep = sum(weigh(k, node)[1] for k in kids[ctx, node])
+        top = max(kt, deep)
+        return kt, math.log(0.5) + top + math.log(math.exp(kt - top) + math.exp(deep - top))
+
+    def one(ctx, node, d=0):
+        key = (ctx[depth - d :], node)
+        if key not in counts:
+            return 0.5
+        a, b = counts[key]
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return own
+        kt, both = weigh(*key)
+        w = math.exp(math.log(0.5) + kt - both)
+        return w * own + (1 - w) * one(ctx, node, d + 1)
+
+    return {i: sum(math.log10(p if bit else 1 - p) for ctx, node, bit in steps(t) for p in [one(ctx, node)]) for i, t in rows}
