@@ -162,3 +162,35 @@ def context_tree(rows: list[tuple[int, str]], depth: int = 4) -> dict[int, float
         return w * own + (1 - w) * one(ctx, node, d + 1)
 
     return {i: sum(math.log10(p if bit else 1 - p) for ctx, node, bit in steps(t) for p in [one(ctx, node)]) for i, t in rows}
+
+
+def shingles(text: str | None) -> frozenset:
+    w = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+
+def components(rows: list[tuple[int, str]], percent: int) -> dict[int, tuple[int, int]]:
+    """(set size, smallest id reachable) by id, from all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    having: dict[tuple, list[int]] = {}
+    for i, s in sets.items():
+        for x in s:
+            having.setdefault(x, []).append(i)
+    for i, s in sets.items():
+        common: dict[int, int] = {}
+        for x in s:
+            for j in having[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(s), top(i)) for i, s in sets.items()}
