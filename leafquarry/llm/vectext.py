@@ -60,12 +60,16 @@ def chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, n
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of every word; a word never crosses rows."""
+#: True for ASCII that is no letter or digit: separators where punctuation is to be ignored.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of every word, a run of bytes that aren't separators; a word never crosses rows."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     first = np.zeros(len(data) + 1, bool)
     first[offs] = True
     starts = inside.copy()
