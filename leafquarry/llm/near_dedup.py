@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, ship_package
+from .common import Scratch, connected_components, free_name, ship_package
 from .vectext import chunks, lower_ascii, mix, span_hashes, windows, words
 
 SHINGLE, BANDS, ROWS, SKETCH_HASHES, SKETCH_BITS, MARGIN, CHUNK = 5, 28, 4, 512, 2048, 0.09, 256
@@ -168,13 +168,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """(row, id, n_shingles, component_id, kept): component_id is the smallest id reachable over links of percent or more."""
+    """(row, id, n_shingles, component_id, kept, first): component_id is the smallest id reachable over links of percent or
+    more; first marks one row of each group."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "near")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     signed = scratch.write(_signed(src))
-    classes = scratch.write(signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("bands").alias("bands")))
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("lead")
+    classes = scratch.write(signed.where("n > 0").groupBy("cls").agg(lead, F.first("bands").alias("bands")).select("cls", "lead", "lead.row", "bands"))
 
     keys = classes.select("cls", F.explode("bands").alias("key"))
     sizes = scratch.write(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -207,11 +209,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.unionByName(scratch.write(_confirmed(rest, sets, percent)))
     component = connected_components(spark, links, scratch)
 
-    labelled = classes.select("cls", "id").join(component.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("component", "cls").alias("component"))
+    labelled = classes.select("cls", "lead").join(component.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "lead", F.coalesce("component", "cls").alias("component"))
     labelled = scratch.write(labelled)
-    smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    label = scratch.write(labelled.join(smallest, "component").select("cls", "component_id"))
+    smallest = labelled.groupBy("component").agg(F.min("lead").alias("first"))
+    label = scratch.write(labelled.join(smallest, "component").select("cls", "first"))
     out = signed.select("row", "id", "n", "cls").join(label, "cls", "left")
-    found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    out = out.select("row", "id", F.col("n").alias("n_shingles"), found.alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+    first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    out = out.select("row", "id", F.col("n").alias("n_shingles"), first.alias("first"))
+    out = out.select("row", "id", "n_shingles", F.col("first.id").alias("component_id"), F.col("id").eqNullSafe(F.col("first.id")).alias("kept"), (F.col("row") == F.col("first.row")).alias("first"))
+    return out.withColumnRenamed("id", id_col)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The documents with one of each group: the first row of its smallest id. Their own columns, untouched."""
+    row = free_name(docs, "__row")
+    first = near_dedup(docs, id_col, text_col, percent).where("first").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(first, row, "left_semi").drop(row)

@@ -16,7 +16,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85).drop("row")
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85).drop("row", "first")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
