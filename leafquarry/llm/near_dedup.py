@@ -189,7 +189,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = scratch.write(blocks.select("block", F.explode("members").alias("m")).select("block", "m.cls", "m.chunk"))
 
     wanted = blocks.select("cls").distinct().join(classes.select("cls", "row"), "cls")
-    sets = scratch.write(_sketched(src.select("row", "text").join(wanted, "row").select("cls", "text")))
+    sets = scratch.write(_sketched(src.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("cls", "text")))
     sketches = sets.select("cls", "sketch")
     most = most_differing_bits(percent / 100 - MARGIN)
 
@@ -224,4 +224,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with one of each group: the first row of its smallest id. Their own columns, untouched."""
     row = free_name(docs, "__row")
     first = near_dedup(docs, id_col, text_col, percent).where("first").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(first, row, "left_semi").drop(row)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(first.hint("shuffle_hash"), row, "left_semi").drop(row)
