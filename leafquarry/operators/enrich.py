@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_type
 from ..schema import OCR_RESULT
+from ..shipping import ship_package
 from .catalog import Catalog
 
 
@@ -32,6 +33,7 @@ def jobs(catalog: Catalog, redo: bool = False) -> DataFrame:
 
 def run_ocr(work: DataFrame, make_provider: Callable[[], Provider], workers: int = 4) -> DataFrame:
     """(content_id, path, status, error, pages): OK, FAIL or SKIP (no supported type). One failure stops nothing else."""
+    ship_package(work.sparkSession)
 
     def ocr(batches):
         import pandas as pd

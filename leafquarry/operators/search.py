@@ -18,6 +18,7 @@ from ..functions.paths import path_has
 from ..functions.text import fold, java_literal, normalize, word_tokens
 from ..plans import query as Q
 from ..schema import FOUND
+from ..shipping import ship_package
 from .snippet import snippet_udf
 
 DEFAULT_LIMIT, SNIPPET_TOKENS, K1, B, LEAST_IDF = 50, 48, 1.2, 0.75, 1e-6
@@ -222,6 +223,7 @@ def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: O
         found = append_missing(ahead, path_matches(documents, contents, tokens, mode, fetch))
     page = found.orderBy("__late", "rank", "path", "page_index").offset(offset).limit(limit)
     if snippets:
+        ship_package(spark)
         wanted = {i: [(phrase_text(p, i), p.prefix, p.first) for p in Q.phrases(node)] for i in ("word", "trigram")}
         page = page.withColumn("snippet", F.when(F.col("search_source") == "path", F.lit("")).otherwise(snippet_udf(wanted["word"], wanted["trigram"], SNIPPET_TOKENS)("search_text", "search_source")))
         page = page.orderBy("__late", "rank", "path", "page_index")

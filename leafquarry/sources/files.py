@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.paths import matches_any
 from ..functions.text import CONTENT_TYPES
 from ..schema import SCAN
+from ..shipping import ship_package
 
 FOUND = "path string, mtime_ns bigint, size bigint, content_type string"
 # What macOS keeps beside a user's files.
@@ -82,6 +83,7 @@ class FileScan(DataSource):
 
 def scan(spark: SparkSession, paths: list[str], skip_macos: bool = False) -> DataFrame:
     """Every supported file below the paths; a file below two of them comes twice."""
+    ship_package(spark)
     spark.dataSource.register(FileScan)
     return spark.read.format("leafquarry_files").option("roots", "\n".join(paths)).option("skip_macos_metadata", str(skip_macos).lower()).load()
 
