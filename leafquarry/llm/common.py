@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package as ship_package
+
 #: Bytes that separate words everywhere in this subpackage: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -19,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's source to the executors once per application, so that workers can import it anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_leafquarry_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="leafquarry-"), "leafquarry.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(target)
-    sc._leafquarry_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir; a private one only if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
