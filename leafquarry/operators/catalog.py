@@ -155,7 +155,7 @@ class Catalog:
         top = F.broadcast(self.pages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top")))
         named = new.join(old, ["content_id", "page_index"], "left").crossJoin(top)
         fresh = named.where("__id is null")
-        fresh = fresh.withColumn("id", F.col("__top") + numbered(fresh, "content_id", "page_index"))
+        fresh = with_ids(fresh, ["content_id", "page_index"], F.col("__top") + 1)
         same = named.where("__id is not null").withColumn("id", F.col("__id"))
         rows = fresh.unionByName(same).select("id", "content_id", "page_index", "markdown", normalize("markdown").alias("search_text"))
         rest = self.pages.join(new.select("content_id", "page_index"), ["content_id", "page_index"], "left_anti")
@@ -176,9 +176,15 @@ class Catalog:
         return Catalog(contents.select(*self.contents.columns), self.documents, pages.select(*self.pages.columns))
 
 
-def numbered(rows: DataFrame, *order: str) -> Column:
-    """1, 2, ... by order. Used for new rows of one command; they are numbered in one sorted pass."""
-    return F.row_number().over(Window.orderBy(*order))
+def with_ids(rows: DataFrame, keys: list[str], first: Column) -> DataFrame:
+    """rows with `id`: consecutive from first on, the same whenever the plan runs. Rows are dealt into 256 groups by hash
+    and numbered within; only the groups' sizes meet in one place."""
+    held = rows.withColumn("__group", F.pmod(F.xxhash64(*keys), F.lit(256)).cast("int"))
+    sizes = held.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__group", (F.sum("__n").over(Window.orderBy("__group")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__group").orderBy(*keys))
+    out = held.withColumn("__place", place).join(F.broadcast(before), "__group")  # 256 rows at most
+    return out.withColumn("id", (first + F.col("__before") + F.col("__place") - 1).cast("long")).drop("__group", "__before", "__place")
 
 
 def deduplicated_contents(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import within
-from .catalog import Catalog, numbered
+from .catalog import Catalog, with_ids
 
 
 @dataclass(frozen=True)
@@ -64,13 +64,13 @@ def apply(catalog: Catalog, decided: DataFrame, ids: Ids) -> Catalog:
     fresh = readable.join(catalog.contents.select("checksum"), "checksum", "left_anti")
     fresh = fresh.groupBy("checksum").agg(F.min_by(F.struct("page_count", "wants_ocr"), "path").alias("f"))
     fresh = fresh.select("checksum", "f.page_count", F.col("f.wants_ocr").alias("ocr_pending"))
-    fresh = fresh.withColumn("id", F.lit(ids.contents - 1).cast("long") + numbered(fresh, "checksum"))
+    fresh = with_ids(fresh, ["checksum"], F.lit(ids.contents))
     contents = catalog.contents.unionByName(fresh.select(*catalog.contents.columns))
     known = contents.select("checksum", F.col("id").alias("new_content"))
     placed = readable.join(known, "checksum").withColumn("mtime", F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000).cast("long")))
 
     added = placed.where("action = 'new'")
-    added = added.withColumn("id", F.lit(ids.documents - 1).cast("long") + numbered(added, "path"))
+    added = with_ids(added, ["path"], F.lit(ids.documents))
     added = added.select("id", "path", F.col("new_content").alias("content_id"), F.col("mtime").alias("created_at"), F.col("mtime").alias("modified_at"), F.col("mtime_ns").alias("modified_ns"), F.lit(False).alias("deleted"))
     moved = placed.where("action in ('restored', 'updated', 'touched')").select(F.col("document_id").alias("id"), "new_content", "mtime", F.col("mtime_ns").alias("new_ns"))
     gone = decided.where("action = 'deleted'").select(F.col("document_id").alias("id"), F.lit(True).alias("gone"))
