@@ -133,6 +133,11 @@ def rank_pages(pages: DataFrame, node, index: str) -> DataFrame:
     stats = held.agg(F.count(F.lit(1)).alias("__all"), F.avg("__dl").alias("__avg"), *[F.sum((F.coalesce(c, F.lit(0)) > 0).cast("long")).alias(f"__df{k}") for k, c in df_of.items()])
     hit, tf = matched(node, tf_of, list(range(len(all_phrases))))
     rows = held.where(hit).crossJoin(F.broadcast(stats))  # stats is one row
+    return rows.withColumn("rank", bm25(tf)).select(*pages.columns, "rank")
+
+
+def bm25(tf: dict[int, Column]) -> Column:
+    """Negative BM25 from phrase counts and the columns __df<k>, __all, __dl, __avg."""
     rank = F.lit(0.0)
     for k, c in tf.items():
         n = F.col(f"__df{k}")
@@ -140,7 +145,7 @@ def rank_pages(pages: DataFrame, node, index: str) -> DataFrame:
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         c = F.coalesce(c, F.lit(0))
         rank = rank - idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
-    return rows.withColumn("rank", rank).select(*pages.columns, "rank")
+    return rank
 
 
 def _nears(node, seen: list) -> list[tuple[Q.Near, int]]:
@@ -174,11 +179,18 @@ def live(documents: DataFrame, contents: DataFrame) -> DataFrame:
     return documents.where(~F.col("deleted")).select("path", "content_id").join(named, "content_id")
 
 
-def leg(pages: DataFrame, documents: DataFrame, contents: DataFrame, node, index: str, fetch: int) -> DataFrame:
+def leg(pages: DataFrame, documents: DataFrame, contents: DataFrame, node, index: str, fetch: int, postings=None) -> DataFrame:
     """The best rows of one index: (path, page_index, page_count, search_text, rank, search_source)."""
+    source = F.lit("fts" if index == "word" else "trigram").alias("search_source")
+    if index == "word" and postings is not None and not _nears(node, []):
+        from .postings import rank
+
+        best = rank(postings, node).join(live(documents, contents), "content_id").orderBy("rank", "path", "page_index").limit(fetch)
+        texts = with_search_text(pages).select("content_id", "page_index", "search_text")
+        out = texts.join(F.broadcast(best), ["content_id", "page_index"])  # at most fetch rows
+        return out.select("path", "page_index", "page_count", "search_text", "rank", source)
     ranked = rank_pages(with_search_text(pages).select("content_id", "page_index", "search_text"), node, index)
     out = ranked.join(live(documents, contents), "content_id")
-    source = F.lit("fts" if index == "word" else "trigram").alias("search_source")
     return out.select("path", "page_index", "page_count", "search_text", "rank", source).orderBy("rank", "path", "page_index").limit(fetch)
 
 
@@ -203,8 +215,9 @@ def append_missing(found: DataFrame, more: DataFrame) -> DataFrame:
     return found.withColumn("__late", F.lit(0)).unionByName(late.withColumn("__late", F.lit(1)))
 
 
-def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: Options, snippets: bool = True) -> DataFrame:
-    """Ranked results in order: (path, page_index, page_count, snippet, rank, search_source)."""
+def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: Options, snippets: bool = True, postings=None) -> DataFrame:
+    """Ranked results in order: (path, page_index, page_count, snippet, rank, search_source). With a posting table (see
+    postings.py) the word leg reads its terms only."""
     mode = search_mode(options.mode)
     limit = options.limit if options.limit > 0 else DEFAULT_LIMIT
     offset = max(options.offset, 0)
@@ -214,7 +227,7 @@ def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: O
     spark = pages.sparkSession
     if node is None:
         return spark.createDataFrame([], FOUND)
-    found = leg(pages, documents, contents, node, "word", fetch)
+    found = leg(pages, documents, contents, node, "word", fetch, postings)
     if options.trigram:
         found = merge(found, leg(pages, documents, contents, node, "trigram", fetch))
     found = found.withColumn("__late", F.lit(0))

@@ -98,3 +98,15 @@ def test_multi_find(spark):
     parts = library(spark, [FOX, ("/docs/dog.pdf", 1, 0, "dog")])
     rows = search.multi_find(*parts, [Options(query="dog"), Options(query="fox"), Options(query="docs")]).collect()
     assert sorted(r.path for r in rows) == ["/docs/dog.pdf", "/docs/fox.pdf"] and {r.search_source for r in rows} == {"fts"}
+
+
+@pytest.mark.parametrize("raw", ["tax OR gamma", '"report pdf"', "tax NOT alpha", "repo*", "alpha + beta", "^tax", '"&" OR tax', "alpha OR (beta AND nothing)", "tax tax", "nothing"])
+def test_postings(spark, raw, tmp_path):
+    from leafquarry.operators import postings
+
+    pages, docs, contents = library(spark, [(f"/{i}.pdf", 1, 0, t) for i, t in enumerate(TEXTS)])
+    postings.write(postings.build(pages, 8), str(tmp_path), 8)
+    held, node = postings.read(spark, str(tmp_path)), Q.parse(raw)
+    want = {r.content_id: r["rank"] for r in search.rank_pages(pages, node, "word").collect()}
+    got = {r.content_id: r["rank"] for r in postings.rank(held, node, 8).collect()}
+    assert got == pytest.approx(want)
