@@ -26,8 +26,8 @@ from .common import Scratch, ship_package
 from .vectext import chunks, lower_ascii, span_hashes, words
 
 DEPTH = 4
-#: Rows that share a vocabulary table.
-BLOCK_ROWS = 2048
+#: Rows that share a vocabulary table; a text of more characters than LONG has one of its own.
+BLOCK_ROWS, LONG = 8192, 1 << 20
 WORD, GRAM = 0, 1
 
 
@@ -179,7 +179,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     row = F.monotonically_increasing_id()
     src = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
     # a block is BLOCK_ROWS rows in a row of one input split: the upper bits of row are the split's number
-    src = src.select("id", "held", "text", F.expr(f"shiftright(row, 33) * 8589934592L + (row & 8589934591L) div {BLOCK_ROWS}").alias("block"))
+    shared = F.expr(f"shiftright(row, 33) * 8589934592L + (row & 8589934591L) div {BLOCK_ROWS}")
+    src = src.select("id", "held", "text", F.when(F.length("text") > LONG, -1 - F.col("row")).otherwise(shared).alias("block"))
     counted = scratch.write(block_counts(src))
     by_key = scratch.write(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     seen = by_key.where(F.col("kind") == WORD).agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
