@@ -36,7 +36,7 @@ _NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-ɏ‐-‧€]")
 _FULL = regex.compile(PATTERN)
 
 #: Distinct words held for reuse by a task, and bytes of text that are split before their new words are merged.
-CACHE_WORDS, CHUNK_BYTES = 300_000, 6 << 20
+CACHE_WORDS, CHUNK_BYTES = 200_000, 3 << 20
 
 
 def byte_letters() -> dict[int, str]:

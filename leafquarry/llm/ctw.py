@@ -96,9 +96,9 @@ def block_counts(src: DataFrame) -> DataFrame:
                     t = train[lo + a : lo + z].astype(float)
                     for kind, (keys, row) in ((WORD, word_keys(data, offs)), (GRAM, byte_grams(data, offs))):
                         _add(held, kind, keys, t[row])
-                for kind in held:
-                    if len(held[kind]) > 4:
-                        held[kind] = [_merged(held[kind])]
+                    for kind, parts in held.items():  # merge once the new parts outweigh the merged one
+                        if sum(len(p[0]) for p in parts[1:]) > max(1 << 18, len(parts[0][0])):
+                            held[kind] = [_merged(parts)]
         yield from flush()
 
     return src.select("block", "held", "text").mapInArrow(count, "kind byte, block long, key long, n long")

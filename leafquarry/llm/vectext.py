@@ -49,7 +49,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs
 
 
-def chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row end, bytes, offsets from 0) in runs of rows of about limit bytes, one row at least."""
     data, offs = buffers(column)
     lo, n = 0, len(offs) - 1
