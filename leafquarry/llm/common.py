@@ -4,16 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package as ship_package
 
-#: Bytes that separate words everywhere in this subpackage: space and \t \n \v \f \r.
-SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,28 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written intermediate tables. They cut lineage and survive lost executors; drop() frees those no longer read."""
+    """Written intermediate tables. They cut lineage and survive lost executors; free() deletes those no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/leafquarry-{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.base = spark, f"{shared_dir(spark)}/leafquarry-{name}-{uuid.uuid4().hex[:12]}"
+        self.n, self.tables = 0, {}
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._leafquarry_path = path
+        self.tables[path] = out
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def free(self, *keep: DataFrame) -> None:
+        """Delete all tables but keep: only where what is still to run reads those alone."""
         jvm = self.spark._jvm
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._leafquarry_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+        for path, table in list(self.tables.items()):
+            if not any(table is k for k in keep):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                del self.tables[path]
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -61,11 +57,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def n_blocks(df: DataFrame, rows_per_block: int) -> int:
-    """How many blocks of about rows_per_block rows df needs; counts rows of a written or scanned table (metadata only)."""
-    return max(1, -(-df.count() // rows_per_block))
-
-
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node of edges(a, b); component is the smallest node reachable.
 

@@ -190,7 +190,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     nodes = tree(grams.where("n > 0").select("key", "n"), scratch)
     values = gram_scores(grams.select("key"), nodes, scratch)
     values = by_key.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(values.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value"))
-    answers = counted.select("kind", "block", "key").join(scratch.write(values), ["kind", "key"]).select("block", "kind", "key", "value")
+    values = scratch.write(values)
+    scratch.free(counted, values)
+    answers = counted.select("kind", "block", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     total = n_train + 0.1 * (n_distinct + 1)
 
     def score_block(_, texts: pa.Table, known: pa.Table) -> pa.Table:

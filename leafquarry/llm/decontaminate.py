@@ -231,6 +231,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
         counts = df.join(mine.select(F.explode("terms").alias("term")).distinct(), "term")
         index = build([tuple(r) for r in mine.select("id", "text").collect()], n_items, average, {r.term: r.df for r in counts.collect()}, share)
         out = _searched(out, spark.sparkContext.broadcast(index), text_col, leaks_col, question, answer)
+    scratch.free()
     return out
 
 

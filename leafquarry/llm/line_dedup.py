@@ -162,6 +162,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.withColumn(row, F.monotonically_increasing_id())
     runs = later_copies(src.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text")), min_words, scratch)
     spans = scratch.write(runs.groupBy("row").agg(F.collect_list(F.struct("first", "lines")).alias("runs")))
+    scratch.free(spans)
 
     @F.pandas_udf("text string, n_lines int, n_removed int, removed array<string>, emptied boolean")
     def cut(texts, runs):

@@ -213,6 +213,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = scratch.write(labelled)
     smallest = labelled.groupBy("component").agg(F.min("lead").alias("first"))
     label = scratch.write(labelled.join(smallest, "component").select("cls", "first"))
+    scratch.free(signed, label)
     out = signed.select("row", "id", "n", "cls").join(label, "cls", "left")
     first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     out = out.select("row", "id", F.col("n").alias("n_shingles"), first.alias("first"))
