@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, free_name, ship_package
 from .vectext import chunks, lower_ascii, mix, span_hashes, windows, words
 
-SHINGLE, BANDS, ROWS, SKETCH_HASHES, SKETCH_BITS, MARGIN, CHUNK = 5, 28, 4, 512, 2048, 0.09, 256
+SHINGLE, BANDS, ROWS, SKETCH_HASHES, SKETCH_BITS, MARGIN, CHUNK = 5, 28, 4, 512, 2048, 0.09, 1024
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS + SKETCH_HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, BANDS * ROWS + SKETCH_HASHES, dtype=np.uint32)
