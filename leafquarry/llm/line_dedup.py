@@ -164,18 +164,32 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = scratch.write(runs.groupBy("row").agg(F.collect_list(F.struct("first", "lines")).alias("runs")))
     scratch.free(spans)
 
-    @F.pandas_udf("text string, n_lines int, n_removed int, removed array<string>, emptied boolean")
-    def cut(texts, runs):
-        import pandas as pd
-
-        out = []
-        for text, found in zip(texts, runs, strict=True):
-            found = [] if found is None else [(int(x["first"]), int(x["lines"])) for x in found]
-            t, n, gone, spans = cut_lines(text or "", found)
-            out.append((t, n, gone, [f"{a}:{b}" for a, b in spans], gone > 0 and gone == n))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "removed", "emptied"])
-
-    spans = spans.withColumnsRenamed({"row": row, "runs": "__runs"})
-    joined = src.join(spans, row, "left").withColumn("__cut", cut(F.col(text_col), F.col("__runs")))
-    kept = [F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*kept, *[F.col(f"__cut.{c}").alias(free_name(docs, c)) for c in ("n_lines", "n_removed", "removed", "emptied")])
+    spans = spans.withColumnRenamed("row", row)
+    # always by shuffle: the spans grow with the corpus
+    joined = src.join(spans.hint("shuffle_hash"), row, "left").select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], "runs")
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    added = "n_lines int, n_removed int, removed array<string>, emptied boolean"
+    out_names = [*[f"c{k}" for k in range(width)], *[x.split()[0] for x in added.split(", ")]]
+
+    def cut(batches):
+        for b in batches:
+            for lo, hi, data, offs in chunks(b.column(at)):
+                part = b.slice(lo, hi - lo)
+                n_lines = np.bincount(line_bounds(data, offs)[0], minlength=hi - lo)
+                n_gone, removed = np.zeros(hi - lo, np.int64), [[] for _ in range(hi - lo)]
+                texts = part.column(at).fill_null("")
+                hit = np.flatnonzero(part.column(width).is_valid().to_numpy(zero_copy_only=False))
+                if len(hit):
+                    texts = texts.to_pylist()
+                    for k in hit.tolist():
+                        runs = [(x["first"], x["lines"]) for x in part.column(width)[k].as_py()]
+                        texts[k], _, n_gone[k], spans = cut_lines(texts[k], runs)
+                        removed[k] = [f"{x}:{y}" for x, y in spans]
+                    texts = pa.array(texts, pa.string())
+                cols = [*part.columns[:at], texts, *part.columns[at + 1 : width]]
+                cols += [pa.array(n_lines, pa.int32()), pa.array(n_gone, pa.int32()), pa.array(removed, pa.list_(pa.string())), pa.array((n_gone > 0) & (n_gone == n_lines))]
+                yield pa.RecordBatch.from_arrays(cols, names=out_names)
+
+    kinds = [f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(docs.columns)]
+    done = joined.mapInArrow(cut, ", ".join([*kinds, added]))
+    return done.toDF(*docs.columns, *[free_name(docs, x.split()[0]) for x in added.split(", ")])

@@ -58,6 +58,7 @@ def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, n
         hi = min(hi, n)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # idle workers hold on to nothing
 
 
 #: True for ASCII that is no letter or digit: separators where punctuation is to be ignored.
