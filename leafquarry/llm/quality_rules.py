@@ -6,8 +6,9 @@ derives continuation counts, discounts and interpolated probabilities order by o
 sorted hash arrays: each order's keys are hashed to `slot_bits` bits, and where two meet the more frequent gram's value
 stays. That bounds the broadcast model by 2**slot_bits entries an order whatever the corpus; no count is dropped before.
 
-A document's bits per character must lie in its language's band: median -/+ `width` times the distance to the quartiles,
-and at least `least` bits; the quartiles are exact over all documents, to 1/500 bit. So a language's usual prose stays.
+A document's bits per character must lie in its language's band: the median -/+ `width` times the middle distance on
+that side, which is taken times the root of the document's characters, since a mean over more of them scatters less. The
+median is exact over all documents to STEP bits and the distances to 1 %. Nothing but that step widens a band.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is a language of its own; a
 language with one document has a band around it; repeated rows and ids are judged each on its own; an empty table gives
@@ -28,6 +29,7 @@ ORDER = 4
 # Fixed values of the op9 contract.
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
+STEP = 1 / 500  # bits a character
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
@@ -195,16 +197,26 @@ def _folded(table: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slot[order], v[order]
 
 
-def quartiles(scored: DataFrame) -> DataFrame:
-    """(lang, q1, q2, q3) of bits, exact to 1/500, from a histogram of at most some thousand bins a language."""
-    bins = scored.where("n_words > 0").groupBy("lang", F.round(F.col("bits") * 500).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lang")
+def _middle(table: DataFrame, value: Column, *keys: str) -> DataFrame:
+    """(keys..., at): the median of a whole number, from a histogram of at most some thousand bins a key."""
+    bins = table.groupBy(*keys, F.round(value).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys)
     run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    q = lambda share: (F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("bin"))) / 500).alias(f"q{round(share * 4)}")
-    return run.groupBy("lang").agg(q(0.25), q(0.5), q(0.75))
+    return run.groupBy(*keys).agg(F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bin"))).alias("at"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), width: float = 8.0, least: float = 0.5, slot_bits: int = 22) -> DataFrame:
+def bands(scored: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lang, mid, below, above) over all documents with words: the median of bits, and the middle distance from it on
+    either side, times the root of the document's characters."""
+    scored = scored.where("n_words > 0")
+    mid = scratch.write(_middle(scored, F.col("bits") / STEP, "lang").select("lang", (F.col("at") * STEP).alias("mid")))
+    off = scored.join(mid, "lang").withColumn("off", F.col("bits") - F.col("mid")).where(F.abs("off") > STEP / 2)
+    far = _middle(off.withColumn("side", F.col("off") > 0), 100 * F.log(F.abs("off") * F.sqrt("chars")), "lang", "side")
+    side = lambda above: F.max(F.when(F.col("side") == above, F.exp(F.col("at") / 100)))
+    return mid.join(far.groupBy("lang").agg(side(False).alias("below"), side(True).alias("above")), "lang", "left")
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), width: float = 5.0, slot_bits: int = 22) -> DataFrame:
     """(id, keep..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bits, kept) of each document."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -223,20 +235,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 total = np.bincount(row, -m.log2p(gram), hi - lo)
                 bits = total / np.maximum(np.bincount(row, minlength=hi - lo), 1)
                 part = b.slice(lo, hi - lo)
-                cols = [part.column(k) for k in range(len(others) + 1)] + [pa.array(got[k], pa.int64()) for k in names] + [pa.array(bits)]
+                cols = [part.column(k) for k in range(len(others) + 1)] + [pa.array(got[k], pa.int64()) for k in names] + [pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), pa.array(bits)]
                 yield pa.RecordBatch.from_arrays(cols, names=out_names)
 
-    out_names = [f"c{k}" for k in range(len(others))] + ["lang", *names, "bits"]
+    out_names = [f"c{k}" for k in range(len(others))] + ["lang", *names, "chars", "bits"]
     kinds = [docs.schema[c].dataType.simpleString() for c in others]
-    schema = ", ".join([f"c{k} {t}" for k, t in enumerate(kinds)] + ["lang string"] + [f"{k} long" for k in names] + ["bits double"])
+    schema = ", ".join([f"c{k} {t}" for k, t in enumerate(kinds)] + ["lang string"] + [f"{k} long" for k in [*names, "chars"]] + ["bits double"])
     src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     scored = scratch.write(src.mapInArrow(score, schema))
-    bands = scratch.write(quartiles(scored))
+    band = scratch.write(bands(scored, scratch))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    low: Column = F.col("q2") - F.greatest(F.lit(least), width * (F.col("q2") - F.col("q1")))
-    high: Column = F.col("q2") + F.greatest(F.lit(least), width * (F.col("q3") - F.col("q2")))
-    out = scored.join(bands, "lang", "left").withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("bits").between(low, high), F.lit(False)))
+    reach = lambda side: STEP + width * F.coalesce(F.col(side), F.lit(0.0)) / F.sqrt("chars")
+    out = scored.join(band, "lang", "left").withColumn("base_failed", failed)
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("mid") - reach("below"), F.col("mid") + reach("above")), F.lit(False)))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(others)], *names, "base_failed", "bits", "kept")
 
 

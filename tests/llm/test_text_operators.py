@@ -148,6 +148,14 @@ def test_perplexity(spark):
     assert not got[999].kept and not got[999].base_failed and all(got[i].kept for i in range(150))
 
 
+def test_bands_alone_reject_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    by = quality_rules.quality_rules(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("kept")).cast("long")).alias("out"))
+    junk, clean = ({r.quality: (r.n, r.out) for r in by.collect()}[k] for k in (0, 1))
+    assert junk[1] >= 0.2 * junk[0] and clean[1] <= 0.02 * clean[0], (junk, clean)
+
+
 def test_kneser_ney_sums_to_one(spark):
     from leafquarry.llm.common import Scratch
 
