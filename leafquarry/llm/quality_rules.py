@@ -1,10 +1,8 @@
 """Quality rules: counts over words and lines, and perplexity bands of a modified Kneser-Ney character model.
 
 The model has orders 1 to 4 over 16-bit symbols (code points; those beyond 16 bits are hashed into them), so a 4-gram is
-exactly a long. Spark counts the 4-grams of all documents (partial counts are merged per task before the shuffle) and
-derives continuation counts, discounts and interpolated probabilities order by order. The tables are then stored as
-sorted hash arrays: each order's keys are hashed to `slot_bits` bits, and where two meet the more frequent gram's value
-stays. That bounds the broadcast model by 2**slot_bits entries an order whatever the corpus; no count is dropped before.
+exactly a long. Spark counts the 4-grams of blocks of rows and derives continuation counts, discounts, interpolated probabilities
+and back-offs order by order. The tables stay whole, in Spark: each block gets its own grams' values back by a join.
 
 A document's bits per character must lie in its language's band: the median -/+ `width` times the middle distance on
 that side, which is taken times the root of the document's characters, since a mean over more of them scatters less. The
@@ -23,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, ship_package
+from .ctw import BLOCK_ROWS, LONG
 from .vectext import chunks, mix, span_hashes, windows, words
 
 ORDER = 4
@@ -67,7 +66,7 @@ def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     order = np.argsort(keyed)
     s = keyed[order]
     same = np.concatenate([[False], s[1:] == s[:-1], [False]])
-    again = at[order[same[1:] | same[:-1]]]
+    again = at[order[(same[1:] | same[:-1])[: len(s)]]]
     edge = np.bincount(again, minlength=len(row) + 1) - np.bincount(np.minimum(again + WINDOW, len(row)), minlength=len(row) + 1)
     out["n_repeat_words"] = np.bincount(row[np.cumsum(edge)[: len(row)] > 0], minlength=n)
     return out
@@ -90,28 +89,38 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return gram.view(np.int64), row
 
 
-def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, c) over all documents."""
+def gram_counts(src: DataFrame) -> DataFrame:
+    """(block, gram, c): the grams of each block of rows."""
 
     def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
+    def batch(block: int, parts: list) -> pa.RecordBatch:
+        keys, c = merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(c)], names=["block", "gram", "c"])
+
     def count(batches):
         parts: list = []
+        last = None
         for b in batches:
-            for _, _, data, offs in chunks(b.column(0)):
-                parts.append(np.unique(symbols(data, offs)[0], return_counts=True))
-                if len(parts) == 16:
-                    parts = [merged(parts)]
-                    if len(parts[0][0]) > 2_000_000:  # a task's table stays small: hand on what it has
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["gram", "c"])
-                        parts = []
+            blocks = b.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if parts and blocks[lo] != last:
+                    yield batch(last, parts)
+                    parts = []
+                last = blocks[lo]
+                for _, _, data, offs in chunks(b.column("text").slice(lo, hi - lo)):
+                    parts.append(np.unique(symbols(data, offs)[0], return_counts=True))
+                    if len(parts) == 16:
+                        parts = [merged(parts)]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], names=["gram", "c"])
+            yield batch(last, parts)
 
-    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, c long")
-    return partial.groupBy("gram").agg(F.sum("c").alias("c"))
+    return src.select("block", "text").mapInArrow(count, "block long, gram long, c long")
 
 
 def slots(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -119,17 +128,18 @@ def slots(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Model:
-    """Sorted hash arrays: for each order the slots of its grams with log2 p, and of its contexts with log2 of the back-off."""
+    """Sorted hash arrays: for each order the slots of its grams with log2 p, and of its contexts with log2 of the back-off,
+    and the grams themselves. For texts outside the corpus; quality_rules joins the whole tables instead."""
 
     def __init__(self, bits: int):
         self.bits, self.p, self.back = bits, {}, {}
 
-    def _look(self, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    def _look(self, table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
         if not len(table[0]):
             return np.full(len(keys), np.nan)
         s = slots(keys, self.bits)
         at = np.minimum(np.searchsorted(table[0], s), len(table[0]) - 1)
-        return np.where(table[0][at] == s, table[1][at], np.nan)
+        return np.where(table[2][at] == keys, table[1][at], np.nan)
 
     def log2p(self, gram: np.ndarray) -> np.ndarray:
         """log2 p of each 4-gram's last symbol, backing off to lower orders where a gram was never counted."""
@@ -151,15 +161,15 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", slot_bits: int = 22, once: bool = False) -> Model:
-    """The model of all documents. Without `once`, grams and contexts counted once are left to the back-off when scoring:
-    their one place is the text that is scored, which must not vouch for itself."""
-    spark = docs.sparkSession
-    counts = {ORDER: scratch.write(gram_counts(docs, text_col))}
+def tables(counted: DataFrame, scratch: Scratch, once: bool = False):
+    """By order from 1 on: (gram, c, p, score) of all grams and (ctx, total, back) of their contexts; score is log2 of the
+    probability that a text with the gram gets. Without `once`, grams and contexts counted once are left to the back-off
+    when scoring: their one place is the text that is scored, which must not vouch for itself."""
+    counts = {ORDER: scratch.write(counted.groupBy("gram").agg(F.sum("c").alias("c")))}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many one longer grams each stands
         low = counts[n + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
         counts[n] = scratch.write(low)
-    model, lower = Model(slot_bits), None
+    lower = None
     for n in range(1, ORDER + 1):
         t = counts[n]
         of = [x or 0 for x in t.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2, 3, 4)]).first()]
@@ -171,30 +181,40 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", slot_bits:
         ctx = scratch.write(ctx.select("ctx", "total", "back"))
         t = t.join(ctx, "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
         if lower is None:
-            t = t.withColumn("p", F.col("own") + F.col("back") * 2.0**-16)
+            t = t.withColumn("p", F.col("own") + F.col("back") * 2.0**-16).withColumn("score", F.log2("p"))
         else:
-            short = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
+            short = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low"), F.col("score").alias("low_score"))
             t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(short, "suffix")
             t = t.withColumn("p", F.col("own") + F.col("back") * F.col("low"))
-        lower = scratch.write(t.select("gram", "c", "p"))
+            backed = F.when(F.col("total") > 1, F.log2("back")).otherwise(0.0) + F.col("low_score")
+            t = t.withColumn("score", F.log2("p") if once else F.when(F.col("c") > 1, F.log2("p")).otherwise(backed))
+        lower = scratch.write(t.select("gram", "c", "p", "score"))
+        yield lower, ctx
+
+
+def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", slot_bits: int = 22, once: bool = False) -> Model:
+    """The model of all documents as arrays on the driver."""
+    model = Model(slot_bits)
+    counted = gram_counts(docs.select(F.lit(0).cast("long").alias("block"), F.col(text_col).alias("text")))
+    for n, (grams, ctx) in enumerate(tables(counted, scratch, once), 1):
         often = F.lit(True) if once or n == 1 else F.col("w") > 1
-        model.p[n] = _folded(lower.select("gram", F.col("c").alias("w"), F.log2("p").alias("v")).where(often), slot_bits)
+        model.p[n] = _folded(grams.select("gram", F.col("c").alias("w"), F.log2("p").alias("v")).where(often), slot_bits)
         model.back[n] = _folded(ctx.select(F.col("ctx").alias("gram"), F.col("total").alias("w"), F.log2("back").alias("v")).where(often), slot_bits)
     return model
 
 
-def _folded(table: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The table as sorted slots and values; at most 2**bits of them reach the driver."""
+def _folded(table: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table as sorted slots, values and grams; at most 2**bits of them reach the driver."""
 
     def add(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slots(b.column(0).to_numpy(), bits)), b.column(1), b.column(2)], names=["slot", "w", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots(b.column(0).to_numpy(), bits)), *b.columns], names=["slot", "gram", "w", "v"])
 
-    best = table.mapInArrow(add, "slot long, w long, v double").groupBy("slot").agg(F.max(F.struct("w", "v"))["v"].alias("v"))
-    got = best.toArrow()
-    slot, v = got.column("slot").to_numpy(), got.column("v").to_numpy().astype(np.float32)
+    best = table.mapInArrow(add, "slot long, gram long, w long, v double").groupBy("slot").agg(F.max(F.struct("w", "v", "gram")).alias("best"))
+    got = best.select("slot", "best.v", "best.gram").toArrow()
+    slot, v, gram = got.column("slot").to_numpy(), got.column("v").to_numpy().astype(np.float32), got.column("gram").to_numpy()
     order = np.argsort(slot)
-    return slot[order], v[order]
+    return slot[order], v[order], gram[order]
 
 
 def _middle(table: DataFrame, value: Column, *keys: str) -> DataFrame:
@@ -216,33 +236,43 @@ def bands(scored: DataFrame, scratch: Scratch) -> DataFrame:
     return mid.join(far.groupBy("lang").agg(side(False).alias("below"), side(True).alias("above")), "lang", "left")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), width: float = 5.0, slot_bits: int = 22) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), width: float = 5.0) -> DataFrame:
     """(id, keep..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bits, kept) of each document."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "quality")
-    model = spark.sparkContext.broadcast(train(docs, scratch, text_col, slot_bits))
-    scratch.free()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     others = [id_col, *keep]
-
-    def score(batches):
-        m = model.value
-        for b in batches:
-            for lo, hi, data, offs in chunks(b.column("text")):
-                got = measures(data, offs)
-                gram, row = symbols(data, offs)
-                total = np.bincount(row, -m.log2p(gram), hi - lo)
-                bits = total / np.maximum(np.bincount(row, minlength=hi - lo), 1)
-                part = b.slice(lo, hi - lo)
-                cols = [part.column(k) for k in range(len(others) + 1)] + [pa.array(got[k], pa.int64()) for k in names] + [pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), pa.array(bits)]
-                yield pa.RecordBatch.from_arrays(cols, names=out_names)
+    src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    # a block is BLOCK_ROWS rows in a row of one input split: the upper bits of place are the split's number
+    shared = F.expr(f"shiftright(place, 33) * 8589934592L + (place & 8589934591L) div {BLOCK_ROWS}")
+    src = src.withColumn("block", F.when(F.length("text") > LONG, -1 - F.col("place")).otherwise(shared)).drop("place")
+    counted = scratch.write(gram_counts(src))
+    for grams, _ in tables(counted, scratch):
+        values = grams
+    scratch.free(counted, values)
+    answers = counted.select("block", "gram").join(values.select("gram", "score"), "gram").select("block", "gram", "score")
+
+    def score(_, texts: pa.Table, known: pa.Table) -> pa.Table:
+        key, value = known.column("gram").to_numpy(), known.column("score").to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        out: dict[str, list] = {k: [] for k in [*names, "chars", "bits"]}
+        for lo, hi, data, offs in chunks(texts.column("text").combine_chunks()):
+            for k, v in measures(data, offs).items():
+                out[k].append(v)
+            gram, row = symbols(data, offs)
+            total = np.bincount(row, -value[np.searchsorted(key, gram)], hi - lo)
+            out["chars"].append(np.bincount(row, minlength=hi - lo))
+            out["bits"].append(total / np.maximum(out["chars"][-1], 1))
+        cols = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
+        made = [pa.array(cols[k], pa.int64()) for k in [*names, "chars"]] + [pa.array(cols["bits"], pa.float64())]
+        return pa.Table.from_arrays([*[texts.column(k) for k in out_names[: len(others) + 1]], *made], names=out_names)
 
     out_names = [f"c{k}" for k in range(len(others))] + ["lang", *names, "chars", "bits"]
     kinds = [docs.schema[c].dataType.simpleString() for c in others]
     schema = ", ".join([f"c{k} {t}" for k, t in enumerate(kinds)] + ["lang string"] + [f"{k} long" for k in [*names, "chars"]] + ["bits double"])
-    src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    scored = scratch.write(src.mapInArrow(score, schema))
+    scored = scratch.write(src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema))
     band = scratch.write(bands(scored, scratch))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     reach = lambda side: STEP + width * F.coalesce(F.col(side), F.lit(0.0)) / F.sqrt("chars")

@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafquarry.llm import bpe, pii, quality_rules, rule_classifier, secrets, urlfilter
@@ -156,6 +157,20 @@ def test_bands_alone_reject_junk(spark):
     assert junk[1] >= 0.2 * junk[0] and clean[1] <= 0.02 * clean[0], (junk, clean)
 
 
+def test_no_gram_takes_another_ones_value(spark):
+    from leafquarry.llm.common import Scratch
+    from leafquarry.llm.vectext import buffers
+
+    r = np.random.default_rng(4)
+    page = lambda: "".join(map(chr, r.integers(0x4E00, 0x8E00, 1500)))
+    rows = [(i, t) for i, t in enumerate([page() for _ in range(200)] * 2)] + [(999, page())]
+    df = frame(spark, rows).withColumn("lang", F.lit("zh"))
+    exact = quality_rules.train(df, Scratch(spark, "exact"), slot_bits=44)
+    got = {g.doc_id: g.bits for g in quality_rules.quality_rules(df).collect()}
+    for i in (0, 250, 999):
+        assert got[i] == pytest.approx(-exact.log2p(quality_rules.symbols(*buffers(pa.array([dict(rows)[i]])))[0]).mean(), rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one(spark):
     from leafquarry.llm.common import Scratch
 
