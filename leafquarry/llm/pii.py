@@ -1,13 +1,13 @@
 """Personal data by pattern, and information-theoretic sanitisation of the terms around it; DataFrame functions only.
 
-Patterns find e-mail addresses, IP addresses, payment cards (Luhn) and telephone numbers: the protected entities. For
-each entity the words near it are terms. Over the whole corpus
+Patterns find e-mail addresses, IP addresses, payment cards (Luhn) and telephone numbers: the protected entities. The
+words of a document that has an entity are terms. Over the corpus
     pmi(t, e) = log2( p(t, e) / (p(t) * p(e)) )   and   p(e | t) = n(t, e) / n(t),
-where n(t, e) counts the distinct contexts of e with t, n(e) those of e, and n(t) all documents with t. A term discloses
-e where it comes in `min_contexts` distinct contexts of e, p(e | t) >= `disclosure`, and its pmi reaches `share` of e's
-own information -log2 p(e): knowing t then all but gives e away. Near e, such a term is generalised to its kind or removed.
+where n(t, e) and n(e) count distinct texts and n(t) all documents with t. A term discloses e where it comes in `min_contexts` texts with e, p(e | t) is at
+least `disclosure`, and its pmi reaches `share` of e's own information -log2 p(e): knowing t then all but gives e away.
+Such a term is generalised to its kind or removed wherever it stands, in texts without the entity too.
 
-Defined cases: null and empty texts have no spans; equal contexts (copies) count once, so copies alone disclose nothing;
+Defined cases: null and empty texts have no spans; equal texts (copies) count once, so copies alone disclose nothing;
 repeated rows and ids are treated each on its own; an empty table gives an empty result; texts of any length are scanned
 whole; only the id and text columns are read.
 """
@@ -60,50 +60,51 @@ def entity_key(kind: str, match: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.lower(match) if kind in ("email", "ip") else digits(match))
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, min_contexts: int = 3, disclosure: float = 0.5, share: float = 0.8) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.5, share: float = 0.8, min_contexts: int = 3) -> DataFrame:
     """(row, id, email, ip, card, phone, term): arrays of spans in code points of the text; row numbers the input rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    found = src.select("row", "id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    seen = F.struct(F.xxhash64("text").alias("h"), F.crc32(F.encode("text", "UTF-8")).alias("k")).alias("seen")
+    found = src.select("row", "id", "text", seen, *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
     def named(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(entity_key(kind, s["match"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-
-    entities = F.concat(*[named(k) for k in KINDS])
-    with_text = lambda e: F.struct(
-        e["entity"].alias("entity"),
-        F.greatest(e["start"] - reach, F.lit(0)).alias("at"),
-        e["start"].alias("start"),
-        e["end"].alias("end"),
-        F.substring(F.col("text"), F.greatest(e["start"] - reach, F.lit(0)) + 1, e["end"] - F.greatest(e["start"] - reach, F.lit(0)) + reach).alias("context"),
-    )
+        return F.transform(kind, lambda s: entity_key(kind, s["match"]))
+
+    entities = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
     bare = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS}
-    held = scratch.write(found.select("row", "id", *bare.values(), F.transform(entities, with_text).alias("near")))
-
-    near = held.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.*")
-    inside = lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"), F.lower(s["match"]).alias("term"))
-    words = F.transform(find_spans(F.col("context"), TERM), inside)
-    apart = F.filter(words, lambda w: (w["end"] <= F.col("start")) | (w["start"] >= F.col("end")))
-    terms = near.select("row", "entity", F.xxhash64("context").alias("seen"), F.explode(apart).alias("w"))
-    terms = scratch.write(terms.select("row", "entity", "seen", "w.term", "w.start", "w.end"))
-
-    n_te = terms.select("term", "entity", "seen").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= min_contexts)
-    n_te = scratch.write(n_te)
-    n_e = terms.select("entity", "seen").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # n(t) over all documents; partial counts are summed before the shuffle, so a common word costs a row per task
-    every = src.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("term"))
-    n_t = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    held = scratch.write(found.select("row", "id", "seen", *bare.values(), entities.alias("entities")))
+
+    # one row of each distinct text
+    first = held.groupBy("seen").agg(F.min("row").alias("row")).select("row")
+    texts = src.select("row", "text").join(first.hint("shuffle_hash"), "row", "left_semi")
+    words = scratch.write(texts.select("row", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower)).alias("terms")))
+    total = scratch.write(held.agg(F.count(F.lit(1)).alias("total")))
+    bearing = held.where(F.size("entities") > 0).join(first, "row", "left_semi").select("row", "entities")
+    n_e = bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    pairs = words.join(bearing, "row").select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
+    n_te = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"))
+    n_te = scratch.write(n_te.where(F.col("n_te") >= min_contexts))
+    # partial counts are summed before the shuffle, so a common word costs a row per task
+    n_t = src.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = n_te.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))
     pmi = F.log2(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e")))
     flagged = scored.where((F.col("n_te") >= disclosure * F.col("n_t")) & (pmi >= share * F.log2(F.col("total") / F.col("n_e"))))
-    flagged = scratch.write(flagged.select("term", "entity"))
-    scratch.free(held, terms, flagged)
-    hits = terms.join(flagged, ["term", "entity"], "left_semi").select("row", F.struct("start", "end").alias("s"))
-    hits = hits.groupBy("row").agg(F.sort_array(F.collect_set("s")).alias("term"))
+    # a term discloses wherever it stands, so its entities no longer matter
+    flagged = scratch.write(flagged.select("term").distinct())
+    where = words.select("row", F.explode("terms").alias("term")).join(flagged, "term").groupBy("row").agg(F.collect_list("term").alias("terms"))
+    alike = held.select("row", "seen").join(held.groupBy("seen").agg(F.min("row").alias("first")), "seen").select("row", "first")
+    where = scratch.write(alike.join(where.withColumnRenamed("row", "first"), "first").select("row", "terms"))
+    scratch.free(held, where)
+    hits = src.select("row", "text").join(where.hint("shuffle_hash"), "row")
+    hit = F.filter(find_spans(F.col("text"), TERM), lambda w: F.array_contains("terms", F.lower(w["match"])))
+    hits = hits.select("row", F.transform(hit, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("near"))
+    # words of an entity itself are the entity's span
     out = held.select("row", "id", *KINDS).join(hits, "row", "left")
-    return out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>"))).withColumnRenamed("id", id_col)
+    base = F.concat(*KINDS)
+    apart = F.filter(F.col("near"), lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (w["end"] > b["start"])))
+    out = out.select("row", "id", *KINDS, F.coalesce(apart, F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
+    return out.withColumnRenamed("id", id_col)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: bool = False, **settings) -> DataFrame:

@@ -110,6 +110,25 @@ def test_disclosure(spark):
     assert "<email>" in clean[300] and "<term>" in clean[300] and "Zorblax" not in clean[300] and clean[0] == text[0]
 
 
+def _terms(spark, rows):
+    """Per row, the terms that are reported."""
+    text = [t for _, t in rows]
+    got = pii.find_personal(frame(spark, rows).coalesce(1)).select("doc_id", "term").collect()
+    by_id = dict(zip([i for i, _ in rows], text, strict=True))
+    return {g.doc_id: {by_id[g.doc_id][s.start : s.end] for s in g.term} for g in got}
+
+
+def _plain(n, r=random.Random(11)):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(2)) + r.choice(["stone", "river", "cloud"]) for _ in range(n))
+
+
+def test_disclosure_reaches_the_whole_text(spark):
+    rows = [(i, _plain(40)) for i in range(200)]
+    rows += [(300 + i, f"Zorblax {_plain(60)} write to far9@mail.org {_plain(3)}") for i in range(4)] + [(310, f"{_plain(30)} Zorblax {_plain(9)} zorblax")]
+    got = _terms(spark, rows)
+    assert all("Zorblax" in got[i] for i in range(300, 304)) and {"Zorblax", "zorblax"} <= got[310]
+
+
 def test_entropy(spark):
     rows = [(1, "key q7Rt9LxZ2mVb4NcK8wPd here"), (2, "plainwordsonlyandnothingmore"), (3, "123e4567-e89b-12d3-a456-426614174000"), (4, "aaaaaaaaaaaaaaaaaaaaaaaa1"), (5, "some-long-path-of-words-2024"), (6, "9f8a7b6c5d4e3f2a1b0c9d8e7f"), (7, None)]
     got = {g.doc_id: [(s.start, s.end) for s in g.entropy] for g in secrets.scan_secrets(frame(spark, rows)).collect()}
