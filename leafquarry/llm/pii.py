@@ -1,9 +1,9 @@
 """Personal data by pattern, and information-theoretic sanitisation of the terms around it; DataFrame functions only.
 
 Patterns find e-mail addresses, IP addresses, payment cards (Luhn) and telephone numbers: the protected entities. The
-words of a document that has an entity are terms. Over the corpus
+words of a document that has an entity are terms. Over the distinct texts of the corpus
     pmi(t, e) = log2( p(t, e) / (p(t) * p(e)) )   and   p(e | t) = n(t, e) / n(t),
-where n(t, e) and n(e) count distinct texts and n(t) all documents with t. A term discloses e where it comes in `min_contexts` texts with e, p(e | t) is at
+where n counts the texts with t, e or both. A term discloses e where it comes in `min_contexts` texts with e, p(e | t) is at
 least `disclosure`, and its pmi reaches `share` of e's own information -log2 p(e): knowing t then all but gives e away.
 Such a term is generalised to its kind or removed wherever it stands, in texts without the entity too.
 
@@ -75,18 +75,18 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bare = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS}
     held = scratch.write(found.select("row", "id", "seen", *bare.values(), entities.alias("entities")))
 
-    # one row of each distinct text
+    # one row of each distinct text: all counts are over these
     first = held.groupBy("seen").agg(F.min("row").alias("row")).select("row")
     texts = src.select("row", "text").join(first.hint("shuffle_hash"), "row", "left_semi")
     words = scratch.write(texts.select("row", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower)).alias("terms")))
-    total = scratch.write(held.agg(F.count(F.lit(1)).alias("total")))
+    total = scratch.write(first.agg(F.count(F.lit(1)).alias("total")))
     bearing = held.where(F.size("entities") > 0).join(first, "row", "left_semi").select("row", "entities")
     n_e = bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = words.join(bearing, "row").select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
     n_te = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"))
     n_te = scratch.write(n_te.where(F.col("n_te") >= min_contexts))
     # partial counts are summed before the shuffle, so a common word costs a row per task
-    n_t = src.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = n_te.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))
     pmi = F.log2(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e")))
     flagged = scored.where((F.col("n_te") >= disclosure * F.col("n_t")) & (pmi >= share * F.log2(F.col("total") / F.col("n_e"))))

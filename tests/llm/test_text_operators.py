@@ -129,6 +129,13 @@ def test_disclosure_reaches_the_whole_text(spark):
     assert all("Zorblax" in got[i] for i in range(300, 304)) and {"Zorblax", "zorblax"} <= got[310]
 
 
+def test_copies_do_not_hide_a_term(spark):
+    rows = [(i, _plain(40)) for i in range(200)]
+    rows += [(1000 + 10 * k + c, t) for k, t in enumerate(f"{_plain(5)} Zorblax near9@mail.org {_plain(5)}" for _ in range(3)) for c in range(10)]
+    got = _terms(spark, rows)
+    assert all("Zorblax" in got[i] for i in range(1000, 1030))
+
+
 def test_entropy(spark):
     rows = [(1, "key q7Rt9LxZ2mVb4NcK8wPd here"), (2, "plainwordsonlyandnothingmore"), (3, "123e4567-e89b-12d3-a456-426614174000"), (4, "aaaaaaaaaaaaaaaaaaaaaaaa1"), (5, "some-long-path-of-words-2024"), (6, "9f8a7b6c5d4e3f2a1b0c9d8e7f"), (7, None)]
     got = {g.doc_id: [(s.start, s.end) for s in g.entropy] for g in secrets.scan_secrets(frame(spark, rows)).collect()}
