@@ -3,8 +3,9 @@
 Patterns find e-mail addresses, IP addresses, payment cards (Luhn) and telephone numbers: the protected entities. The
 words of a document that has an entity are terms. Over the distinct texts of the corpus
     pmi(t, e) = log2( p(t, e) / (p(t) * p(e)) )   and   p(e | t) = n(t, e) / n(t),
-where n counts the texts with t, e or both. A term discloses e where it comes in `min_contexts` texts with e, p(e | t) is at
-least `disclosure`, and its pmi reaches `share` of e's own information -log2 p(e): knowing t then all but gives e away.
+where n counts the texts with t, e or both. A term discloses e where p(e | t) is at least `disclosure` even at the lower
+end of its confidence interval (Wilson, `z` standard deviations: 1.2816 is 90 % on one side), so that few texts count for
+what they are worth, and its pmi reaches `share` of e's own information -log2 p(e): knowing t then all but gives e away.
 Such a term is generalised to its kind or removed wherever it stands, in texts without the entity too.
 
 Defined cases: null and empty texts have no spans; equal texts (copies) count once, so copies alone disclose nothing;
@@ -60,7 +61,13 @@ def entity_key(kind: str, match: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.lower(match) if kind in ("email", "ip") else digits(match))
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.5, share: float = 0.8, min_contexts: int = 3) -> DataFrame:
+def least_share(n_te: Column, n_t: Column, z: float) -> Column:
+    """The lower end of Wilson's interval of n_te / n_t: what the share is at least, at z standard deviations."""
+    p, zz = n_te / n_t, z * z / n_t
+    return (p + zz / 2 - F.sqrt(zz * (p * (1 - p) + zz / 4))) / (1 + zz)
+
+
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.5, share: float = 0.8, z: float = 1.2816) -> DataFrame:
     """(row, id, email, ip, card, phone, term): arrays of spans in code points of the text; row numbers the input rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
@@ -84,12 +91,13 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_e = bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = words.join(bearing, "row").select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
     n_te = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"))
-    n_te = scratch.write(n_te.where(F.col("n_te") >= min_contexts))
+    # n_t is n_te at least, so the rest can't reach the share at any n_t
+    n_te = scratch.write(n_te.where(least_share(F.col("n_te"), F.col("n_te"), z) >= disclosure))
     # partial counts are summed before the shuffle, so a common word costs a row per task
     n_t = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = n_te.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))
     pmi = F.log2(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e")))
-    flagged = scored.where((F.col("n_te") >= disclosure * F.col("n_t")) & (pmi >= share * F.log2(F.col("total") / F.col("n_e"))))
+    flagged = scored.where((least_share(F.col("n_te"), F.col("n_t"), z) >= disclosure) & (pmi >= share * F.log2(F.col("total") / F.col("n_e"))))
     # a term discloses wherever it stands, so its entities no longer matter
     flagged = scratch.write(flagged.select("term").distinct())
     where = words.select("row", F.explode("terms").alias("term")).join(flagged, "term").groupBy("row").agg(F.collect_list("term").alias("terms"))

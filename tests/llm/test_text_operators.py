@@ -136,6 +136,12 @@ def test_copies_do_not_hide_a_term(spark):
     assert all("Zorblax" in got[i] for i in range(1000, 1030))
 
 
+def test_two_texts_can_disclose(spark):
+    rows = [(i, _plain(40)) for i in range(200)] + [(300, f"{_plain(5)} Zorblax two9@mail.org"), (301, f"two9@mail.org {_plain(4)} Zorblax {_plain(2)}")]
+    got = _terms(spark, rows)
+    assert "Zorblax" in got[300] and "Zorblax" in got[301] and not any(got[i] for i in range(200))
+
+
 def test_entropy(spark):
     rows = [(1, "key q7Rt9LxZ2mVb4NcK8wPd here"), (2, "plainwordsonlyandnothingmore"), (3, "123e4567-e89b-12d3-a456-426614174000"), (4, "aaaaaaaaaaaaaaaaaaaaaaaa1"), (5, "some-long-path-of-words-2024"), (6, "9f8a7b6c5d4e3f2a1b0c9d8e7f"), (7, None)]
     got = {g.doc_id: [(s.start, s.end) for s in g.entropy] for g in secrets.scan_secrets(frame(spark, rows)).collect()}
