@@ -6,7 +6,7 @@ their weights become one column expression. Labels, language, source and id are
 
 Defined cases: null and empty texts have statistics of 0 and get a score like any other; with no usable labels, or only
 one class, every score is the share of label 1 (0.5 without labels); null ids are not held out and have no label; labels
-that repeat for an id count once each; an empty table gives an empty result; texts of any length are read whole.
+that repeat for an id count once each; of rows that repeat an id, the one of the smallest hash of the text is fitted; an empty table gives an empty result; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -152,7 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = usable.where(F.crc32(F.col("__id").cast("string")) % 4 != 2).distinct()
     picked = usable.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample_rows)  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id")
-    sample = with_statistics(texts, F.col("__t"), ["__y"]).limit(2 * sample_rows).select("__s.*", "__y")
+    # one row of each sampled id: where ids repeat, the text of the smallest hash
+    texts = texts.select("__id", "__y", F.coalesce("__t", F.lit("")).alias("__t"))
+    texts = texts.groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("__t").alias("h"), F.col("__t").alias("t")))["t"].alias("__t"))
+    sample = with_statistics(texts, F.col("__t"), ["__y"]).select("__s.*", "__y")
     return fit([tuple(r) for r in sample.collect()], sample.columns[:-1], **settings)
 
 

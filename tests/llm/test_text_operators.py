@@ -229,3 +229,12 @@ def test_classifier(spark):
     for some in (labels.limit(0), labels.where("quality = 1")):
         flat = rule_classifier.classify(docs, rule_classifier.train(docs, some)).select("score").distinct().collect()
         assert len(flat) == 1
+
+
+def test_classifier_takes_one_row_of_each_id(spark):
+    rows = [(i, "tree river stone " * (3 + i % 5) if i % 2 else "a### b$$$ " * (3 + i % 5)) for i in range(40)]
+    hot = [(1, f"copy {k} of a hot id " * 4) for k in range(500)]
+    docs, labels = frame(spark, rows + hot), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = [rule_classifier.train(d, labels, sample_rows=40) for d in (docs.repartition(3), docs.orderBy(F.desc("text")).coalesce(1))]
+    least = docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    assert models[0] == models[1] == rule_classifier.train(least, labels, sample_rows=40)
