@@ -1,11 +1,16 @@
-"""Helpers that several operators share: durable intermediate tables, code shipping, column hygiene, components."""
+"""Helpers that several operators share: durable intermediate tables, row identity, blocks of text, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package as ship_package
@@ -16,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; a private one only if unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a local master, whose one
+    process is driver and executor, gets a private one where it is unset; a cluster without one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leafquarry-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -57,28 +65,122 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def settled(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with rows that can be told apart however often they are read: docs itself where it is columns and filters of
+    files, a written copy of it otherwise."""
+    plan = docs._jdf.queryExecution().analyzed()
+    same = plan.deterministic()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return docs if same and plan.nodeName() == "LogicalRelation" else scratch.write(docs)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A row's identity: its file (64 bits of the path) and its place there, which no split or executor changes. docs must
+    be settled()."""
+    source = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(source["file_path"]).alias("file"), source["row_index"].alias("at"))
+
+
+def packed(src: DataFrame, text: str, halves: str | None, block_bytes: int, pack_bytes: int = 1 << 20) -> DataFrame:
+    """(block, pack): the rows of src in compressed packs of about pack_bytes of text; packs share a block up to about
+    block_bytes (one row at least). With halves, a column of 0 and 1, a block's rows have one value of it, which is the
+    block number's last bit. Written once, all later steps read the same blocks; a task holds one open pack for each half."""
+
+    def run(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        open_: dict[int, list] = {h: [[], 0, None, 0] for h in (0, 1)}  # batches, bytes, block, bytes in the block
+
+        def close(h: int) -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            held, size, block, used = open_[h]
+            if not held:
+                return
+            if block is None or used + size > block_bytes:
+                block, used, made = (part << 32 | made) << 1 | h, 0, made + 1
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            open_[h] = [[], 0, block, used + size]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "pack"])
+
+        for batch in batches:
+            side = batch.column(halves).to_numpy(zero_copy_only=False) if halves else np.zeros(len(batch), np.int64)
+            for h in (0, 1):
+                b = batch.filter(pa.array(side == h)) if halves else batch.slice(0, len(batch) * (h == 0))
+                # a row counts for some bytes besides its text, so that empty ones fill a pack too
+                sizes = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(text)).cast(pa.int64()).fill_null(0).to_numpy() + 64)])
+                lo = 0
+                while lo < len(b):
+                    room = max(pack_bytes - open_[h][1], 0)
+                    hi = int(np.searchsorted(sizes, sizes[lo] + room, "right")) - 1
+                    if hi <= lo and open_[h][0]:
+                        yield from close(h)
+                        continue
+                    hi = max(hi, lo + 1)
+                    open_[h][0].append(b.slice(lo, hi - lo))
+                    open_[h][1] += int(sizes[hi] - sizes[lo])
+                    lo = hi
+        for h in (0, 1):
+            yield from close(h)
+
+    return src.mapInArrow(run, "block long, pack binary")
+
+
+def unpack(pack: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pack).read_all()
+
+
+def by_block(batches: Iterator[pa.RecordBatch], column: str = "block") -> Iterator[tuple[int, pa.Table]]:
+    """(block, its rows) from batches that come in the order of the block."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        at = b.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            if held and at[lo] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = int(at[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node of edges(a, b); component is the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour, jumps once, and contracts the edges; nodes that still have
-    an edge at least halve, so the rounds are logarithmic. Hot nodes are only ever aggregated by min (map-side first)
-    or joined between two exchanges, which adaptive execution can split. No edge or label reaches the driver.
-    """
+    Each round gives the nodes new random priorities, hooks every node to the neighbour (or itself) of the least, jumps
+    until every node names its root, and contracts the edges to roots. A node with an edge is a root only where it has the
+    least priority of its neighbourhood, so in expectation at least half of them go in each round, and the chains to a
+    root, of falling priorities, are logarithmic too. Hot nodes are only ever aggregated by min (map-side first) or joined
+    between two exchanges, which adaptive execution can split. No edge or label reaches the driver."""
     left = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    labels = None
+    labels, salt = None, 0
     while not left.isEmpty():
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        hook = scratch.write(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up")))
-        up2 = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jump = scratch.write(hook.join(up2, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
+        salt += 1
+        rated = lambda c: F.struct(F.xxhash64(c, F.lit(salt)).alias("p"), F.col(c).alias("up"))  # noqa: B023, E731
+        both = left.select(F.col("a").alias("node"), rated("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), rated("a").alias("near")))
+        least = both.groupBy("node").agg(F.min("near").alias("near"))
+        hook = scratch.write(least.select("node", F.least("near", rated("node"))["up"].alias("up")))
+        while True:
+            up2 = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            hook = scratch.write(hook.join(up2, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            if hook.where("moved").isEmpty():
+                break
+        hook = hook.select("node", "up")
         if labels is None:
-            labels = jump.select("node", F.col("up").alias("component"))
+            labels = hook.select("node", F.col("up").alias("root"))
         else:
-            step = jump.select(F.col("node").alias("component"), "up")
-            labels = scratch.write(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        to_a = jump.select(F.col("node").alias("a"), F.col("up").alias("x"))
-        to_b = jump.select(F.col("node").alias("b"), F.col("up").alias("y"))
+            step = hook.select(F.col("node").alias("root"), "up")
+            labels = scratch.write(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        to_a = hook.select(F.col("node").alias("a"), F.col("up").alias("x"))
+        to_b = hook.select(F.col("node").alias("b"), F.col("up").alias("y"))
         left = scratch.write(left.join(to_a, "a").join(to_b, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    return scratch.write(labels.join(least, "root").select("node", "component"))
