@@ -194,3 +194,55 @@ def components(rows: list[tuple[int, str]], percent: int) -> dict[int, tuple[int
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+def leaks(docs: list[tuple[int, str]], items: list[tuple[int, str]], piece_words: int, share: float = 0.5, part: float = 0.5) -> list[tuple]:
+    """(doc, item, question overlap, answer overlap): BM25 of every passage for every piece of an item, then the overlaps."""
+    import math
+    from collections import Counter
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    held = [(i, t, words(t)) for i, t in items if words(t)]
+    df = Counter(w for _, _, ws in held for w in set(ws))
+    average = sum(len(ws) for _, _, ws in held) / len(held)
+
+    def impacts(ws):
+        return {w: math.log1p((len(held) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / average)) for w, n in Counter(ws).items()}
+
+    def runs(ws, n):
+        return {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+
+    def overlap(g, ws):
+        if not g:
+            return 1.0
+        wanted = runs(g, min(3, len(g)))
+        own = runs(ws, min(3, len(ws)))
+        if len(wanted) == 1:
+            own = set().union(*(runs(ws, m) for m in range(1, min(3, len(ws)) + 1)))
+        return len(wanted & own) / len(wanted)
+
+    pieces = []
+    for k, (_, _, ws) in enumerate(held):
+        n = -(-len(ws) // piece_words)
+        cuts = [0]
+        for j in range(n):
+            cuts.append(cuts[-1] + len(ws) // n + (j < len(ws) % n))
+        pieces += [(k, n, ws[a:b]) for a, b in zip(cuts, cuts[1:])]
+    stride = max(32, max(len(p) for _, _, p in pieces))
+    out = set()
+    for d, text in docs:
+        ws = words(text)
+        for lo in range(0, len(ws) + 1, stride):
+            here = set(ws[lo : lo + 2 * stride])
+            for k, n, p in pieces:
+                each = impacts(p)
+                if sum(v for w, v in each.items() if w in here) >= share * sum(each.values()) * (1 - 1e-9) and here:
+                    i, t, own = held[k]
+                    around = len(own) if n > 1 else 0
+                    passage = ws[max(lo - around, 0) : lo + 2 * stride + around]
+                    sentences = [x for x in re.split(r"(?<=[.!?])\s+", t) if words(x)]
+                    q, a = (words(" ".join(sentences[:-1])), words(sentences[-1])) if len(sentences) > 1 else (own[: len(own) // 2], own[len(own) // 2 :])
+                    found = overlap(q, passage), overlap(a, passage)
+                    if min(found) >= part:
+                        out.add((d, i, k))
+    return [(d, i) for d, i, _ in out]

@@ -116,7 +116,9 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(df, items.limit(0)).count() == 0 and decontaminate.leaks(df.limit(0), items).count() == 0
 
 
-def test_search_loses_nothing():
+@pytest.mark.parametrize("step", [64, 1 << 20])
+def test_search_loses_nothing(monkeypatch, step):
+    monkeypatch.setattr(decontaminate, "STEP", step)
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(f"t{x}" for x in rng.zipf(1.3, 25) % 300)) for i in range(120)]
     df: dict[int, int] = {}
@@ -129,13 +131,38 @@ def test_search_loses_nothing():
     got = set(zip(*(x.tolist() for x in decontaminate.search(ix, passage, term)[:2]), strict=True))
     want = set()
     for p in range(150):
-        score = np.zeros(len(ix.ids))
+        score = np.zeros(len(ix.need))
         for t in term[passage == p]:
-            score[ix.item[ix.first[t] : ix.first[t + 1]]] += ix.impact[ix.first[t] : ix.first[t + 1]]
+            own = slice(ix.block_at[ix.block_first[t]], ix.block_at[ix.block_first[t + 1]])
+            score[ix.piece[own]] += ix.impact[own]
         want |= {(p, int(k)) for k in np.flatnonzero(score >= ix.need)}
     assert got == want and want
 
 
+def test_leaks_against_all_pairs(spark, monkeypatch):
+    """Several shards, long items (in pieces, judged whole), repeated items, items without words."""
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 40)
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(150)]
+    some = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, some(r.randrange(4, 30)) + r.choice([". ", " "]) + some(r.randrange(1, 9)) + ".") for i in range(25)]
+    items += [(25, some(41)), (26, some(60) + ". " + some(25)), (27, some(200)), (3, items[4][1]), (3, items[4][1]), (30, None), (31, " ... ")]
+    rows = []
+    for i in range(70):
+        parts = [some(r.randrange(0, 120))]
+        if r.random() < 0.7:
+            w = r.choice(items[:30])[1].split()
+            a = r.choice([0, 0, len(w) // 3, len(w) // 2])
+            w = w[a:] if r.random() < 0.5 else w[: len(w) - a]
+            parts += [" ".join(x if r.random() < 0.93 else r.choice(vocabulary) for x in w), some(r.randrange(0, 60))]
+        rows.append((i, " ".join(parts)))
+    found = decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = sorted((g.doc_id, g.item_id, round(g.question_overlap, 6), round(g.answer_overlap, 6)) for g in found)
+    want = sorted(brute.leaks(rows, items, 40))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(want) > 15 and {26, 27} & {w[1] for w in want}
+
+
 def test_scores(spark):
     r = random.Random(5)
     rows = [(i, "".join(r.choice(["the ", "cat ", "A", "é", "\n", "dog"]) for _ in range(r.randrange(0, 12)))) for i in range(100)] + [(900, None), (901, "")]
