@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,53 +81,122 @@ def row_key(docs: DataFrame) -> Column:
     return F.struct(F.xxhash64(source["file_path"]).alias("file"), source["row_index"].alias("at"))
 
 
-def packed(src: DataFrame, text: str, halves: str | None, block_bytes: int, pack_bytes: int = 1 << 20) -> DataFrame:
-    """(block, pack): the rows of src in compressed packs of about pack_bytes of text; packs share a block up to about
-    block_bytes (one row at least). With halves, a column of 0 and 1, a block's rows have one value of it, which is the
-    block number's last bit. Written once, all later steps read the same blocks; a task holds one open pack for each half."""
+#: Rows of a file that share a block, and the characters from which a text has a block of its own.
+BLOCK_ROWS, LONG = 8192, 1 << 18
+
+
+def block_of(docs: DataFrame, text: Column, *apart: Column) -> Column:
+    """A number that BLOCK_ROWS rows in a row of one file share, those alike in `apart`; a long text has its own. It depends
+    on the rows alone, so all readings agree on it; docs must be settled()."""
+    at = row_key(docs)
+    return F.when(F.length(text) > LONG, F.xxhash64(at["file"], at["at"], F.lit(1), *apart)).otherwise(F.xxhash64(at["file"], F.floor(at["at"] / BLOCK_ROWS), F.lit(0), *apart))
+
+
+def packed(src: DataFrame, text: str, pack_bytes: int = 1 << 20) -> DataFrame:
+    """(block, pack): the rows of src, by its column block, in compressed packs of about pack_bytes of text, one row at
+    least. So texts travel to their block in some two thirds of their size as files, and are read there pack by pack."""
 
     def run(batches):
-        part, made = TaskContext.get().partitionId(), 0
-        open_: dict[int, list] = {h: [[], 0, None, 0] for h in (0, 1)}  # batches, bytes, block, bytes in the block
-
-        def close(h: int) -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            held, size, block, used = open_[h]
-            if not held:
-                return
-            if block is None or used + size > block_bytes:
-                block, used, made = (part << 32 | made) << 1 | h, 0, made + 1
+        waiting: dict[int, list] = {}
+
+        def close(block: int) -> pa.RecordBatch:
+            held, _ = waiting.pop(block)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                 out.write_table(pa.Table.from_batches(held).combine_chunks())
-            open_[h] = [[], 0, block, used + size]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "pack"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "pack"])
 
         for batch in batches:
-            side = batch.column(halves).to_numpy(zero_copy_only=False) if halves else np.zeros(len(batch), np.int64)
-            for h in (0, 1):
-                b = batch.filter(pa.array(side == h)) if halves else batch.slice(0, len(batch) * (h == 0))
+            blocks, of = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            for k, block in enumerate(blocks.tolist()):
+                b = batch.take(pa.array(np.flatnonzero(of == k))) if len(blocks) > 1 else batch
                 # a row counts for some bytes besides its text, so that empty ones fill a pack too
                 sizes = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(text)).cast(pa.int64()).fill_null(0).to_numpy() + 64)])
                 lo = 0
                 while lo < len(b):
-                    room = max(pack_bytes - open_[h][1], 0)
-                    hi = int(np.searchsorted(sizes, sizes[lo] + room, "right")) - 1
-                    if hi <= lo and open_[h][0]:
-                        yield from close(h)
+                    held = waiting.setdefault(block, [[], 0])
+                    hi = int(np.searchsorted(sizes, sizes[lo] + max(pack_bytes - held[1], 0), "right")) - 1
+                    if hi <= lo and held[0]:
+                        yield close(block)
                         continue
                     hi = max(hi, lo + 1)
-                    open_[h][0].append(b.slice(lo, hi - lo))
-                    open_[h][1] += int(sizes[hi] - sizes[lo])
+                    held[0].append(b.slice(lo, hi - lo))
+                    held[1] += int(sizes[hi] - sizes[lo])
                     lo = hi
-        for h in (0, 1):
-            yield from close(h)
+            while len(waiting) > 16:
+                yield close(next(iter(waiting)))
+        for block in list(waiting):
+            yield close(block)
 
     return src.mapInArrow(run, "block long, pack binary")
 
 
-def unpack(pack: bytes) -> pa.Table:
-    return pa.ipc.open_stream(pack).read_all()
+def with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each block's answers (block, kind, key, value) and then its packs, in one partition, for each_pack()."""
+    known = answers.select("block", "kind", "key", "value", F.lit(None).cast("binary").alias("pack"))
+    texts = packs.select("block", F.lit(127).cast("byte").alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "pack")
+    return known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+
+
+def each_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, tuple[np.ndarray, np.ndarray]], pa.Table]]:
+    """(known, rows) of each pack; known: by kind, the block's keys, sorted, and their values. Only these and one pack are
+    held at a time, so a block's texts may be of any size."""
+    block, parts, known = None, {}, {}
+    for b in batches:
+        blocks, kinds = b.column("block").to_numpy(), b.column("kind").to_numpy()
+        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+            if hi == lo:
+                continue
+            if blocks[lo] != block:
+                block, parts, known = blocks[lo], {}, {}
+            part = b.slice(lo, hi - lo)
+            if kinds[lo] != 127:
+                parts.setdefault(int(kinds[lo]), []).append((part.column("key").to_numpy(), part.column("value").to_numpy()))
+                continue
+            for kind, held in parts.items():
+                key, value = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                order = np.argsort(key)
+                known[kind] = key[order], value[order]
+            parts = {}
+            for pack in part.column("pack"):
+                yield known, pa.ipc.open_stream(pack.as_py()).read_all().combine_chunks()
+
+
+def counted_by_block(src: DataFrame, parts_of, schema: str) -> DataFrame:
+    """Rows (block, kind, key, n): for each block, the keys that parts_of(batch) counts, summed within a task. parts_of
+    yields (kind, sorted distinct keys, counts)."""
+
+    def run(batches):
+        held: dict[int, dict[int, list]] = {}
+
+        def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+            if len(parts) == 1:
+                return parts[0]
+            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+        def flush(block: int) -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.pop(block).items():
+                keys, n = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(n)], names=["block", "kind", "key", "n"])
+
+        for batch in batches:
+            blocks, of = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            for k, block in enumerate(blocks.tolist()):
+                own = held.pop(block, {})
+                held[block] = own  # the latest at the end
+                for kind, keys, n in parts_of(batch.take(pa.array(np.flatnonzero(of == k))) if len(blocks) > 1 else batch):
+                    parts = own.setdefault(kind, [])
+                    parts.append((keys, n))
+                    if sum(len(p[0]) for p in parts[1:]) > max(1 << 18, len(parts[0][0])):  # the new parts outweigh the merged one
+                        own[kind] = [merged(parts)]
+            while len(held) > 4:  # a block that comes again has rows twice, which sum
+                yield from flush(next(iter(held)))
+        for block in list(held):
+            yield from flush(block)
+
+    return src.mapInArrow(run, schema)
 
 
 def by_block(batches: Iterator[pa.RecordBatch], column: str = "block") -> Iterator[tuple[int, pa.Table]]:

@@ -6,11 +6,12 @@ half with the product of its children (deeper contexts), bottom-up; the weights
 depths top-down into one probability for each decision. Texts end with a zero byte and begin after DEPTH of them.
 
 Nothing about the corpus is gathered in one place: counts are per (block of rows, key), summed by key, and each block's
-own words and byte strings are sent back to it with their values, so a task holds one block's vocabulary only.
+own words and byte strings are sent back to it with their values. A block's texts come in packs, one at a time, so a task
+holds one block's vocabulary and a pack.
 
 Defined cases: null and empty texts have one token, the end; a null id is not held out; with no training texts every
-estimate is uniform; repeated rows and ids are scored each on its own; rows are told apart by their place in the input,
-which must read the same twice, as files do; an empty table gives an empty result; texts of any length are read whole.
+estimate is uniform; repeated rows and ids are scored each on its own; an empty table gives an empty result; texts of any
+length are read whole; blocks go by file and place (input that is no file is written once).
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, block_of, counted_by_block, each_pack, packed, settled, ship_package, with_answers
 from .vectext import chunks, lower_ascii, span_hashes, words
 
 DEPTH = 4
-#: Rows that share a vocabulary table; a text of more characters than LONG has one of its own.
-BLOCK_ROWS, LONG = 8192, 1 << 20
 WORD, GRAM = 0, 1
 
 
@@ -56,52 +55,17 @@ def word_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(low, start, end).view(np.int64), row
 
 
-def _add(held: dict, kind: int, keys: np.ndarray, train: np.ndarray) -> None:
-    u, at = np.unique(keys, return_inverse=True)
-    held[kind].append((u, np.bincount(at, train, len(u)).astype(np.int64)))
-
+def block_counts(src: DataFrame) -> DataFrame:
+    """(block, kind, key, n): the words and grams of each block of rows, and how often its training texts have them."""
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return u, np.bincount(at, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
+    def parts(batch: pa.RecordBatch):
+        train = (~batch.column("held").to_numpy(zero_copy_only=False)).astype(float)
+        for lo, _, data, offs in chunks(batch.column("text")):
+            for kind, (keys, row) in ((WORD, word_keys(data, offs)), (GRAM, byte_grams(data, offs))):
+                u, at = np.unique(keys, return_inverse=True)
+                yield kind, u, np.bincount(at, train[lo + row], len(u)).astype(np.int64)
 
-
-def block_counts(src: DataFrame) -> DataFrame:
-    """(kind, block, key, n): the words and grams of each block of rows, and how often its training texts have them."""
-
-    def count(batches):
-        block, held = None, {WORD: [], GRAM: []}
-
-        def flush():
-            for kind, parts in held.items():
-                if parts:
-                    keys, n = _merged(parts)
-                    size = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), pa.array(np.full(size, block)), pa.array(keys), pa.array(n)], names=["kind", "block", "key", "n"])
-                    held[kind] = []
-
-        for b in batches:
-            blocks, train = b.column("block").to_numpy(), ~b.column("held").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                if block is not None and blocks[lo] != block:
-                    yield from flush()
-                block = blocks[lo]
-                part = b.slice(lo, hi - lo)
-                for a, z, data, offs in chunks(part.column("text")):
-                    t = train[lo + a : lo + z].astype(float)
-                    for kind, (keys, row) in ((WORD, word_keys(data, offs)), (GRAM, byte_grams(data, offs))):
-                        _add(held, kind, keys, t[row])
-                    for kind, parts in held.items():  # merge once the new parts outweigh the merged one
-                        if sum(len(p[0]) for p in parts[1:]) > max(1 << 18, len(parts[0][0])):
-                            held[kind] = [_merged(parts)]
-        yield from flush()
-
-    return src.select("block", "held", "text").mapInArrow(count, "kind byte, block long, key long, n long")
+    return counted_by_block(src.select("block", "held", "text"), parts, "block long, kind byte, key long, n long")
 
 
 def log_gamma(x: Column) -> Column:
@@ -176,11 +140,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "ctw")
-    row = F.monotonically_increasing_id()
-    src = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
-    # a block is BLOCK_ROWS rows in a row of one input split: the upper bits of row are the split's number
-    shared = F.expr(f"shiftright(row, 33) * 8589934592L + (row & 8589934591L) div {BLOCK_ROWS}")
-    src = src.select("id", "held", "text", F.when(F.length("text") > LONG, -1 - F.col("row")).otherwise(shared).alias("block"))
+    docs = settled(docs, scratch)
+    source = dict(scratch.tables)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), text.alias("text"), block_of(docs, text).alias("block"))
     counted = scratch.write(block_counts(src))
     by_key = scratch.write(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     seen = by_key.where(F.col("kind") == WORD).agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
@@ -191,33 +154,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     values = gram_scores(grams.select("key"), nodes, scratch)
     values = by_key.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(values.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value"))
     values = scratch.write(values)
-    scratch.free(counted, values)
+    scratch.free(counted, values, *source.values())
     answers = counted.select("kind", "block", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     total = n_train + 0.1 * (n_distinct + 1)
 
-    def score_block(_, texts: pa.Table, known: pa.Table) -> pa.Table:
-        kind, key, value = (known.column(c).to_numpy() for c in ("kind", "key", "value"))
-        tables = {}
-        for k in (WORD, GRAM):
-            at = kind == k
-            order = np.argsort(key[at])
-            tables[k] = key[at][order], value[at][order]
-        out = {c: [] for c in ("n_tokens", "n_known", "base", "score", "bits")}
-        for lo, hi, data, offs in chunks(texts.column("text").combine_chunks()):
-            n = hi - lo
-            keys, row = word_keys(data, offs)
-            c = tables[WORD][1][np.searchsorted(tables[WORD][0], keys)] if len(keys) else np.zeros(0)
-            out["n_tokens"].append(np.bincount(row, minlength=n) + 1)
-            out["n_known"].append(np.bincount(row[c > 0], minlength=n) + (n_ends > 0))
-            out["base"].append(np.bincount(row, np.log10((c + 0.1) / total), n) + math.log10((n_ends + 0.1) / total))
-            keys, row = byte_grams(data, offs)
-            lp = np.bincount(row, tables[GRAM][1][np.searchsorted(tables[GRAM][0], keys)], n)
-            out["score"].append(lp)
-            out["bits"].append(-lp / math.log10(2) / (np.diff(offs) + 1))
-        cols = {c: np.concatenate(v) for c, v in out.items()}
-        return pa.table({"id": texts.column("id"), "held_out": texts.column("held"), "n_tokens": pa.array(cols["n_tokens"], pa.int64()), "n_known": pa.array(cols["n_known"], pa.int64()), "train_tokens": pa.array(np.full(len(texts), n_train, np.int64)), "base_score": pa.array(cols["base"], pa.float64()), "score": pa.array(cols["score"], pa.float64()), "bits_per_byte": pa.array(cols["bits"], pa.float64())})
-
+    def scored(batches):
+        for known, rows in each_pack(batches):
+            rows = rows.to_batches()[0]
+            words_of, grams_of = (known.get(k, (np.zeros(0, np.int64), np.zeros(0))) for k in (WORD, GRAM))
+            for lo, hi, data, offs in chunks(rows.column("text")):
+                n, part = hi - lo, rows.slice(lo, hi - lo)
+                keys, row = word_keys(data, offs)
+                c = words_of[1][np.searchsorted(words_of[0], keys)] if len(keys) else np.zeros(0)
+                tokens, hits = np.bincount(row, minlength=n) + 1, np.bincount(row[c > 0], minlength=n) + (n_ends > 0)
+                base = np.bincount(row, np.log10((c + 0.1) / total), n) + math.log10((n_ends + 0.1) / total)
+                keys, row = byte_grams(data, offs)
+                lp = np.bincount(row, grams_of[1][np.searchsorted(grams_of[0], keys)], n)
+                longs = [pa.array(x, pa.int64()) for x in (tokens, hits, np.full(n, n_train))]
+                doubles = [pa.array(x, pa.float64()) for x in (base, lp, -lp / math.log10(2) / (np.diff(offs) + 1))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held"), *longs, *doubles], names=out_names)
+
+    out_names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    scored = src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, schema)
-    return scored.withColumnRenamed("id", id_col)
+    out = with_answers(packed(src, "text"), answers).mapInArrow(scored, schema)
+    return out.withColumnRenamed("id", id_col)

@@ -1,8 +1,13 @@
 """Quality rules: counts over words and lines, and perplexity bands of a modified Kneser-Ney character model.
 
 The model has orders 1 to 4 over 16-bit symbols (code points; those beyond 16 bits are hashed into them), so a 4-gram is
-exactly a long. Spark counts the 4-grams of blocks of rows and derives continuation counts, discounts, interpolated probabilities
-and back-offs order by order. The tables stay whole, in Spark: each block gets its own grams' values back by a join.
+exactly a long. Spark counts the grams of blocks of rows and derives continuation counts, discounts, and interpolated
+probabilities order by order. The tables stay whole, in Spark: each block gets its own grams' values back by a join and
+holds them as sorted arrays, where its texts look them up.
+
+No text may vouch for itself, or a text that nothing else resembles would look likely. So the texts are dealt into halves by
+their hash (copies are in the same half), each half has a model of its own, whole and summing to one, and a text is scored
+by the model of the other half.
 
 A document's bits per character must lie in its language's band: the median -/+ `width` times the middle distance on
 that side, which is taken times the root of the document's characters, since a mean over more of them scatters less. The
@@ -10,7 +15,8 @@ median is exact over all documents to STEP bits and the distances to 1 %. Nothin
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is a language of its own; a
 language with one document has a band around it; repeated rows and ids are judged each on its own; an empty table gives
-an empty result; texts of any length are read whole; only the id, text and language columns are read.
+an empty result; where a half has no text, its model gives all symbols the same; texts of any length are read whole; only
+the id, text and language columns are read; rows are told apart by file and place (input that is no file is written once).
 """
 
 from __future__ import annotations
@@ -20,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, ship_package
-from .ctw import BLOCK_ROWS, LONG
+from .common import Scratch, block_of, counted_by_block, each_pack, free_name, packed, row_key, settled, ship_package, with_answers
 from .vectext import chunks, mix, span_hashes, windows, words
 
 ORDER = 4
@@ -90,131 +95,54 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def gram_counts(src: DataFrame) -> DataFrame:
-    """(block, gram, c): the grams of each block of rows."""
-
-    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-    def batch(block: int, parts: list) -> pa.RecordBatch:
-        keys, c = merged(parts)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(c)], names=["block", "gram", "c"])
-
-    def count(batches):
-        parts: list = []
-        last = None
-        for b in batches:
-            blocks = b.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                if parts and blocks[lo] != last:
-                    yield batch(last, parts)
-                    parts = []
-                last = blocks[lo]
-                for _, _, data, offs in chunks(b.column("text").slice(lo, hi - lo)):
-                    parts.append(np.unique(symbols(data, offs)[0], return_counts=True))
-                    if len(parts) == 16:
-                        parts = [merged(parts)]
-        if parts:
-            yield batch(last, parts)
-
-    return src.select("block", "text").mapInArrow(count, "block long, gram long, c long")
-
-
-def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Model:
-    """Sorted hash arrays: for each order the slots of its grams with log2 p, and of its contexts with log2 of the back-off,
-    and the grams themselves. For texts outside the corpus; quality_rules joins the whole tables instead."""
-
-    def __init__(self, bits: int):
-        self.bits, self.p, self.back = bits, {}, {}
-
-    def _look(self, table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        if not len(table[0]):
-            return np.full(len(keys), np.nan)
-        s = slots(keys, self.bits)
-        at = np.minimum(np.searchsorted(table[0], s), len(table[0]) - 1)
-        return np.where(table[2][at] == keys, table[1][at], np.nan)
-
-    def log2p(self, gram: np.ndarray) -> np.ndarray:
-        """log2 p of each 4-gram's last symbol, backing off to lower orders where a gram was never counted."""
-        out = self._look(self.p[ORDER], gram)
-        todo = np.flatnonzero(np.isnan(out))
-        weight = np.zeros(len(todo))
-        for n in range(ORDER, 1, -1):
-            if not len(todo):
-                return out
-            mask = np.int64((1 << 16 * n) - 1) if n < 4 else np.int64(-1)
-            ctx = ((gram[todo] & mask).view(np.uint64) >> np.uint64(16)).view(np.int64)
-            weight += np.nan_to_num(self._look(self.back[n], ctx))
-            low = self._look(self.p[n - 1], gram[todo] & np.int64((1 << 16 * (n - 1)) - 1))
-            hit = ~np.isnan(low)
-            out[todo[hit]] = (weight + low)[hit]
-            todo, weight = todo[~hit], weight[~hit]
-        floor = self._look(self.back[1], np.zeros(1, np.int64))[0] if len(todo) else 0.0
-        out[todo] = weight + np.nan_to_num(floor) - 16.0
-        return out
-
-
-def tables(counted: DataFrame, scratch: Scratch, once: bool = False):
-    """By order from 1 on: (gram, c, p, score) of all grams and (ctx, total, back) of their contexts; score is log2 of the
-    probability that a text with the gram gets. Without `once`, grams and contexts counted once are left to the back-off
-    when scoring: their one place is the text that is scored, which must not vouch for itself."""
-    counts = {ORDER: scratch.write(counted.groupBy("gram").agg(F.sum("c").alias("c")))}
-    for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many one longer grams each stands
-        low = counts[n + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        counts[n] = scratch.write(low)
-    lower = None
-    for n in range(1, ORDER + 1):
-        t = counts[n]
-        of = [x or 0 for x in t.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2, 3, 4)]).first()]
-        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
-        d = [max(0.1, min(k + 0.0, k + 1 - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] and of[k] else k * 0.5 for k in (1, 2, 3)]
-        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        t = t.withColumn("ctx", F.shiftrightunsigned("gram", 16))
-        ctx = t.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(off).alias("free")).withColumn("back", F.col("free") / F.col("total"))
-        ctx = scratch.write(ctx.select("ctx", "total", "back"))
-        t = t.join(ctx, "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
-        if lower is None:
-            t = t.withColumn("p", F.col("own") + F.col("back") * 2.0**-16).withColumn("score", F.log2("p"))
-        else:
-            short = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low"), F.col("score").alias("low_score"))
-            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(short, "suffix")
-            t = t.withColumn("p", F.col("own") + F.col("back") * F.col("low"))
-            backed = F.when(F.col("total") > 1, F.log2("back")).otherwise(0.0) + F.col("low_score")
-            t = t.withColumn("score", F.log2("p") if once else F.when(F.col("c") > 1, F.log2("p")).otherwise(backed))
-        lower = scratch.write(t.select("gram", "c", "p", "score"))
-        yield lower, ctx
+    """(block, kind, key, n): the grams of each block of rows; kind is the half that its texts belong to."""
 
+    def parts(batch: pa.RecordBatch):
+        half = batch.column("half").to_numpy()
+        for h in np.unique(half).tolist():
+            for _, _, data, offs in chunks(batch.column("text").filter(pa.array(half == h))):
+                yield h, *np.unique(symbols(data, offs)[0], return_counts=True)
 
-def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", slot_bits: int = 22, once: bool = False) -> Model:
-    """The model of all documents as arrays on the driver."""
-    model = Model(slot_bits)
-    counted = gram_counts(docs.select(F.lit(0).cast("long").alias("block"), F.col(text_col).alias("text")))
-    for n, (grams, ctx) in enumerate(tables(counted, scratch, once), 1):
-        often = F.lit(True) if once or n == 1 else F.col("w") > 1
-        model.p[n] = _folded(grams.select("gram", F.col("c").alias("w"), F.log2("p").alias("v")).where(often), slot_bits)
-        model.back[n] = _folded(ctx.select(F.col("ctx").alias("gram"), F.col("total").alias("w"), F.log2("back").alias("v")).where(often), slot_bits)
-    return model
+    return counted_by_block(src.select("block", "half", "text"), parts, "block long, kind byte, key long, n long")
 
 
-def _folded(table: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table as sorted slots, values and grams; at most 2**bits of them reach the driver."""
+def discounts(t: DataFrame) -> list[tuple[float, float, float]]:
+    """Of each half's counts, what modified Kneser-Ney takes off a count of one, of two and of more."""
+    n = t.agg(*[F.sum((F.col(f"c{h}") == k).cast("long")) for h in (0, 1) for k in (1, 2, 3, 4)]).first()
+    out = []
+    for h in (0, 1):
+        of = [x or 0 for x in n[4 * h : 4 * h + 4]]
+        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
+        # where no gram has such a count the formula has no value: half of the count then; never all of it or nothing
+        out.append(tuple(min(max(0.1, k - (k + 1) * y * of[k] / of[k - 1]), k - 0.1) if of[k - 1] and of[k] else k * 0.5 for k in (1, 2, 3)))
+    return out
 
-    def add(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slots(b.column(0).to_numpy(), bits)), *b.columns], names=["slot", "gram", "w", "v"])
 
-    best = table.mapInArrow(add, "slot long, gram long, w long, v double").groupBy("slot").agg(F.max(F.struct("w", "v", "gram")).alias("best"))
-    got = best.select("slot", "best.v", "best.gram").toArrow()
-    slot, v, gram = got.column("slot").to_numpy(), got.column("v").to_numpy().astype(np.float32), got.column("gram").to_numpy()
-    order = np.argsort(slot)
-    return slot[order], v[order], gram[order]
+def gram_scores(counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gram, s0, s1): log2 of the probability of each gram's last symbol after the others, by the model of the texts of
+    the other half than 0 and 1. Every gram of either half has a row, so one that a model never saw backs off exactly."""
+    c = lambda h: F.sum(F.when(F.col("kind") == h, F.col("n")).otherwise(0))
+    counts = {ORDER: scratch.write(counted.groupBy(F.col("key").alias("gram")).agg(c(0).alias("c0"), c(1).alias("c1")))}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many one longer grams each stands
+        seen = [F.sum((F.col(f"c{h}") > 0).cast("long")).alias(f"c{h}") for h in (0, 1)]
+        counts[n] = scratch.write(counts[n + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")).agg(*seen))
+    lower = None
+    for n in range(1, ORDER + 1):
+        t = counts[n].withColumn("ctx", F.shiftrightunsigned("gram", 16))
+        off = []
+        for h, d in enumerate(discounts(counts[n])):
+            k = F.col(f"c{h}")
+            off.append(F.when(k == 0, 0.0).when(k == 1, d[0]).when(k == 2, d[1]).otherwise(d[2]))
+        sums = [x for h in (0, 1) for x in (F.sum(f"c{h}").alias(f"total{h}"), F.sum(off[h]).alias(f"free{h}"))]
+        t = t.join(t.groupBy("ctx").agg(*sums), "ctx")
+        if lower is None:
+            t = t.withColumns({"low0": F.lit(2.0**-16), "low1": F.lit(2.0**-16)})
+        else:
+            short = lower.select(F.col("gram").alias("suffix"), F.col("p0").alias("low0"), F.col("p1").alias("low1"))
+            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(short, "suffix")
+        p = [F.when(F.col(f"total{h}") > 0, (F.col(f"c{h}") - off[h] + F.col(f"free{h}") * F.col(f"low{h}")) / F.col(f"total{h}")).otherwise(F.col(f"low{h}")) for h in (0, 1)]
+        lower = scratch.write(t.select("gram", p[0].alias("p0"), p[1].alias("p1")))
+    return lower.select("gram", F.log2("p1").alias("s0"), F.log2("p0").alias("s1"))
 
 
 def _middle(table: DataFrame, value: Column, *keys: str) -> DataFrame:
@@ -243,36 +171,38 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(spark, "quality")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     others = [id_col, *keep]
-    src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
-    # a block is BLOCK_ROWS rows in a row of one input split: the upper bits of place are the split's number
-    shared = F.expr(f"shiftright(place, 33) * 8589934592L + (place & 8589934591L) div {BLOCK_ROWS}")
-    src = src.withColumn("block", F.when(F.length("text") > LONG, -1 - F.col("place")).otherwise(shared)).drop("place")
+    docs = settled(docs, scratch)
+    source = dict(scratch.tables)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    half = F.pmod(F.xxhash64(text), F.lit(2)).cast("byte")
+    src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"), half.alias("half"), block_of(docs, text).alias("block"))
     counted = scratch.write(gram_counts(src))
-    for grams, _ in tables(counted, scratch):
-        values = grams
-    scratch.free(counted, values)
-    answers = counted.select("block", "gram").join(values.select("gram", "score"), "gram").select("block", "gram", "score")
-
-    def score(_, texts: pa.Table, known: pa.Table) -> pa.Table:
-        key, value = known.column("gram").to_numpy(), known.column("score").to_numpy()
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-        out: dict[str, list] = {k: [] for k in [*names, "chars", "bits"]}
-        for lo, hi, data, offs in chunks(texts.column("text").combine_chunks()):
-            for k, v in measures(data, offs).items():
-                out[k].append(v)
-            gram, row = symbols(data, offs)
-            total = np.bincount(row, -value[np.searchsorted(key, gram)], hi - lo)
-            out["chars"].append(np.bincount(row, minlength=hi - lo))
-            out["bits"].append(total / np.maximum(out["chars"][-1], 1))
-        cols = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
-        made = [pa.array(cols[k], pa.int64()) for k in [*names, "chars"]] + [pa.array(cols["bits"], pa.float64())]
-        return pa.Table.from_arrays([*[texts.column(k) for k in out_names[: len(others) + 1]], *made], names=out_names)
-
-    out_names = [f"c{k}" for k in range(len(others))] + ["lang", *names, "chars", "bits"]
+    values = scratch.write(gram_scores(counted, scratch))
+    scratch.free(counted, values, *source.values())
+    value = F.when(F.col("kind") == 0, F.col("s0")).otherwise(F.col("s1"))
+    answers = counted.select("block", "kind", F.col("key").alias("gram")).join(values, "gram").select("block", "kind", F.col("gram").alias("key"), value.alias("value"))
+    kept_names = [f"c{k}" for k in range(len(others))] + ["lang"]
+
+    def score(batches):
+        for known, rows in each_pack(batches):
+            rows = rows.to_batches()[0]
+            half = rows.column("half").to_numpy()
+            for lo, hi, data, offs in chunks(rows.column("text")):
+                found = measures(data, offs)
+                gram, row = symbols(data, offs)
+                total = np.zeros(hi - lo)
+                for h, (key, value) in known.items():
+                    own = half[lo:hi][row] == h
+                    total += np.bincount(row[own], -value[np.searchsorted(key, gram[own])], hi - lo)
+                chars = np.bincount(row, minlength=hi - lo)
+                made = [pa.array(found[k], pa.int64()) for k in names] + [pa.array(chars, pa.int64()), pa.array(total / np.maximum(chars, 1), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*[rows.column(k).slice(lo, hi - lo) for k in kept_names], *made], names=out_names)
+
+    out_names = [*kept_names, *names, "chars", "bits"]
     kinds = [docs.schema[c].dataType.simpleString() for c in others]
     schema = ", ".join([f"c{k} {t}" for k, t in enumerate(kinds)] + ["lang string"] + [f"{k} long" for k in [*names, "chars"]] + ["bits double"])
-    scored = scratch.write(src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema))
+    scored = scratch.write(with_answers(packed(src, "text"), answers).mapInArrow(score, schema))
+    scratch.free(scored, *source.values())
     band = scratch.write(bands(scored, scratch))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     reach = lambda side: STEP + width * F.coalesce(F.col(side), F.lit(0.0)) / F.sqrt("chars")
@@ -282,9 +212,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The documents that the rules keep, with their own columns. Rows are told apart by their place in the input, which
-    must read the same twice, as files do."""
+    """The documents that the rules keep, with their own columns."""
+    docs = settled(docs, Scratch(docs.sparkSession, "quality"))
     row = free_name(docs, "__row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = docs.withColumn(row, row_key(docs))
     kept = quality_rules(numbered, id_col, keep=(row,), **settings).where("kept").select(row)
     return numbered.join(kept.hint("shuffle_hash"), row, "left_semi").drop(row)

@@ -246,3 +246,51 @@ def leaks(docs: list[tuple[int, str]], items: list[tuple[int, str]], piece_words
                     if min(found) >= part:
                         out.add((d, i, k))
     return [(d, i) for d, i, _ in out]
+
+
+def kneser_ney(texts: list[str], order: int = 4):
+    """p(symbol, context tuple) of the modified Kneser-Ney model of texts, which begin after order - 1 zeros."""
+    from collections import Counter, defaultdict
+
+    counts = {order: Counter()}
+    for t in texts:
+        x = [0] * (order - 1) + symbols(t)
+        counts[order].update(tuple(x[i : i + order]) for i in range(len(x) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    off, total, free = {}, {}, {}
+    for n, c in counts.items():
+        of = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
+        off[n] = [min(max(0.1, k - (k + 1) * y * of[k] / of[k - 1]), k - 0.1) if of[k - 1] and of[k] else k * 0.5 for k in (1, 2, 3)]
+        total[n], free[n] = defaultdict(int), defaultdict(float)
+        for g, v in c.items():
+            total[n][g[:-1]] += v
+            free[n][g[:-1]] += off[n][min(v, 3) - 1]
+
+    def p(symbol, context):
+        n = len(context) + 1
+        low = p(symbol, context[1:]) if n > 1 else 2.0**-16
+        t = total[n].get(context, 0)
+        if not t:
+            return low
+        v = counts[n].get((*context, symbol), 0)
+        return (v - (off[n][min(v, 3) - 1] if v else 0) + free[n][context] * low) / t
+
+    return p
+
+
+def symbols(text: str) -> list[int]:
+    return [c if c < 65536 else 1 + (c * 2654435761 % 2**32 >> 16) % 65535 for c in map(ord, text)]
+
+
+def bits(rows: list[tuple[int, str]], half: dict[int, int]) -> dict[int, float]:
+    """Bits per character of each text, by the model of the texts of the other half; half: by id, 0 or 1."""
+    import math
+
+    models = [kneser_ney([t or "" for i, t in rows if half[i] != h]) for h in (0, 1)]
+    out = {}
+    for i, t in rows:
+        x = [0] * 3 + symbols(t or "")
+        out[i] = -sum(math.log2(models[half[i]](x[k], tuple(x[k - 3 : k]))) for k in range(3, len(x))) / max(len(x) - 3, 1)
+    return out
