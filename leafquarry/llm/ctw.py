@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_of, counted_by_block, each_pack, packed, settled, ship_package, with_answers
+from .common import Scratch, block_of, counted_by_block, each_pack, look_up, packed, settled, ship_package, with_answers
 from .vectext import chunks, lower_ascii, span_hashes, words
 
 DEPTH = 4
@@ -165,11 +165,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for lo, hi, data, offs in chunks(rows.column("text")):
                 n, part = hi - lo, rows.slice(lo, hi - lo)
                 keys, row = word_keys(data, offs)
-                c = words_of[1][np.searchsorted(words_of[0], keys)] if len(keys) else np.zeros(0)
+                c = look_up(words_of, keys)
                 tokens, hits = np.bincount(row, minlength=n) + 1, np.bincount(row[c > 0], minlength=n) + (n_ends > 0)
                 base = np.bincount(row, np.log10((c + 0.1) / total), n) + math.log10((n_ends + 0.1) / total)
                 keys, row = byte_grams(data, offs)
-                lp = np.bincount(row, grams_of[1][np.searchsorted(grams_of[0], keys)], n)
+                lp = np.bincount(row, look_up(grams_of, keys), n)
                 longs = [pa.array(x, pa.int64()) for x in (tokens, hits, np.full(n, n_train))]
                 doubles = [pa.array(x, pa.float64()) for x in (base, lp, -lp / math.log10(2) / (np.diff(offs) + 1))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held"), *longs, *doubles], names=out_names)

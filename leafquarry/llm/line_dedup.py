@@ -10,9 +10,9 @@ that many words. In each interval the first copy (by id, then row, then line) st
 and so are the wordless lines between two deleted lines.
 
 Defined cases: null and empty texts have no lines and stay as they are (null becomes empty); exact copies lose all their
-lines, and `emptied` says so; ids may repeat or be null (nulls come first), rows are told apart by their place in the
-input, which must read the same twice, as files do; an empty table gives an empty result; texts of any length are read
-whole; other columns pass through untouched.
+lines, and `emptied` says so; ids may repeat or be null (nulls come first), rows are told apart by file and place (input
+that is no file is written once); an empty table gives an empty result; texts of any length are read whole; other columns
+pass through untouched, and the four new ones, which come last, get other names where theirs are taken.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, ship_package
+from .common import Scratch, free_name, row_key, settled, ship_package
 from .vectext import chunks, mix, span_hashes, words
 
 MIN_WORDS = 50
@@ -74,12 +74,12 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 lens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(length, pa.int32()))
                 pos = np.arange(len(row)) - np.searchsorted(row, row, "left")
                 part = b.slice(lo, hi - lo)
-                rows = part.column("row").to_numpy()[row]
+                rows = part.column("row").take(pa.array(row))
                 hashes = mix(span_hashes(data, start, end)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(rows), pa.array(pos, pa.int32()), pa.array(hashes), lens], names=["id", "row", "pos", "line", "lens"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), rows, pa.array(pos, pa.int32()), pa.array(hashes), lens], names=["id", "row", "pos", "line", "lens"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"id {kind}, row long, pos int, line long, lens array<int>")
+    kind, row_kind = (docs.schema[c].dataType.simpleString() for c in ("id", "row"))
+    return docs.mapInArrow(cut, f"id {kind}, row {row_kind}, pos int, line long, lens array<int>")
 
 
 def sorted_ranks(groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
@@ -132,7 +132,7 @@ def later_copies(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame
         groups = scratch.write(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         ranked = scratch.write(sorted_ranks(groups, ["a", "b"], scratch))
         level = scratch.write(pairs.join(ranked, ["a", "b"]).select("row", "pos", "rank"))
-    out = docs.sparkSession.createDataFrame([], "row long, first int, lines int")
+    out = docs.sparkSession.createDataFrame([], f"row {docs.schema['row'].dataType.simpleString()}, first int, lines int")
     for f in found:
         out = out.unionByName(f)
     return out
@@ -158,11 +158,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with text cut, and n_lines, n_removed, removed (array of first:end among the lines with a word), emptied."""
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
+    docs = settled(docs, scratch)
+    source = dict(scratch.tables)
     row = free_name(docs, "__row")
-    src = docs.withColumn(row, F.monotonically_increasing_id())
+    src = docs.withColumn(row, row_key(docs))
     runs = later_copies(src.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text")), min_words, scratch)
     spans = scratch.write(runs.groupBy("row").agg(F.collect_list(F.struct("first", "lines")).alias("runs")))
-    scratch.free(spans)
+    scratch.free(spans, *source.values())
 
     spans = spans.withColumnRenamed("row", row)
     # always by shuffle: the spans grow with the corpus

@@ -10,7 +10,7 @@ Such a term is generalised to its kind or removed wherever it stands, in texts w
 
 Defined cases: null and empty texts have no spans; equal texts (copies) count once, so copies alone disclose nothing;
 repeated rows and ids are treated each on its own; an empty table gives an empty result; texts of any length are scanned
-whole; only the id and text columns are read.
+whole; only the id and text columns are read; rows are told apart by file and place (input that is no file is written once).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, row_key, settled
 from .spans import find_spans, joined, let, tag
 
 # The patterns of the op8 contract, in the contract's order.
@@ -68,10 +68,13 @@ def least_share(n_te: Column, n_t: Column, z: float) -> Column:
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.5, share: float = 0.8, z: float = 1.2816) -> DataFrame:
-    """(row, id, email, ip, card, phone, term): arrays of spans in code points of the text; row numbers the input rows."""
+    """(row, id, email, ip, card, phone, term): arrays of spans in code points of the text; row is common.row_key of the
+    settled input."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = settled(docs, scratch)
+    source = dict(scratch.tables)
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(docs).alias("row"))
     seen = F.struct(F.xxhash64("text").alias("h"), F.crc32(F.encode("text", "UTF-8")).alias("k")).alias("seen")
     found = src.select("row", "id", "text", seen, *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
@@ -103,7 +106,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     where = words.select("row", F.explode("terms").alias("term")).join(flagged, "term").groupBy("row").agg(F.collect_list("term").alias("terms"))
     alike = held.select("row", "seen").join(held.groupBy("seen").agg(F.min("row").alias("first")), "seen").select("row", "first")
     where = scratch.write(alike.join(where.withColumnRenamed("row", "first"), "first").select("row", "terms"))
-    scratch.free(held, where)
+    scratch.free(held, where, *source.values())
     hits = src.select("row", "text").join(where.hint("shuffle_hash"), "row")
     hit = F.filter(find_spans(F.col("text"), TERM), lambda w: F.array_contains("terms", F.lower(w["match"])))
     hits = hits.select("row", F.transform(hit, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("near"))
@@ -117,9 +120,10 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: bool = False, **settings) -> DataFrame:
     """(row, id, text): texts whose spans are generalised to <kind>, or removed. Overlapping spans keep the earliest."""
+    docs = settled(docs, Scratch(docs.sparkSession, "pii"))
     found = find_personal(docs, id_col, text_col, **settings)
     tagged = F.sort_array(F.concat(*[tag(F.col(k), k, i) for i, k in enumerate((*KINDS, "term"))]))
-    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(docs).alias("row"))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

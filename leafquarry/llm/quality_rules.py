@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_of, counted_by_block, each_pack, free_name, packed, row_key, settled, ship_package, with_answers
+from .common import Scratch, block_of, counted_by_block, each_pack, free_name, look_up, packed, row_key, settled, ship_package, with_answers
 from .vectext import chunks, mix, span_hashes, windows, words
 
 ORDER = 4
@@ -191,9 +191,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = measures(data, offs)
                 gram, row = symbols(data, offs)
                 total = np.zeros(hi - lo)
-                for h, (key, value) in known.items():
+                for h, table in known.items():
                     own = half[lo:hi][row] == h
-                    total += np.bincount(row[own], -value[np.searchsorted(key, gram[own])], hi - lo)
+                    total -= np.bincount(row[own], look_up(table, gram[own]), hi - lo)
                 chars = np.bincount(row, minlength=hi - lo)
                 made = [pa.array(found[k], pa.int64()) for k in names] + [pa.array(chars, pa.int64()), pa.array(total / np.maximum(chars, 1), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*[rows.column(k).slice(lo, hi - lo) for k in kept_names], *made], names=out_names)

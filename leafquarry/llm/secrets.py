@@ -1,8 +1,8 @@
 """Secret scan with DataFrame functions only: key patterns, and sliding-window Shannon entropy per character class.
 
 Candidate strings are maximal runs of [A-Za-z0-9+/_=-] of at least one window. For each character class a window of
-`window` characters slides over the candidate; entering and leaving characters change the counts by one each, and with
-them the sum of c * log2(c), so each step is constant work per distinct code. A candidate is reported where some window
+`window` characters slides over the candidate; the characters that enter and leave change one count each, and with them
+the sum of c * log2(c). A candidate is reported where some window
 reaches its class's threshold, unless it fits the allow-list or overlaps a key pattern's span.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each on its own; an empty table gives an
@@ -48,34 +48,43 @@ WINDOW = 20
 
 
 def window_entropy(value: Column, window: int) -> Column:
-    """The greatest Shannon entropy (bits per character) of any window of the string, by incremental counts."""
+    """The greatest Shannon entropy (bits per character) of any window of the string (ASCII), by incremental counts.
+
+    The counts are a string with a character for each code, so a step changes the two that move and copies the rest as
+    bytes; the sum of c * log2(c) changes by the same two."""
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    n_log = [0.0] + [k * math.log2(k) for k in range(1, window + 1)]  # c * log2(c), by count
-    cost = F.array(*[F.lit(x) for x in n_log])
+    cost = F.array(*[F.lit(0.0)] + [F.lit(k * math.log2(k)) for k in range(1, window + 2)])  # c * log2(c), by count
+
+    def count(counts: Column, code: Column) -> Column:
+        return F.ascii(F.substring(counts, code + 1, F.lit(1))) - 32
+
+    def put(counts: Column, code: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + 32), code + 1, 1)
 
     def scan(c: Column) -> Column:
-        zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(0.0).alias("best"))
+        zero = F.struct(F.lit(" " * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(0.0).alias("best"))
+
+        def enter(s: Column, new: Column) -> Column:
+            def add(n: Column) -> Column:
+                total = s["sum"] + F.element_at(cost, n + 2) - F.element_at(cost, n + 1)
+                return F.struct(put(s["counts"], new, n + 1).alias("counts"), total.alias("sum"), (s["i"] + 1).alias("i"), s["best"].alias("best"))
 
-        def step(s: Column, new: Column) -> Column:
-            old = F.when(s["i"] >= window, F.element_at(c, s["i"] - window + 1)).otherwise(F.lit(-1))
+            return let(count(s["counts"], new), add)
 
-            def moved(o: Column) -> Column:
-                counts = F.transform(s["counts"], lambda x, k: x - F.when(k == o, 1).otherwise(0) + F.when(k == new, 1).otherwise(0))
-                had_old, had_new = F.element_at(s["counts"], o + 1), F.element_at(s["counts"], new + 1)
-                out = F.when(o >= 0, F.element_at(cost, had_old) - F.element_at(cost, had_old + 1)).otherwise(F.lit(0.0))
-                had = had_new - F.when(o == new, 1).otherwise(0)
-                total = s["sum"] + out + F.element_at(cost, had + 2) - F.element_at(cost, had + 1)
+        def leave(s: Column) -> Column:
+            """Note the full window that ends here, and drop its first character."""
 
-                def done(t: Column) -> Column:
-                    full = s["i"] + 1 >= window
-                    best = F.when(full, F.greatest(s["best"], F.lit(math.log2(window)) - t / window)).otherwise(s["best"])
-                    return F.struct(counts.alias("counts"), t.alias("sum"), (s["i"] + 1).alias("i"), best.alias("best"))
+            def drop(old: Column) -> Column:
+                def less(n: Column) -> Column:
+                    total = s["sum"] + F.element_at(cost, n) - F.element_at(cost, n + 1)
+                    best = F.greatest(s["best"], F.lit(math.log2(window)) - s["sum"] / window)
+                    return F.struct(put(s["counts"], old, n - 1).alias("counts"), total.alias("sum"), s["i"].alias("i"), best.alias("best"))
 
-                return let(total, done)
+                return let(count(s["counts"], old), less)
 
-            return let(old, moved)
+            return F.when(s["i"] < window, s).otherwise(let(F.element_at(c, s["i"] - window + 1), drop))
 
-        return F.aggregate(c, zero, step)["best"]
+        return F.aggregate(c, zero, lambda s, new: let(enter(s, new), leave))["best"]
 
     return let(codes, scan)
 

@@ -234,3 +234,31 @@ def test_classifier_takes_one_row_of_each_id(spark):
     models = [rule_classifier.train(d, labels, sample_rows=40) for d in (docs.repartition(3), docs.orderBy(F.desc("text")).coalesce(1))]
     least = docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     assert models[0] == models[1] == rule_classifier.train(least, labels, sample_rows=40)
+
+
+def test_entropy_of_candidates_against_plain(spark):
+    """The spans that the windows add, over planted keys, words and numbers, by counting every window anew."""
+    import math
+    import re
+    from collections import Counter
+
+    r = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n, of=letters: "".join(r.choice(of) for _ in range(n))
+    rows = [(i, " ".join(r.choice([key(r.randrange(15, 50)), key(30, "0123456789abcdefABCDEF"), "some-words-here-2024", "x" * 25 + "1", key(24, "ab1"), "plain", "é"]) for _ in range(6))) for i in range(150)]
+    rows += [(900, None), (901, ""), (902, key(40) * 200)]
+    got = {g.doc_id: [(s.start, s.end) for s in g.entropy] for g in secrets.scan_secrets(frame(spark, rows)).collect()}
+    want, added = {}, 0
+    for i, t in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute.secrets(t)["base"].split(",") if s]
+        want[i] = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+            v = m[0]
+            bits = next(c.bits for c in secrets.CLASSES if re.fullmatch(c.pattern, v))
+            best = max(-sum(n / 20 * math.log2(n / 20) for n in Counter(v[k : k + 20]).values()) for k in range(len(v) - 19))
+            known = any(re.search(a.replace("++", "+").replace("*+", "*").replace("}+", "}"), v) for a in secrets.ALLOW)
+            if best >= bits - 1e-12 and not known and not any(a < m.end() and m.start() < b for a, b in base):
+                want[i].append(m.span())
+                added += 1
+    assert got == want and added > 100
+    assert secrets.scan_secrets(frame(spark, rows).limit(0)).count() == 0
