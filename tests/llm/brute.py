@@ -294,3 +294,112 @@ def bits(rows: list[tuple[int, str]], half: dict[int, int]) -> dict[int, float]:
         x = [0] * 3 + symbols(t or "")
         out[i] = -sum(math.log2(models[half[i]](x[k], tuple(x[k - 3 : k]))) for k in range(3, len(x))) / max(len(x) - 3, 1)
     return out
+
+
+def disclosing(rows: list[tuple[int, str]], disclosure: float = 0.5, share: float = 0.8, z: float = 1.2816) -> dict[int, list[tuple[int, int]]]:
+    """The spans of terms that give an entity away, by id; counts are over distinct texts."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    term = regex.compile(r"[\p{L}\p{Nd}]{3,}")
+    n_t, n_e, n_te, texts = Counter(), Counter(), Counter(), {t or "" for _, t in rows}
+    for t in texts:
+        entities = set()
+        for s in filter(None, personal(t)["base"].split(",")):
+            kind, a, b = s.split(":")
+            match = t[int(a) : int(b)]
+            entities.add((kind, match.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", match)))
+        terms = {w.lower() for w in term.findall(t)}
+        n_t.update(terms)
+        n_e.update(entities)
+        n_te.update((w, e) for w in terms for e in entities)
+    flagged = set()
+    for (w, e), k in n_te.items():
+        p, zz = k / n_t[w], z * z / n_t[w]
+        least = (p + zz / 2 - math.sqrt(zz * (p * (1 - p) + zz / 4))) / (1 + zz)
+        if least >= disclosure and math.log2(k * len(texts) / (n_t[w] * n_e[e])) >= share * math.log2(len(texts) / n_e[e]):
+            flagged.add(w)
+    out = {}
+    for i, t in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in personal(t)["base"].split(",") if s]
+        out[i] = [m.span() for m in term.finditer(t or "") if m[0].lower() in flagged and not any(m.start() < b and a < m.end() for a, b in base)]
+    return out
+
+
+def banded(rows: list[tuple[int, str, str]], half: dict[int, int], width: float = 5.0, step: float = 1 / 500) -> dict[int, bool]:
+    """kept of each row (id, text, lang): the base rules, then its language's band."""
+    import math
+
+    near = lambda x: math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1)
+    middle = lambda xs: sorted(map(near, xs))[(len(xs) + 1) // 2 - 1]
+    b = bits([(i, t) for i, t, _ in rows], half)
+    chars = {i: len(t or "") for i, t, _ in rows}
+    lang = {i: x or "" for i, _, x in rows}
+    worded = [i for i, t, _ in rows if WORD.search(t or "")]
+    band = {}
+    for x in set(lang.values()):
+        own = [i for i in worded if lang[i] == x]
+        if own:
+            mid = middle([b[i] / step for i in own]) * step
+            sides = []
+            for above in (False, True):
+                off = [100 * math.log(abs(b[i] - mid) * math.sqrt(chars[i])) for i in own if abs(b[i] - mid) > step / 2 and (b[i] > mid) == above]
+                sides.append(math.exp(middle(off) / 100) if off else 0.0)
+            band[x] = mid, *sides
+    out = {}
+    for i, t, _ in rows:
+        out[i] = not quality(t)["base_failed"]
+        if out[i]:
+            mid, below, above = band[lang[i]]
+            out[i] = mid - step - width * below / math.sqrt(chars[i]) <= b[i] <= mid + step + width * above / math.sqrt(chars[i])
+    return out
+
+
+def suffix_runs(rows: list[tuple[int, str]], min_words: int = 50) -> dict[int, str]:
+    """line_dedup() by a suffix array over line ids, its LCP array and its intervals, one suffix after the other."""
+    docs = [(i, (t or "").split("\n")) for i, t in sorted(rows)]
+    worded = [[k for k, p in enumerate(parts) if WORD.search(p)] for _, parts in docs]
+    number = {x: k for k, x in enumerate(sorted({parts[k] for (_, parts), at in zip(docs, worded) for k in at}))}
+    ids = [[number[parts[k]] for k in at] for (_, parts), at in zip(docs, worded)]
+    count = [[len(WORD.findall(parts[k])) for k in at] for (_, parts), at in zip(docs, worded)]
+    array = sorted(((d, k) for d, x in enumerate(ids) for k in range(len(x))), key=lambda p: (ids[p[0]][p[1] :], p))
+    lcp = [0] * (len(array) + 1)
+    for n, ((d, k), (d2, k2)) in enumerate(zip(array, array[1:]), 1):
+        while k + lcp[n] < len(ids[d]) and k2 + lcp[n] < len(ids[d2]) and ids[d][k + lcp[n]] == ids[d2][k2 + lcp[n]]:
+            lcp[n] += 1
+    gone: dict[int, set[int]] = {d: set() for d in range(len(docs))}
+    for n, (d, k) in enumerate(array):
+        longest = 0
+        for way in (-1, 1):  # the intervals around a suffix, from the narrowest out
+            at, depth = n, len(ids[d])
+            while True:
+                depth = min(depth, lcp[at if way < 0 else at + 1])
+                at += way
+                if depth <= longest or sum(count[d][k : k + depth]) < min_words:
+                    break
+                if array[at] < (d, k):
+                    longest = depth
+        gone[d].update(worded[d][k : k + longest])
+    for d, at in enumerate(worded):
+        for a, b in zip(at, at[1:]):
+            if {a, b} <= gone[d]:
+                gone[d].update(range(a, b))
+    return {i: "\n".join(p for k, p in enumerate(parts) if k not in gone[d]) for d, (i, parts) in enumerate(docs)}
+
+
+def pipeline(rows: list[tuple[int, str, str]], items: list[tuple[int, str]], half: dict[int, int], encode) -> list[tuple]:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of what all stages leave."""
+    kept = banded(rows, half)
+    text = line_dedup([(i, t) for i, t, _ in rows if kept[i]])
+    text = {i: t for i, t in text.items() if WORD.search(t)}
+    group = components(list(text.items()), 80)
+    text = {i: t for i, t in text.items() if group[i][1] == i}
+    leaky = {d for d, _ in leaks(list(text.items()), items, 512)}
+    out = []
+    for i, t in text.items():
+        if i not in leaky:
+            ids = encode(t)
+            out.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), sha(t)))
+    return out

@@ -34,6 +34,17 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_windows_delete_what_a_suffix_array_finds(spark):
+    """All runs of 50 words or more that the LCP intervals of a plain suffix array name, over a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = line_dedup.line_dedup(docs).select("doc_id", "text", "n_removed").collect()
+    assert {g.doc_id: g.text for g in got} == brute.suffix_runs(rows) and sum(g.n_removed for g in got) > 300
+    r = random.Random(6)
+    few = [(i, "\n".join(r.choice("abcd ") * r.randrange(1, 3) + " x" * r.randrange(3) for _ in range(r.randrange(14)))) for i in range(40)]
+    assert brute.suffix_runs(few, 6) == brute.line_dedup(few, 6)
+
+
 def test_line_dedup_of_equal_ids(spark):
     text = "\n".join(["one two three four five six"] * 3 + ["a b c d e f g h"])
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string").coalesce(1)
@@ -199,3 +210,37 @@ def test_pipeline(spark, tmp_path):
     left = {d.doc_id: d.text for d in docs.collect()}
     assert passage in left[104] and passage not in left[105]
     assert spark.read.parquet(str(tmp_path / "documents.parquet")).count() == len(rows)
+
+
+def test_pipeline_against_plain(spark, tmp_path):
+    """run() over copies, near copies, shared runs, leaks, junk, nulls, repeated rows of languages, against a plain version."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from leafquarry.llm import bpe
+
+    r = random.Random(19)
+    parts = {"xx": ["ka", "lo", "mi", "ren", "tu", "sa", "vo"], "yy": ["ün", "ße", "ich", "der", "ang", "ol"]}
+    word = lambda x: "".join(r.choice(parts[x]) for _ in range(r.randrange(2, 5)))
+    text = lambda n, x: "\n".join(" ".join(word(x) for _ in range(12)) for _ in range(n))
+    rows = [(i, text(r.randrange(3, 12), x), x) for i, x in enumerate(["xx"] * 60 + ["yy"] * 40)]
+    shared = text(6, "xx")
+    items = [(k, text(2, "xx").replace("\n", ". ") + ".") for k in range(5)] + [(9, None), (10, text(60, "yy"))]
+    rows += [(200 + i, f"{text(3, 'xx')}\n{shared}", "xx") for i in range(5)]
+    rows += [(300 + i, f"{text(2, 'xx')}\n{items[i][1]}\n{text(2, 'xx')}", "xx") for i in range(4)] + [(310, items[6][1], "yy")]
+    for i in range(20):
+        w = rows[i][1].split(" ")
+        w[r.randrange(len(w))] = "changed"
+        rows.append((400 + i, " ".join(w).replace("\n", " "), rows[i][2]))
+    rows += [(500, rows[0][1], "xx"), (501, None, "xx"), (502, "", None), (503, "too short", "yy"), (504, "".join(chr(r.randrange(0x21, 0x17F)) if k % 7 else " " for k in range(900)), "xx"), (505, text(4, "yy"), None)]
+    df = spark.createDataFrame([(i, t, x, "s", len(t or ""), True) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, emptied boolean")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    half = {g.doc_id: g.h for g in df.select("doc_id", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).alias("h")).collect()}
+    tok = Tokenizer.from_file(bpe.default_tokenizer())
+    want = brute.pipeline(rows, items, half, lambda t: tok.encode(t, add_special_tokens=False).ids)
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and 60 < len(got) < len(rows) - 20
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

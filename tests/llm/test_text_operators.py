@@ -262,3 +262,66 @@ def test_entropy_of_candidates_against_plain(spark):
                 added += 1
     assert got == want and added > 100
     assert secrets.scan_secrets(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_disclosure_against_plain(spark):
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    mails = [f"{w}{k}@mail.org" for k, w in enumerate(words[:12])]
+    rows = []
+    for i in range(260):
+        t = [r.choice(words) for _ in range(r.randrange(1, 14))]
+        if r.random() < 0.5:
+            k = r.randrange(len(mails))
+            t += [mails[k], "10.0.0.%d" % k, *[f"Name{k}"] * (r.random() < 0.8), *[f"Town{k // 3}"] * (r.random() < 0.9)]
+        r.shuffle(t)
+        rows.append((i, " ".join(t)))
+    rows += [(900 + k, rows[k][1]) for k in range(40)] + [(990, None), (991, ""), (992, "Name3 and name3, Ünname3 name31")]
+    got = {g.doc_id: [(s.start, s.end) for s in g.term] for g in pii.find_personal(frame(spark, rows)).collect()}
+    assert got == brute.disclosing(rows) and sum(map(len, got.values())) > 50
+    assert pii.digest(pii.find_personal(frame(spark, rows).limit(0))).count() == 0
+
+
+def test_sanitise_where_spans_overlap(spark):
+    """A card within a phone number and an address within a mail: the earliest span wins, the rest of the text stays."""
+    rows = [(1, "call +4111 1111 1111 1111 or 1.2.3.4@host.org now"), (2, None), (2, "x"), (None, "a@b.co a@b.co")]
+    got = [(r.doc_id, r.text) for r in pii.sanitise(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "call +<card> or <email> now"), (2, ""), (2, "x"), (None, "<email> <email>")], key=str)
+    assert "a@b" not in str(pii.sanitise(frame(spark, rows), remove=True).collect())
+
+
+def test_compiled_rules_against_numpy(spark):
+    """The column expression gives what the rules give one by one; statistics are those of plain code."""
+    import re
+
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["Tree", "river,", "st9ne", "a###", "b$", "oh!"]) for _ in range(r.randrange(0, 40))) + r.choice(["", "\nline line", "\n\n"])) for i in range(300)] + EDGES + [(9100, "long " * 60_000)]
+    labels = spark.createDataFrame([(i, int("###" not in rows[i][1])) for i in range(300)] + [(9005, 1), (9005, 1), (9001, 0)], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    model = rule_classifier.train(docs, labels)
+    assert model.rules
+    got = rule_classifier.with_statistics(docs, F.col("text"), ["doc_id"]).select("doc_id", "__s", model.score().alias("score")).collect()
+    for g in got:
+        margin = model.bias + sum(rule.weight for rule in model.rules if all((g["__s"][k] > t) == above for k, above, t in rule.parts))
+        assert g.score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-12)
+    text = dict(rows)
+    for g in got:
+        t, s = text[g.doc_id] or "", g["__s"]
+        w = re.findall(r"[^\x20\x09-\x0d]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        n = max(len(t), 1)
+        want = {"chars": len(t), "words": len(w), "word_length": (len(t) - len(w)) / max(len(w), 1), "distinct_words": len(set(w)) / max(len(w), 1), "repeated_next": sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1), "distinct_lines": len(set(lines)) / max(len(lines), 1), "line_words": len(w) / max(len(lines), 1)}
+        want |= {k: len(re.findall(p, t)) / n for k, p in (("capitals", "[A-Z]"), ("digits", "[0-9]"), ("symbols", r"[#*$%&|<>]"), ("exclamations", "[!?]"), ("stops", "[.,;:]"))}
+        assert s.asDict() == pytest.approx(want)
+
+
+def test_lasso_is_optimal():
+    """The weights meet the optimality conditions of L1-penalised logistic regression."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((500, 12)) < 0.4).astype(float)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * x[:, 0] - 3 * x[:, 1] + 0.4)))).astype(float)
+    b, w = rule_classifier.lasso_logistic(x, y, 0.01, steps=20_000)
+    e = 1 / (1 + np.exp(-(x @ w + b))) - y
+    slope = x.T @ e / len(y)
+    assert abs(e.mean()) < 1e-6 and np.all(np.abs(slope[w == 0]) <= 0.01 + 1e-6) and np.allclose(slope[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-6)
+    assert w[0] > 0.5 and w[1] < -0.5 and (w == 0).sum() >= 3
