@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, tokens. Part of the llm subpackage."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, tokens. Part of the llm subpackage.
+
+Defined cases, of every stage but the last, which returns the columns of its input: null and empty texts fail the quality
+rules, so no later stage of run() sees one (alone, line dedup and near-dedup keep them, and they match no item); rows that
+repeat are judged each on its own by the rules and the items, and one of them stays after line dedup and near-dedup, the
+first by id, then file and place; null ids come first in line dedup and last in near-dedup; ties are broken the same way;
+an empty table, of documents or items, gives an empty result or loses nothing; texts of any length are taken whole; other
+columns pass through, whatever their names. The last stage gives a row for each row of its input."""
 
 from __future__ import annotations
 
@@ -20,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and with them documents of which nothing else is left."""
-    cut = line_dedup(docs).where(~F.col("emptied"))
+    cut = line_dedup(docs)
+    cut = cut.where(~F.col(cut.columns[-1]))  # `emptied`, or another name where docs has one of its own
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
