@@ -168,30 +168,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     spans = spans.withColumnRenamed("row", row)
     # always by shuffle: the spans grow with the corpus
-    joined = src.join(spans.hint("shuffle_hash"), row, "left").select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], "runs")
-    at, width = docs.columns.index(text_col), len(docs.columns)
-    added = "n_lines int, n_removed int, removed array<string>, emptied boolean"
-    out_names = [*[f"c{k}" for k in range(width)], *[x.split()[0] for x in added.split(", ")]]
-
-    def cut(batches):
-        for b in batches:
-            for lo, hi, data, offs in chunks(b.column(at)):
-                part = b.slice(lo, hi - lo)
-                n_lines = np.bincount(line_bounds(data, offs)[0], minlength=hi - lo)
-                n_gone, removed = np.zeros(hi - lo, np.int64), [[] for _ in range(hi - lo)]
-                texts = part.column(at).fill_null("")
-                hit = np.flatnonzero(part.column(width).is_valid().to_numpy(zero_copy_only=False))
-                if len(hit):
-                    texts = texts.to_pylist()
-                    for k in hit.tolist():
-                        runs = [(x["first"], x["lines"]) for x in part.column(width)[k].as_py()]
-                        texts[k], _, n_gone[k], spans = cut_lines(texts[k], runs)
-                        removed[k] = [f"{x}:{y}" for x, y in spans]
-                    texts = pa.array(texts, pa.string())
-                cols = [*part.columns[:at], texts, *part.columns[at + 1 : width]]
-                cols += [pa.array(n_lines, pa.int32()), pa.array(n_gone, pa.int32()), pa.array(removed, pa.list_(pa.string())), pa.array((n_gone > 0) & (n_gone == n_lines))]
-                yield pa.RecordBatch.from_arrays(cols, names=out_names)
-
-    kinds = [f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(docs.columns)]
-    done = joined.mapInArrow(cut, ", ".join([*kinds, added]))
-    return done.toDF(*docs.columns, *[free_name(docs, x.split()[0]) for x in added.split(", ")])
+    names = [free_name(docs, x) for x in ("n_lines", "n_removed", "removed", "emptied")]
+    spot, got = free_name(docs, "__runs"), free_name(docs, "__cut")
+    joined = src.join(spans.withColumnRenamed("runs", spot).hint("shuffle_hash"), row, "left")
+
+    @F.arrow_udf("struct<text:string,n_lines:int,n_removed:int,removed:array<string>>")
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        out = []
+        for t, found in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
+            if t is None or not found:
+                out.append(None)
+                continue
+            left, lines, gone, parts = cut_lines(t, [(x["first"], x["lines"]) for x in found])
+            out.append({"text": left, "n_lines": lines, "n_removed": gone, "removed": [f"{x}:{y}" for x, y in parts]})
+        return pa.array(out, kind)
+
+    kind = pa.struct([("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32()), ("removed", pa.list_(pa.string()))])
+    # only texts with a run go to Python; in the others a match is a line from its first word on
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    done = joined.withColumn(got, cut(F.when(F.col(spot).isNotNull(), whole), F.col(spot)))
+    lines = F.regexp_count(whole, F.lit(r"[^\x20\x09-\x0D][^\n]*+")).cast("int")
+    hit = F.col(got).isNotNull()
+    added = [F.when(hit, F.col(got)["n_lines"]).otherwise(lines), F.when(hit, F.col(got)["n_removed"]).otherwise(0), F.when(hit, F.col(got)["removed"]).otherwise(F.array().cast("array<string>")), F.coalesce(F.col(got)["n_removed"] == F.col(got)["n_lines"], F.lit(False))]
+    columns = [F.when(hit, F.col(got)["text"]).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return done.select(*columns, *[c.alias(n) for c, n in zip(added, names, strict=True)])

@@ -29,6 +29,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]|)"
 IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
+#: Characters up to which the rows with flagged terms are broadcast to the texts.
+BROADCAST_CHARS = 8 << 20
 #: Words that can be terms.
 TERM = r"(?:\G|(?<![\p{L}\p{Nd}]))[\p{L}\p{Nd}]{3,}+"
 
@@ -67,6 +69,12 @@ def least_share(n_te: Column, n_t: Column, z: float) -> Column:
     return (p + zz / 2 - F.sqrt(zz * (p * (1 - p) + zz / 4))) / (1 + zz)
 
 
+def _sized(table: DataFrame, size: Column, otherwise: str = "merge") -> DataFrame:
+    """A written table to be broadcast where its strings come to BROADCAST_CHARS at most; joined by shuffle beyond."""
+    held = table.agg(F.coalesce(F.sum(size + 32), F.lit(0))).first()[0]
+    return F.broadcast(table) if held <= BROADCAST_CHARS else table.hint(otherwise)
+
+
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.5, share: float = 0.8, z: float = 1.2816) -> DataFrame:
     """(row, id, email, ip, card, phone, term): arrays of spans in code points of the text; row is common.row_key of the
     settled input."""
@@ -107,7 +115,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = held.select("row", "seen").join(held.groupBy("seen").agg(F.min("row").alias("first")), "seen").select("row", "first")
     where = scratch.write(alike.join(where.withColumnRenamed("row", "first"), "first").select("row", "terms"))
     scratch.free(held, where, *source.values())
-    hits = src.select("row", "text").join(where.hint("shuffle_hash"), "row")
+    hits = src.select("row", "text").join(_sized(where, F.length(F.array_join("terms", " ")), "shuffle_hash"), "row")
     hit = F.filter(find_spans(F.col("text"), TERM), lambda w: F.array_contains("terms", F.lower(w["match"])))
     hits = hits.select("row", F.transform(hit, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("near"))
     # words of an entity itself are the entity's span

@@ -264,7 +264,10 @@ def test_entropy_of_candidates_against_plain(spark):
     assert secrets.scan_secrets(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_disclosure_against_plain(spark):
+@pytest.mark.parametrize("room", [0, 8 << 20])
+def test_disclosure_against_plain(spark, monkeypatch, room):
+    """Broadcast or joined by shuffle, the same spans."""
+    monkeypatch.setattr(pii, "BROADCAST_CHARS", room)
     r = random.Random(17)
     words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
     mails = [f"{w}{k}@mail.org" for k, w in enumerate(words[:12])]
