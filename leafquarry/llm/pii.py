@@ -91,16 +91,19 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     entities = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
     bare = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS}
-    held = scratch.write(found.select("row", "id", "seen", *bare.values(), entities.alias("entities")))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))
+    held = found.select("row", "id", "seen", "text", *bare.values(), entities.alias("entities"))
+    held = scratch.write(held.select("row", "id", "seen", *KINDS, "entities", F.when(F.size("entities") > 0, terms).alias("terms")))
 
     # one row of each distinct text: all counts are over these
     first = held.groupBy("seen").agg(F.min("row").alias("row")).select("row")
     texts = src.select("row", "text").join(first.hint("shuffle_hash"), "row", "left_semi")
-    words = scratch.write(texts.select("row", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower)).alias("terms")))
+    words = scratch.write(texts.select("row", terms.alias("terms")))
     total = scratch.write(first.agg(F.count(F.lit(1)).alias("total")))
-    bearing = held.where(F.size("entities") > 0).join(first, "row", "left_semi").select("row", "entities")
+    # of texts with an entity the words came along, so that all words need not be joined to them
+    bearing = held.where(F.size("entities") > 0).groupBy("seen").agg(F.min_by(F.struct("entities", "terms"), "row").alias("b")).select("b.*")
     n_e = bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = words.join(bearing, "row").select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
+    pairs = bearing.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
     n_te = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"))
     # n_t is n_te at least, so the rest can't reach the share at any n_t
     n_te = scratch.write(n_te.where(least_share(F.col("n_te"), F.col("n_te"), z) >= disclosure))
