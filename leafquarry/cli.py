@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import os
 import sys
 import time
 
@@ -14,6 +15,7 @@ from . import sinks
 from .functions import arguments, paths
 from .operators import enrich, search, sweep
 from .sources import config, files
+from .sources.ocr_http import ANNOTATION, HttpOcr
 from .state import Store
 
 
@@ -25,14 +27,16 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("sweep")
     s.add_argument("paths", nargs="*")
     s.add_argument("--redo", action="store_true")
-    s.add_argument("-j", type=int, default=4)
+    s.add_argument("-j", type=int, help="tasks that read files; by default four for each core")
     s.add_argument("--exclude", action="append", default=[])
     s = sub.add_parser("cost")
     s.add_argument("--redo", action="store_true")
     s = sub.add_parser("ocr")
     s.add_argument("--redo", action="store_true")
     s.add_argument("-j", type=int, default=4)
-    s.add_argument("--provider", default="", help="module:function that makes a provider")
+    s.add_argument("--provider", default="", help="module:function that makes a provider; by default one over HTTP")
+    s.add_argument("--url", help="where the HTTP provider posts files; by default $LEAFQUARRY_OCR_URL")
+    s.add_argument("--model", help="its model; by default $LEAFQUARRY_OCR_MODEL")
     s = sub.add_parser("find")
     s.add_argument("query", nargs="*")
     s.add_argument("-v", action="store_true")
@@ -63,7 +67,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run_sweep(store: Store, args, cfg: config.Config, ask=input) -> list[str]:
-    arguments.concurrency(args.j)
+    if args.j is not None:
+        arguments.concurrency(args.j)
     wanted = args.paths or list(cfg.paths)
     if not wanted:
         raise ValueError("no paths to sweep")
@@ -75,16 +80,28 @@ def run_sweep(store: Store, args, cfg: config.Config, ask=input) -> list[str]:
         if ask(f"Delete all {n} documents first? [y/N] ").strip().lower() != "y":
             return ["Nothing was changed."]
         catalog = catalog.reset()
-    rows = files.scan(store.spark, found).cache()
+    rows = store.write("scan", files.scan(store.spark, found))
     excluded = rows.where(paths.matches_any(F.col("path"), args.exclude)).count()
     scan = files.measured(rows, excludes=args.exclude, workers=args.j)
-    decided = sweep.decide(catalog, scan, roots).cache()
+    decided = store.write("decided", sweep.decide(catalog, scan, roots))  # counting and applying see the same files
     counts = sweep.counters(decided, excluded).first().asDict()
     out += [f"warning: {r.path}: {r.error}" for r in decided.where("action = 'failed'").toLocalIterator()]
     store.save(sweep.apply(catalog, decided, store.ids))
+    store.forget("scan", "decided")
     return [*out, ", ".join(f"{v} {k}" for k, v in counts.items())]
 
 
+def provider(args):
+    """What makes the provider: the function that was named, or OCR over HTTP with the key of $LEAFQUARRY_OCR_KEY."""
+    module, _, name = args.provider.partition(":")
+    if name:
+        return getattr(importlib.import_module(module), name)
+    url, model, key = args.url or os.environ.get("LEAFQUARRY_OCR_URL"), args.model or os.environ.get("LEAFQUARRY_OCR_MODEL"), os.environ.get("LEAFQUARRY_OCR_KEY")
+    if not (url and model and key):
+        raise ValueError("give --provider, or a URL, a model and the key in $LEAFQUARRY_OCR_KEY")
+    return lambda: HttpOcr(url, key, model, ANNOTATION)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask=input) -> int:
     args = parser().parse_args(argv)
     needs_config = args.database is None or (args.command == "sweep" and not args.paths)
@@ -108,20 +125,20 @@ def command(store: Store, args, cfg: config.Config, ask=input):
         return [sinks.cost_text(catalog.cost(args.redo), args.redo)]
     if args.command == "ocr":
         arguments.concurrency(args.j)
-        module, _, name = args.provider.partition(":")
-        if not name:
-            raise ValueError("--provider module:function is needed")
-        begin, work = time.time(), enrich.jobs(catalog, args.redo).cache()
-        results = enrich.run_ocr(work, getattr(importlib.import_module(module), name), args.j).cache()
+        begin = time.time()
+        # written before anything reads them: a lost executor must not call a paid provider again
+        work = store.write("jobs", enrich.jobs(catalog, args.redo))
+        results = store.write("results", enrich.run_ocr(work, provider(args), args.j))
         n = work.count()
         lines = [sinks.progress_line(i + 1, n, r.status, r.path.rsplit("/", 1)[-1], r.error or f"{len(r.pages)} pages") for i, r in enumerate(results.toLocalIterator())]
         store.save(enrich.store(catalog, results))
         done = enrich.progress(results, n, time.time() - begin).first()
+        store.forget("jobs", "results")
         return [*lines, f"{done.succeeded} succeeded, {done.failed} failed, {done.skipped} skipped"]
     if args.command == "find":
         if not args.query and not args.fts:
             raise ValueError("a query or --fts is needed")
-        found = search.find(catalog.pages, catalog.documents, catalog.contents, search.Options(" ".join(args.query), args.fts, args.mode, args.limit, args.offset, True, args.trigram))
+        found = search.find(catalog.pages, catalog.documents, catalog.contents, search.Options(" ".join(args.query), args.fts, args.mode, args.limit, args.offset, True, args.trigram), postings=store.postings())
         return sinks.found_json(found) if args.json else sinks.found_text(found, args.v, sys.stdout.isatty())
     if args.command == "read":
         pages = catalog.read(args.path, arguments.page_range(args.page, args.context, args.start, args.end))

@@ -150,7 +150,10 @@ class Catalog:
         return Catalog(self.contents.limit(0), self.documents.limit(0), self.pages.limit(0))
 
     def upsert_pages(self, new: DataFrame) -> Catalog:
-        """new(content_id, page_index, markdown) replaces or joins the pages; ids of replaced pages stay."""
+        """new(content_id, page_index, markdown) replaces or joins the pages; ids of replaced pages stay. Of rows with one
+        key the last counts, by a column `place` if new has one, else by the text."""
+        last = F.max_by("markdown", "place" if "place" in new.columns else "markdown")
+        new = new.groupBy("content_id", "page_index").agg(last.alias("markdown"))
         old = self.pages.select("content_id", "page_index", F.col("id").alias("__id"))
         top = F.broadcast(self.pages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top")))
         named = new.join(old, ["content_id", "page_index"], "left").crossJoin(top)
@@ -167,7 +170,7 @@ class Catalog:
     def replace_pages(self, results: DataFrame) -> Catalog:
         """results(content_id, pages array of (page_index, markdown)): upsert all, drop indexes from the number of pages on,
         and mark the contents done."""
-        new = results.select("content_id", F.explode("pages").alias("p")).select("content_id", F.col("p.page_index").cast("int").alias("page_index"), F.col("p.markdown").alias("markdown"))
+        new = results.select("content_id", F.posexplode("pages").alias("place", "p")).select("content_id", "place", F.col("p.page_index").cast("int").alias("page_index"), F.col("p.markdown").alias("markdown"))
         size = results.select("content_id", F.size("pages").alias("__size"))
         out = self.upsert_pages(new)
         pages = out.pages.join(size, "content_id", "left").where(F.col("__size").isNull() | (F.col("page_index") < F.col("__size")))

@@ -20,10 +20,16 @@ from .search import bm25, matched, with_search_text
 BUCKETS = 256
 
 
+def buckets_for(pages: int) -> int:
+    """Buckets of a table of so many pages: some thousand pages' words in each, BUCKETS at most."""
+    return min(BUCKETS, max(1, pages // 4000))
+
+
 @dataclass(frozen=True)
 class Postings:
     terms: DataFrame
     stats: DataFrame  # one row: total, avgdl over all pages
+    buckets: int
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -38,19 +44,20 @@ def build(pages: DataFrame, buckets: int = BUCKETS) -> Postings:
     each = held.select("content_id", "page_index", "dl", F.posexplode("ws").alias("pos", "term"))
     terms = each.groupBy("term", "content_id", "page_index", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     stats = held.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("avgdl"))
-    return Postings(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), stats)
+    return Postings(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), stats, buckets)
 
 
 def write(postings: Postings, path: str, buckets: int = BUCKETS) -> None:
-    """A frequent term's rows are spread over files by page, so no bucket is one task."""
-    spread = F.pmod(F.xxhash64("content_id"), F.lit(8))
+    """A frequent term's rows are spread over files by page, so no bucket of a large table is one task."""
+    spread = F.pmod(F.xxhash64("content_id"), F.lit(max(1, buckets // 32)))
     dealt = postings.terms.repartition("bucket", spread).sortWithinPartitions("bucket", "term")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     postings.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read(spark: SparkSession, path: str) -> Postings:
-    return Postings(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"))
+def read(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Postings:
+    schema = "term string, content_id long, page_index int, dl int, positions array<int>, bucket int"
+    return Postings(spark.read.schema(schema).parquet(f"{path}/terms"), spark.read.schema("total long, avgdl double").parquet(f"{path}/stats"), buckets)
 
 
 def _positions(term: str, prefix: bool) -> Column:
@@ -59,7 +66,7 @@ def _positions(term: str, prefix: bool) -> Column:
     return F.array_distinct(F.flatten(F.collect_list(F.when(hit, F.col("positions")))))
 
 
-def rank(postings: Postings, node, buckets: int = BUCKETS) -> DataFrame:
+def rank(postings: Postings, node) -> DataFrame:
     """(content_id, page_index, rank) of the pages that match. NEAR needs texts: see search.rank_pages."""
     phrases = Q.phrases(node)
     tokens = [[t for part in p.parts for t in word_tokens(part)] for p in phrases]
@@ -68,7 +75,7 @@ def rank(postings: Postings, node, buckets: int = BUCKETS) -> DataFrame:
     spark = postings.terms.sparkSession
     tests = []
     if whole:
-        at = [r[0] for r in spark.createDataFrame([(t,) for t in whole], "t string").select(bucket_of(F.col("t"), buckets)).distinct().collect()]
+        at = [r[0] for r in spark.createDataFrame([(t,) for t in whole], "t string").select(bucket_of(F.col("t"), postings.buckets)).distinct().collect()]
         tests.append(F.col("bucket").isin(at) & F.col("term").isin(whole))
     tests += [F.col("term").startswith(t) for t in starts]
     needed = postings.terms.where(reduce(lambda a, b: a | b, tests, F.lit(False)))

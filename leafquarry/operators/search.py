@@ -179,15 +179,18 @@ def live(documents: DataFrame, contents: DataFrame) -> DataFrame:
     return documents.where(~F.col("deleted")).select("path", "content_id").join(named, "content_id")
 
 
-def leg(pages: DataFrame, documents: DataFrame, contents: DataFrame, node, index: str, fetch: int, postings=None) -> DataFrame:
-    """The best rows of one index: (path, page_index, page_count, search_text, rank, search_source)."""
+def leg(pages: DataFrame, documents: DataFrame, contents: DataFrame, node, index: str, fetch: int, postings=None, texts: bool = True) -> DataFrame:
+    """The best rows of one index: (path, page_index, page_count, search_text, rank, search_source). Without texts,
+    search_text is null, and a posting table is all that the word leg reads."""
     source = F.lit("fts" if index == "word" else "trigram").alias("search_source")
     if index == "word" and postings is not None and not _nears(node, []):
         from .postings import rank
 
         best = rank(postings, node).join(live(documents, contents), "content_id").orderBy("rank", "path", "page_index").limit(fetch)
-        texts = with_search_text(pages).select("content_id", "page_index", "search_text")
-        out = texts.join(F.broadcast(best), ["content_id", "page_index"])  # at most fetch rows
+        if not texts:
+            return best.select("path", "page_index", "page_count", F.lit(None).cast("string").alias("search_text"), "rank", source)
+        held = with_search_text(pages).select("content_id", "page_index", "search_text")
+        out = held.join(F.broadcast(best), ["content_id", "page_index"])  # at most fetch rows
         return out.select("path", "page_index", "page_count", "search_text", "rank", source)
     ranked = rank_pages(with_search_text(pages).select("content_id", "page_index", "search_text"), node, index)
     out = ranked.join(live(documents, contents), "content_id")
@@ -227,7 +230,7 @@ def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: O
     spark = pages.sparkSession
     if node is None:
         return spark.createDataFrame([], FOUND)
-    found = leg(pages, documents, contents, node, "word", fetch, postings)
+    found = leg(pages, documents, contents, node, "word", fetch, postings, snippets)
     if options.trigram:
         found = merge(found, leg(pages, documents, contents, node, "trigram", fetch))
     found = found.withColumn("__late", F.lit(0))
@@ -245,9 +248,9 @@ def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: O
     return page.select("path", "page_index", "page_count", "snippet", "rank", "search_source")
 
 
-def multi_find(pages: DataFrame, documents: DataFrame, contents: DataFrame, probes: list[Options]) -> DataFrame:
+def multi_find(pages: DataFrame, documents: DataFrame, contents: DataFrame, probes: list[Options], snippets: bool = True, postings=None) -> DataFrame:
     """Several probes at once: each (path, page) once, from fts before trigram before path, then by rank."""
-    legs = [find(pages, documents, contents, p).withColumn("__probe", F.lit(k)) for k, p in enumerate(probes)]
+    legs = [find(pages, documents, contents, p, snippets, postings).withColumn("__probe", F.lit(k)) for k, p in enumerate(probes)]
     every = reduce(lambda a, b: a.unionByName(b), legs)
     place = F.element_at(F.create_map(F.lit("fts"), F.lit(0), F.lit("trigram"), F.lit(1), F.lit("path"), F.lit(2)), F.col("search_source"))
     w = Window.partitionBy("path", "page_index").orderBy(place, "rank", "__probe")

@@ -6,22 +6,56 @@ documents of several pages, `pages` and `events` give urls and times.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
 from .functions import arguments, paths, text
 from .operators import catalog as C
-from .operators import enrich, search, sweep
+from .operators import enrich, postings, search, sweep
 from .plans import query as Q
+from .shared import shared_dir
+from .sources import files
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def library(spark: SparkSession, d: str) -> C.Catalog:
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+@dataclass(frozen=True)
+class Library(C.Catalog):
+    """A catalogue on disk, with the word index of its pages."""
+
+    postings: postings.Postings
+
+
+def library(spark: SparkSession, d: str) -> Library:
+    """library_plan() as it stands on disk: written once for a session, as a catalogue is by its sweeps, and then read."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _WRITTEN:
+        base, plan = f"{shared_dir(spark)}/leafquarry-library-{uuid.uuid4().hex[:12]}", library_plan(spark, d)
+        plan.contents.write.parquet(f"{base}/contents")
+        plan.documents.write.parquet(f"{base}/documents")
+        plan.pages.withColumn("search_text", text.normalize("markdown")).write.parquet(f"{base}/pages")
+        pages = spark.read.parquet(f"{base}/pages")
+        n = postings.buckets_for(pages.count())
+        postings.write(postings.build(pages, n), f"{base}/postings", n)
+        _WRITTEN[key] = base
+    base = _WRITTEN[key]
+    n = postings.buckets_for(spark.read.parquet(f"{base}/pages").count())
+    return Library(*(spark.read.parquet(f"{base}/{t}") for t in ("contents", "documents", "pages")), postings.read(spark, f"{base}/postings", n))
+
+
+def library_plan(spark: SparkSession, d: str) -> C.Catalog:
     """documents as a catalogue of one-page files; each seventeenth is deleted, each fifth content waits for OCR."""
     docs = table(spark, d, "documents").withColumn("checksum", F.sha2("text", 256))
     contents = docs.groupBy("checksum").agg(F.min("doc_id").alias("id"), F.min_by("text", "doc_id").alias("markdown"))
@@ -60,7 +94,7 @@ def _results(found: DataFrame) -> DataFrame:
 
 def _find(lib: C.Catalog, **options) -> DataFrame:
     options.setdefault("path_fallback", False)
-    return _results(search.find(lib.pages, lib.documents, lib.contents, search.Options(**options), snippets=False))
+    return _results(search.find(lib.pages, lib.documents, lib.contents, search.Options(**options), snippets=False, postings=lib.postings))
 
 
 def _bm25(phrases: list[str], condition: str, limit: int, offset: int = 0) -> str:
@@ -131,12 +165,12 @@ def path_fallback(spark, d):
 def multi_find(spark, d):
     lib = library(spark, d)
     probes = [search.Options(query=q, limit=5, path_fallback=False) for q in ("the thing", "of the", "and")]
-    return _results(search.multi_find(lib.pages, lib.documents, lib.contents, probes))
+    return _results(search.multi_find(lib.pages, lib.documents, lib.contents, probes, snippets=False, postings=lib.postings))
 
 
 def snippets(spark, d):
     lib = library(spark, d)
-    return search.find(lib.pages, lib.documents, lib.contents, search.Options(query="the thing", limit=20)).select("path", "page_index", "snippet", "search_source")
+    return search.find(lib.pages, lib.documents, lib.contents, search.Options(query="the thing", limit=20), postings=lib.postings).select("path", "page_index", "snippet", "search_source")
 
 
 def read_range(spark, d):
@@ -227,8 +261,9 @@ def sweep_counters(spark, d):
 
 def sweep_apply(spark, d):
     lib, scan = _second_scan(spark, d)
-    decided = sweep.decide(lib, scan, []).persist()  # apply reads it several times
-    out = sweep.apply(lib, decided, sweep.Ids(10_000_000, 20_000_000))
+    path = f"{shared_dir(spark)}/leafquarry-decided-{uuid.uuid4().hex[:12]}"
+    sweep.decide(lib, scan, []).write.parquet(path)  # apply reads it several times
+    out = sweep.apply(lib, spark.read.parquet(path), sweep.Ids(10_000_000, 20_000_000))
     return out.documents_view().select("path", "checksum", "deleted", "ocr_pending")
 
 
@@ -291,13 +326,119 @@ def join_aggregate(spark, d):
         JOIN lq_customer ON o_custkey = c_custkey JOIN lq_nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 
 
+def fts_prefix(spark, d):
+    return _find(library(spark, d), raw="tha*", limit=25)
+
+
+def fts_first(spark, d):
+    return _find(library(spark, d), raw="^the", limit=25)
+
+
+def fts_concat(spark, d):
+    return _find(library(spark, d), raw="of + the", limit=25)
+
+
+def fts_column(spark, d):
+    return _find(library(spark, d), raw="{search_text}: (thing OR andthe)", limit=25)
+
+
+def path_appended(spark, d):
+    """Full-text hits first, then documents that only their paths name."""
+    return _find(library(spark, d), raw='"on"', query="src1/ 1.pdf", limit=40, path_fallback=True, offset=25)
+
+
+def doc_by_path(spark, d):
+    lib = library(spark, d)
+    return lib.by_path(lib.documents.agg(F.min("path")).first()[0]).select("id", "path", "checksum", "deleted")
+
+
+def content_by_checksum(spark, d):
+    lib = library(spark, d)
+    return lib.by_checksum(lib.contents.agg(F.max("checksum")).first()[0])
+
+
+def page_one(spark, d):
+    return spark.createDataFrame([(talks(spark, d).page("/talks/3.pdf", 1),)], "markdown string")
+
+
+def insert_and_mark(spark, d):
+    lib = library(spark, d)
+    marked = lib.insert_content("fresh", 3, 90_000_000).mark_done([0, 5, 10])
+    return marked.contents.select("id", "page_count", "ocr_pending")
+
+
+def insert_and_update(spark, d):
+    """A new document, and each ninth moved to content 1 and restored."""
+    lib = library(spark, d)
+    at = arguments.time_bound("2025-06-01")
+    changes = lib.documents.where("id % 9 = 0").select("id", F.lit(1).cast("long").alias("content_id"), F.lit(at).alias("modified_at"), F.lit(7).cast("long").alias("modified_ns"))
+    out = C.Catalog(lib.contents, lib.documents, lib.pages).insert_document(90_000_000, "/new.pdf", 1, at, 8).update_documents(changes, restore=True)
+    return out.documents.select("id", "path", "content_id", "modified_at", "modified_ns", "deleted")
+
+
+def upsert_pages(spark, d):
+    """Pages given twice: the last one counts."""
+    lib = talks(spark, d)
+    held = C.Catalog(lib.contents, lib.documents, lib.pages.withColumn("search_text", text.normalize("markdown")))
+    new = held.contents.where("id % 4 = 0").select(F.col("id").alias("content_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(i % 2 + 90).alias("page_index"), F.lit(f"Text {i}").alias("markdown")) for i in range(4)])).alias("p"))
+    return held.upsert_pages(new.select("content_id", "p.*")).pages.select("content_id", "page_index", "markdown", "search_text")
+
+
+def delete_pages(spark, d):
+    lib = talks(spark, d)
+    return lib.delete_pages(3).pages.select("content_id", "page_index")
+
+
+def document_count(spark, d):
+    lib = library(spark, d)
+    reset = C.Catalog(lib.contents, lib.documents, lib.pages).reset()
+    return lib.documents.agg(F.count(F.lit(1)).alias("documents")).crossJoin(reset.documents.agg(F.count(F.lit(1)).alias("after_reset")))
+
+
+def ocr_progress(spark, d):
+    results = enrich.run_ocr(enrich.jobs(library(spark, d)).withColumn("content_type", F.when(F.col("content_id") % 10 == 0, F.lit(None)).otherwise(F.col("content_type"))), FakeProvider)
+    return enrich.progress(results, 1000, 60.0).select("succeeded", "failed", "skipped", F.round("percent", 6).alias("percent"), F.round("eta", 6).alias("eta"))
+
+
+def document_ndjson(spark, d):
+    """The listing's lines of JSON."""
+    lines = list(sinks.document_json(library(spark, d).list(limit=25)))
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+def document_lines(spark, d):
+    lines = list(sinks.documents_text(library(spark, d).list(limit=10)))
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+def durations(spark, d):
+    docs = table(spark, d, "documents")
+    seconds = (F.col("doc_id") * 37).cast("double") / 4
+    return docs.select("doc_id", text.duration(seconds).alias("took"), text.data_url(F.lit("text/plain"), F.encode(F.substring("text", 1, 20), "UTF-8")).alias("url"))
+
+
+def scan_tree(spark, d):
+    """A small tree of files of every kind, swept: supported ones with checksum and pages, without what macOS keeps."""
+    top = tempfile.mkdtemp(prefix="leafquarry-tree-")
+    pages = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Count 17 >>\nendobj\ntrailer << /Root 1 0 R >>\n"
+    tree = {"a.pdf": pages, "sub/b.PNG": b"b", "sub/deep/_c.jpeg": b"c", "sub/.d.jpg": b"d", "sub/e.txt": b"e", ".DS_Store": b"f", "._g.png": b"g", ".Trash/h.png": b"h", "skip/i.png": b"i", "bad.pdf": b"j"}
+    for name, data in tree.items():
+        os.makedirs(os.path.dirname(f"{top}/{name}"), exist_ok=True)
+        with open(f"{top}/{name}", "wb") as f:
+            f.write(data)
+    found, _, _ = paths.resolve([top, f"{top}/sub/*.PNG"])
+    rows = files.measured(files.scan(spark, found, skip_macos=True), excludes=[f"{top}/skip/**"]).groupBy("path").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("size", "content_type", "checksum", "page_count")])
+    return rows.select(F.substring("path", len(top) + 2, 1000).alias("name"), "size", "content_type", "checksum", F.coalesce("page_count", F.lit(-1)).alias("page_count"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, fts_and, fts_or, fts_phrase, fts_not, fts_page, fts_trigram, find_hybrid, path_fallback, multi_find, snippets,
         read_range, read_context, doc_get, doc_list_range, doc_list_page, event_range, pending_contents, pending_documents, orphan_contents,
         representative_path, live_contents, all_stats, pending_stats, cost_estimate, dedupe_contents, sweep_plan, sweep_counters, sweep_apply,
-        soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
+        fts_prefix, fts_first, fts_concat, fts_column, path_appended, doc_by_path, content_by_checksum, page_one, insert_and_mark, insert_and_update,
+        upsert_pages, delete_pages, document_count, ocr_progress, document_ndjson, document_lines, durations, scan_tree, soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
     )
 }
 
@@ -315,7 +456,58 @@ _SCAN = f"""{_LIB}, old AS (SELECT f.id, path, checksum, page_count, deleted, oc
         o.deleted, o.checksum, o.ocr_pending, sum2, o.path IS NULL OR o.ocr_pending OR (sum2 <> checksum AND ns2 <> ns) AS wants
         FROM scan s FULL OUTER JOIN old o ON s.path = o.path)""".replace(", id AS _i", "")
 
+
+
+def _named(body: str, k: int) -> str:
+    """A ranked query's SQL under names of its own."""
+    for name in ("counted", "stats", "ranked", "hits"):
+        body = body.replace(name, f"{name}{k}")
+    return body.replace("DL AS dl", "len(ws) AS dl")
+
+
+_PROBES = [(["the", "thing"], "n0 > 0 AND n1 > 0"), (["of", "the"], "n0 > 0 AND n1 > 0"), (["and"], "n0 > 0")]
+_OF_THE = "len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'))"
+_PDF = 'encode(\'%PDF-1.4\' || chr(10) || \'1 0 obj\' || chr(10) || \'<< /Type /Catalog /Pages 2 0 R >>\' || chr(10) || \'endobj\' || chr(10) || \'2 0 obj\' || chr(10) || \'<< /Type /Pages /Count 17 >>\' || chr(10) || \'endobj\' || chr(10) || \'trailer << /Root 1 0 R >>\' || chr(10))'
+
 ORACLES: dict[str, str] = {
+    "multi_find": f"WITH {SQL_LIBRARY}, {', '.join(_named(_bm25([_word(w) for w in ws], c, 5), k) for k, (ws, c) in enumerate(_PROBES))}, " + "every_hit AS (" + " UNION ALL ".join(f"SELECT *, {k} AS probe FROM hits{k}" for k in range(3)) + """),
+        best AS (SELECT *, row_number() OVER (PARTITION BY path, page_index ORDER BY rank, probe) AS n FROM every_hit)
+        SELECT path, page_index, page_count, round(rank, 6) AS rank, 'fts' AS search_source FROM best WHERE n = 1""",
+    "fts_prefix": _words_sql(["len(list_filter(ws, lambda w: starts_with(w, 'tha')))"], "n0 > 0", 25),
+    "fts_first": _words_sql(["CASE WHEN len(ws) > 0 AND ws[1] = 'the' THEN 1 ELSE 0 END"], "n0 > 0", 25),
+    "fts_concat": _words_sql([_OF_THE], "n0 > 0", 25),
+    "fts_column": _words_sql([_word("thing"), _word("andthe")], "n0 > 0 OR n1 > 0", 25),
+    "path_appended": f"""WITH {SQL_LIBRARY}, {_bm25([_word("on")], "n0 > 0", 65).replace("DL AS dl", "len(ws) AS dl")},
+        named AS (SELECT path, page_count FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted AND path ILIKE '%src1/%' AND path ILIKE '%1.pdf%' ORDER BY path LIMIT 65),
+        every_row AS (SELECT path, page_index, page_count, rank, 'fts' AS search_source, 0 AS late FROM hits
+            UNION ALL SELECT path, 0, page_count, CAST(0 AS DOUBLE), 'path', 1 FROM named WHERE path NOT IN (SELECT path FROM hits)),
+        page AS (SELECT * FROM every_row ORDER BY late, rank, path LIMIT 40 OFFSET 25)
+        SELECT path, page_index, page_count, round(rank, 6) AS rank, search_source FROM page""",
+    "doc_by_path": f"WITH {SQL_LIBRARY} SELECT f.id, path, checksum, deleted FROM files f JOIN contents c ON c.id = f.content_id WHERE path = (SELECT min(path) FROM files)",
+    "content_by_checksum": f"WITH {SQL_LIBRARY} SELECT * FROM contents WHERE checksum = (SELECT max(checksum) FROM contents)",
+    "page_one": "SELECT text AS markdown FROM conversations WHERE conv_id = 3 AND turn = 1",
+    "insert_and_mark": f"WITH {SQL_LIBRARY} SELECT id, page_count, ocr_pending AND id NOT IN (0, 5, 10) AS ocr_pending FROM contents UNION ALL SELECT 90000000, CAST(3 AS INTEGER), true",
+    "insert_and_update": f"""WITH {SQL_LIBRARY} SELECT id, path, CASE WHEN id % 9 = 0 THEN 1 ELSE content_id END AS content_id, CASE WHEN id % 9 = 0 THEN TIMESTAMP '2025-06-01 00:00:00' ELSE created_at END AS modified_at,
+        CASE WHEN id % 9 = 0 THEN 7 ELSE id * 1000 END AS modified_ns, deleted AND id % 9 <> 0 AS deleted FROM files
+        UNION ALL SELECT 90000000, '/new.pdf', 1, TIMESTAMP '2025-06-01 00:00:00', 8, false""",
+    "upsert_pages": r"""WITH t AS (SELECT conv_id AS content_id, CAST(turn AS INTEGER) AS page_index, text AS markdown FROM conversations
+            UNION ALL SELECT DISTINCT conv_id, CAST(90 + i AS INTEGER), 'Text ' || (2 + i) FROM conversations, range(0, 2) r(i) WHERE conv_id % 4 = 0)
+        SELECT *, trim(regexp_replace(lower(markdown), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS search_text FROM t""",
+    "delete_pages": "SELECT conv_id AS content_id, CAST(turn AS INTEGER) AS page_index FROM conversations WHERE conv_id <> 3",
+    "document_count": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS after_reset FROM documents",
+    "ocr_progress": f"""WITH {SQL_LIBRARY}, j AS (SELECT content_id, arg_min(path, f.id) AS path FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted AND ocr_pending GROUP BY content_id),
+        s AS (SELECT CASE WHEN content_id % 10 = 0 THEN 'SKIP' WHEN ends_with(path, '5.pdf') THEN 'FAIL' ELSE 'OK' END AS status FROM j),
+        n AS (SELECT count(*) FILTER (status = 'OK') AS succeeded, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'SKIP') AS skipped FROM s)
+        SELECT *, round(100.0::DOUBLE * (succeeded + failed + skipped) / 1000, 6) AS percent, round(60.0::DOUBLE / (succeeded + failed) * (1000 - succeeded - failed - skipped), 6) AS eta FROM n""",
+    "document_ndjson": f"""WITH {SQL_LIBRARY}, l AS (SELECT f.id, path, created_at, page_count, ocr_pending FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted ORDER BY created_at DESC, f.id LIMIT 25)
+        SELECT '{{"path":"' || path || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","modified_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","page_count":' || page_count || ',"ocr_pending":' || ocr_pending || ',"deleted":false}}' AS line FROM l""",
+    "document_lines": f"""WITH {SQL_LIBRARY}, l AS (SELECT f.id, path, created_at, page_count FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted ORDER BY created_at DESC, f.id LIMIT 10)
+        SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '  ' || path || '  (' || page_count || ' pages)' AS line FROM l UNION ALL SELECT '' UNION ALL SELECT (SELECT count(*) FROM l) || ' document(s).'""",
+    "durations": """WITH s AS (SELECT doc_id, text, CAST(floor(doc_id * 37 / 4.0) AS BIGINT) AS s, doc_id * 37 / 4.0 AS x FROM documents)
+        SELECT doc_id, CASE WHEN x <= 0 THEN '0s' WHEN x < 1 THEN '<1s' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's'
+            ELSE (s // 3600) || 'h' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' END AS took, 'data:text/plain;base64,' || base64(encode(substr(text, 1, 20))) AS url FROM s""",
+    "scan_tree": f"""SELECT name, CAST(CASE WHEN name = 'a.pdf' THEN octet_length({_PDF}) ELSE 1 END AS BIGINT) AS size, kind AS content_type, CASE WHEN name = 'a.pdf' THEN sha256({_PDF}) WHEN data IS NOT NULL THEN sha256(data) END AS checksum, CAST(pages AS INTEGER) AS page_count
+        FROM (VALUES ('a.pdf', 'pdf', NULL, 17), ('sub/b.PNG', 'png', 'b', 1), ('sub/deep/_c.jpeg', 'jpeg', 'c', 1), ('sub/.d.jpg', 'jpeg', 'd', 1), ('bad.pdf', 'pdf', NULL, -1)) t(name, kind, data, pages)""",
     "normalize_text": r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS search_text FROM documents",
     "fts_and": _words_sql([_word("the"), _word("thing")], "n0 > 0 AND n1 > 0", 20),
     "fts_or": _words_sql([_word("andthe"), _word("thing"), _word("ering")], "n0 > 0 OR n1 > 0 OR n2 > 0", 30),

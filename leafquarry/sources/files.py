@@ -1,4 +1,4 @@
-"""File scan as a Python data source: one partition for each root, directories walked on the executors.
+"""File scan as a Python data source: directories are walked on the executors, some levels below the roots in parallel.
 
 Spark's own file sources hide names that begin with `_` or `.`; a catalogue must not.
 """
@@ -18,6 +18,7 @@ from ..functions.paths import matches_any
 from ..functions.text import CONTENT_TYPES
 from ..schema import SCAN
 from ..shipping import ship_package
+from . import pdf
 
 FOUND = "path string, mtime_ns bigint, size bigint, content_type string"
 # What macOS keeps beside a user's files.
@@ -29,8 +30,8 @@ def type_of(path: str) -> str | None:
 
 
 def walk(root: str, skip_macos: bool = False) -> Iterator[tuple[str, int, int, str]]:
-    """(path, mtime in ns, size, content type) of supported files, in name order. Unreadable entries are passed over and
-    links are not followed."""
+    """(path, mtime in ns, size, content type) of supported files, a folder's own in name order before those below.
+    Unreadable entries are passed over and links are not followed."""
     try:
         info = os.lstat(root)
     except OSError:
@@ -40,18 +41,54 @@ def walk(root: str, skip_macos: bool = False) -> Iterator[tuple[str, int, int, s
         if kind and not (skip_macos and (os.path.basename(root) in MAC_FILES or os.path.basename(root).startswith(MAC_PREFIX))):
             yield root, info.st_mtime_ns, info.st_size, kind
         return
+    waiting = [root]
+    while waiting:
+        top = waiting.pop()
+        folders = []
+        for full, is_folder in entries(top, skip_macos):
+            if is_folder:
+                folders.append(full)
+            else:
+                yield from walk(full, skip_macos)
+        waiting += reversed(folders)
+
+
+def entries(folder: str, skip_macos: bool) -> list[tuple[str, bool]]:
+    """(path, is a folder) of a folder's entries by name; none of an unreadable one."""
     try:
-        names = sorted(os.listdir(root))
+        with os.scandir(folder) as found:
+            return sorted((e.path, e.is_dir(follow_symlinks=False)) for e in found if not (skip_macos and e.name in MAC_DIRS))
     except OSError:
-        return
-    for n in names:
-        if not (skip_macos and n in MAC_DIRS):
-            yield from walk(os.path.join(root, n), skip_macos)
+        return []
+
+
+class _Part(InputPartition):
+    """Folders and files to walk, each whole."""
+
+    def __init__(self, tops: list[str]):
+        self.tops = tops
+
+
+#: Parts that a scan is cut into where the folders allow it; files of one folder go together in parts of FILES.
+PARTS, FILES = 512, 1000
 
 
-class _Root(InputPartition):
-    def __init__(self, root: str):
-        self.root = root
+def parts(roots: list[str], skip_macos: bool) -> list[list[str]]:
+    """The roots, or their folders, or theirs: level by level until there are PARTS of them."""
+    done: list[list[str]] = []
+    level = list(roots)
+    while level and len(done) + len(level) < PARTS:
+        below: list[str] = []
+        for top in level:
+            if not os.path.isdir(top) or os.path.islink(top):
+                done.append([top])
+                continue
+            found = entries(top, skip_macos)
+            below += [p for p, is_folder in found if is_folder]
+            files = [p for p, is_folder in found if not is_folder]
+            done += [files[k : k + FILES] for k in range(0, len(files), FILES)]
+        level = below
+    return done + [[top] for top in level]
 
 
 class _Reader(DataSourceReader):
@@ -60,11 +97,11 @@ class _Reader(DataSourceReader):
         self.skip = options.get("skip_macos_metadata", "false").lower() == "true"
 
     def partitions(self):
-        return [_Root(r) for r in self.roots] or [_Root("")]
+        return [_Part(p) for p in parts(self.roots, self.skip)] or [_Part([])]
 
     def read(self, partition):
-        if partition.root:
-            yield from walk(partition.root, self.skip)
+        for top in partition.tops:
+            yield from walk(top, self.skip)
 
 
 class FileScan(DataSource):
@@ -96,15 +133,14 @@ def sha256_file(path: str, block: int = 1 << 20) -> str:
     return h.hexdigest()
 
 
-def images_only(path: str, content_type: str) -> int:
-    """A page counter without a PDF parser: images have one page."""
-    if content_type == "pdf":
-        raise ValueError("no PDF parser was given")
-    return 1
+def pages_of(path: str, content_type: str) -> int:
+    return pdf.page_count(path) if content_type == "pdf" else 1
 
 
-def measured(files: DataFrame, page_count: Callable[[str, str], int] = images_only, excludes: list[str] | None = None, workers: int = 4) -> DataFrame:
-    """Scan rows with checksum and page_count, or error; excluded files go before they are read."""
+def measured(files: DataFrame, page_count: Callable[[str, str], int] = pages_of, excludes: list[str] | None = None, workers: int | None = None) -> DataFrame:
+    """Scan rows with checksum and page_count, or error; excluded files go before they are read. Files are dealt to
+    `workers` tasks; without, to four for each core of the cluster, since they differ in size."""
+    ship_package(files.sparkSession)
     kept = files.where(~matches_any(F.col("path"), excludes or []))
 
     def measure(batches):
@@ -124,4 +160,4 @@ def measured(files: DataFrame, page_count: Callable[[str, str], int] = images_on
             out["page_count"] = out["page_count"].astype("Int32")
             yield out
 
-    return kept.repartition(workers).mapInPandas(measure, SCAN)
+    return kept.repartition(workers or 4 * files.sparkSession.sparkContext.defaultParallelism).mapInPandas(measure, SCAN)

@@ -16,6 +16,19 @@ MAX_BYTES, TIMEOUT, ERROR_BYTES = 200 << 20, 300.0, 200
 MIME = {"pdf": "application/pdf", "png": "image/png", "jpeg": "image/jpeg"}
 
 
+#: Fixed value: the strict schema of an image's annotation, as the service wants it.
+ANNOTATION = {
+    "name": "image_annotation",
+    "strict": True,
+    "schema": {
+        "type": "object",
+        "properties": {"image_type": {"type": "string", "description": "What kind of image it is"}, "description": {"type": "string", "description": "What the image shows"}},
+        "required": ["image_type", "description"],
+        "additionalProperties": False,
+    },
+}
+
+
 class HttpError(Exception):
     def __init__(self, status: int, body: str, retry_after: str | None):
         super().__init__(f"status {status}: {body[:ERROR_BYTES]}")

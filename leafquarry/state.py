@@ -7,11 +7,13 @@ import os
 import shutil
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import normalize
+from .operators import postings
 from .operators.catalog import Catalog
+from .operators.postings import Postings
 from .operators.sweep import Ids
 from .schema import TABLES, VERSION
 
@@ -52,6 +54,20 @@ class Store:
     def load(self) -> Catalog:
         return Catalog(*(self._table(n) for n in ("contents", "documents", "pages")))
 
+    def write(self, name: str, frame: DataFrame) -> DataFrame:
+        """A frame that is read several times, written beside the tables; forget() drops it."""
+        frame.write.mode("overwrite").parquet(f"{self.path}/work/{name}")
+        return self.spark.read.schema(frame.schema).parquet(f"{self.path}/work/{name}")
+
+    def forget(self, *names: str) -> None:
+        for n in names:
+            shutil.rmtree(f"{self.path}/work/{n}", ignore_errors=True)
+
+    def postings(self) -> Postings | None:
+        """The word index of the pages; None where they have none."""
+        at = self.manifest.get("postings")
+        return None if at is None else postings.read(self.spark, f"{self.path}/postings/v={at['version']}", at["buckets"])
+
     def _migrate(self) -> None:
         """Version 1 pages have no search_text: it is computed for all of them."""
         catalog = self.load()
@@ -65,6 +81,11 @@ class Store:
         for n in tables:
             frame = getattr(catalog, n).select(*[F.col(f.name).cast(f.dataType) for f in TABLES[n]])
             frame.write.mode("overwrite").parquet(f"{self.path}/{n}/v={version}")
+        if "pages" in tables:
+            held = self.spark.read.parquet(f"{self.path}/pages/v={version}")
+            buckets = postings.buckets_for(held.count())
+            postings.write(postings.build(held, buckets), f"{self.path}/postings/v={version}", buckets)
+            self.manifest = {**self.manifest, "postings": {"version": version, "buckets": buckets}}
         fresh = {**self.manifest, "version": version, "tables": {**self.manifest["tables"], **dict.fromkeys(tables, version)}}
         self.manifest = fresh
         saved = self.load()
@@ -75,8 +96,9 @@ class Store:
         with open(temp, "w", encoding="utf-8") as f:
             json.dump(fresh, f)
         os.replace(temp, f"{self.path}/manifest.json")
-        for n in tables:
-            for old in os.listdir(f"{self.path}/{n}"):
-                if old != f"v={version}":
-                    shutil.rmtree(f"{self.path}/{n}/{old}", ignore_errors=True)
+        # a reader may still hold the snapshot before this one; older ones go
+        for n in (*tables, *["postings"] * ("pages" in tables)):
+            old = sorted((x for x in os.listdir(f"{self.path}/{n}") if x != f"v={version}"), key=lambda x: os.path.getmtime(f"{self.path}/{n}/{x}"))
+            for x in old[:-1]:
+                shutil.rmtree(f"{self.path}/{n}/{x}", ignore_errors=True)
         return saved

@@ -113,6 +113,8 @@ def test_ocr(spark):
     assert sorted((r.content_id, r.status) for r in results.collect()) == [(1, "OK"), (2, "FAIL"), (3, "SKIP")]
     after = enrich.store(c, results)
     assert {r.id: r.ocr_pending for r in after.contents.collect()} == {1: False, 2: True, 3: True} and after.pages.count() == 2
+    twice = spark.createDataFrame([(2, [(0, "z"), (1, "b"), (0, "a")])], "content_id long, pages array<struct<page_index:int,markdown:string>>")
+    assert sorted((r.page_index, r.markdown) for r in c.replace_pages(twice).pages.collect()) == [(0, "a"), (1, "b")]  # the last one counts
     p = enrich.progress(results, 4, 10.0).first()
     assert (p.succeeded, p.failed, p.skipped, p.percent, p.eta) == (1, 1, 1, 75.0, 5.0)
 

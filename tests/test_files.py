@@ -19,6 +19,51 @@ def tree(tmp_path):
     return tmp_path
 
 
+def pdf(objects, trailer=b"<< /Root 1 0 R >>"):
+    body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects)
+    return b"%PDF-1.7\n" + body + b"trailer\n" + trailer + b"\n%%EOF\n"
+
+
+def test_pdf_pages(tmp_path):
+    import zlib
+
+    from leafquarry.sources.pdf import page_count
+
+    inner = b"1 0 2 34 << /Type /Catalog /Pages 2 0 R >>    << /Type /Pages /Count 12 /Kids [] >>"
+    first = inner.index(b"<<")
+    inner = b"1 0 2 %d" % (inner.index(b"<< /Type /Pages") - first) + b" " * (first - len(b"1 0 2 34")) + inner[first:]
+    packed = zlib.compress(inner)
+    stream = b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (first, len(packed)) + packed + b"\nendstream"
+    plain = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 3 >>"), (3, b"<< /Type /Pages /Count 2 >>"), (4, b"<< /Type /Page /Annots << >> >>")]
+    cases = {
+        "plain": (pdf(plain), 3),
+        "indirect": (pdf([plain[0], (2, b"<< /Type /Pages /Count 9 0 R >>"), (9, b" 5 ")]), 5),
+        "updated": (pdf(plain) + pdf([(2, b"<</Type/Pages/Count 4>>")])[9:], 4),
+        "packed": (pdf([(7, stream), (8, b"<< /Type /XRef /Root 1 0 R >>\nstream\nxx\nendstream")], b""), 12),
+        "no root": (pdf(plain[1:], b"<< >>"), 3),
+        "pages only": (pdf([(4, b"<< /Type /Page >>"), (5, b"<</Type/Page/X 1>>")], b"<< >>"), 2),
+    }
+    for name, (data, want) in cases.items():
+        (tmp_path / name).write_bytes(data)
+        assert page_count(str(tmp_path / name)) == want, name
+    for bad in (b"", b"hello", b"%PDF-1.4 nothing", pdf([(1, b"<< >>")], b"<< /Encrypt 3 0 R >>")):
+        (tmp_path / "bad").write_bytes(bad)
+        with pytest.raises(ValueError):
+            page_count(str(tmp_path / "bad"))
+
+
+def test_scan_is_cut_into_parts(tmp_path, monkeypatch):
+    for k in range(30):
+        (tmp_path / f"d{k % 5}" / f"e{k % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{k % 5}" / f"e{k % 3}" / f"{k}.png").write_bytes(b"x")
+    whole = sorted(p for p, *_ in files.walk(str(tmp_path)))
+    for most in (1, 4, 100):
+        monkeypatch.setattr(files, "PARTS", most)
+        cut = files.parts([str(tmp_path)], False)
+        assert sorted(p for tops in cut for top in tops for p, *_ in files.walk(top)) == whole and len(whole) == 30
+    assert len(cut) == 15
+
+
 def names(df, top):
     return sorted(os.path.relpath(r.path, top) for r in df.collect())
 
@@ -135,6 +180,13 @@ def test_cli(spark, tree, tmp_path, capsys):
     assert json.loads(out.out)["search_source"] == "path"
     assert run("find")[0] == 1 and run("read", "--path", "/none")[0] == 1 and run("doc", "get", "--path", "/none")[0] == 1
     assert "Nothing" in run("sweep", "--redo", str(tree / "images"), ask=lambda _: "n")[1].out
+    (tree / "images/two.pdf").write_bytes(pdf([(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Count 2 >>")]))
+    assert "1 new" in run("sweep", str(tree / "images"))[1].out
+    assert {json.loads(x)["path"][-7:]: json.loads(x)["page_count"] for x in run("doc", "list", "--json")[1].out.splitlines()} == {"two.pdf": 2, "s/f.png": 1}
+    assert run("ocr")[0] == 1
+    assert "2 succeeded, 0 failed" in run("ocr", "--provider", "leafquarry.queries:FakeProvider")[1].out
+    found = [json.loads(x) for x in run("find", "images", "two", "--json")[1].out.splitlines()]
+    assert [(f["search_source"], f["page_index"], f["page_count"]) for f in found] == [("fts", 0, 2)]
     os.remove(tree / "images/f.png")
     assert "1 deleted" in run("sweep", str(tree / "images"))[1].out
 
