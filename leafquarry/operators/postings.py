@@ -74,7 +74,9 @@ def rank(postings: Postings, node) -> DataFrame:
     starts = sorted({ts[-1] for ts, p in zip(tokens, phrases, strict=True) if ts and p.prefix})
     spark = postings.terms.sparkSession
     tests = []
-    if whole:
+    if whole and postings.buckets == 1:
+        tests.append(F.col("term").isin(whole))
+    elif whole:
         at = [r[0] for r in spark.createDataFrame([(t,) for t in whole], "t string").select(bucket_of(F.col("t"), postings.buckets)).distinct().collect()]
         tests.append(F.col("bucket").isin(at) & F.col("term").isin(whole))
     tests += [F.col("term").startswith(t) for t in starts]

@@ -28,7 +28,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str], tuple[str, int]] = {}
 
 
 @dataclass(frozen=True)
@@ -49,9 +49,8 @@ def library(spark: SparkSession, d: str) -> Library:
         pages = spark.read.parquet(f"{base}/pages")
         n = postings.buckets_for(pages.count())
         postings.write(postings.build(pages, n), f"{base}/postings", n)
-        _WRITTEN[key] = base
-    base = _WRITTEN[key]
-    n = postings.buckets_for(spark.read.parquet(f"{base}/pages").count())
+        _WRITTEN[key] = base, n
+    base, n = _WRITTEN[key]
     return Library(*(spark.read.parquet(f"{base}/{t}") for t in ("contents", "documents", "pages")), postings.read(spark, f"{base}/postings", n))
 
 
