@@ -4,9 +4,13 @@ Lines with a word are the alphabet; a suffix starts at each of them and ends wit
 suffix the rank of its first 2**k lines among all suffixes, by a range-partitioned sort of the pairs (rank of the first
 half, rank of the second half): prefix doubling. Suffixes whose rank nobody shares are settled and leave. Suffixes with a
 longest common prefix of at least m lines form one interval of the array; two overlapping ranks of level floor(log2 m)
-name that interval. A run is worth deleting from `min_words` words on, so for each suffix the shortest such m is looked
-up, forward from its start and backward from each line's end; together these windows cover every maximal repeated run of
-that many words. In each interval the first copy (by id, then row, then line) stays and the later copies are deleted,
+name that interval, wherever in the array it lies, so no task scans the array across its ranges. A run is worth deleting
+from `min_words` words on, so for each suffix the interval at the least such m is looked up, forward from its start and
+backward from each line's end. A maximal repeated run of that many words is the union of the windows within it: each of its
+lines is in the first or last such window that holds it, and each such window lies in an interval with an earlier place.
+So the lines deleted are those of the maximal runs (tests hold them against a plain suffix array with its LCP intervals),
+while doubling ends at the longest window instead of the longest run, which whole copies would stretch to a document.
+In each interval the first copy (by id, then row, then line) stays and the later copies are deleted,
 and so are the wordless lines between two deleted lines.
 
 Defined cases: null and empty texts have no lines and stay as they are (null becomes empty); exact copies lose all their
