@@ -14,7 +14,9 @@ def follow(scans: DataFrame, store: Store, checkpoint: str):
 
     def apply(batch: DataFrame, _: int) -> None:
         catalog = store.load()
-        decided = sweep.decide(catalog, batch, ["/dev/null/nowhere"])
-        store.save(sweep.apply(catalog, decided, store.ids))
+        decided = store.write("batch", sweep.decide(catalog, batch, ["/dev/null/nowhere"]))
+        if not decided.where("action in ('new', 'restored', 'updated', 'touched')").isEmpty():  # else the tables stay as they are
+            store.save(sweep.apply(catalog, decided, store.ids))
+        store.forget("batch")
 
     return scans.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
