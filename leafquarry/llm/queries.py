@@ -67,7 +67,161 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
+# The patterns of the contracts in DuckDB's dialect, which needs no care against rescans.
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+_IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+_CARD = r"[0-9]([\x20-]?[0-9])+"
+_PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_DIGITS = "regexp_replace(match, '[^0-9]', '', 'g')"
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _placed(kinds: dict[str, str]) -> str:
+    """SQL of placed (doc_id, o, kind, match, s, e): each kind's matches, o its place, [s, e) in code points."""
+    hit = "SELECT doc_id, {o} AS o, '{k}' AS kind, regexp_extract_all(t, {p}) AS m, string_split(regexp_replace(t, {p}, chr(1114109), 'g'), chr(1114109)) AS g FROM t"
+    hits = " UNION ALL ".join(hit.format(o=o, k=k, p=_text(p)) for o, (k, p) in enumerate(kinds.items()))
+    return f"""t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        hits AS ({hits}),
+        pieces AS (SELECT doc_id, o, kind, unnest(m) AS match, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM hits WHERE len(m) > 0),
+        ended AS (
+            SELECT doc_id, o, kind, match, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, o ORDER BY i) AS BIGINT) AS e FROM pieces),
+        placed AS (SELECT *, e - length(match) AS s FROM ended)"""
+
+
+def _digest(kinds: list[str]) -> str:
+    """SQL of a span contract's rows, from t, base and added (doc_id, o, kind, s, e)."""
+    spans = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e){0}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""spans AS (SELECT doc_id, o, kind, s, e FROM base UNION ALL SELECT doc_id, o, kind, s, e FROM added)
+        SELECT doc_id, {counts}, sha256({spans.format(f" FILTER (o < {len(kinds)})")}) AS base_sha256, {spans.format(" FILTER (o IS NOT NULL)")} AS spans
+        FROM t LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+_CLEAR = "NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.s < p.e AND p.s < b.e)"
+_PERSONAL = f"""
+        WITH {_placed({"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "term": r"[\p{L}\p{Nd}]{3,}"})},
+        base AS (
+            SELECT *, CASE WHEN o < 2 THEN lower(match) ELSE {_DIGITS} END AS name FROM placed WHERE CASE kind
+                WHEN 'email' THEN true
+                WHEN 'ip' THEN len(list_filter(string_split(match, '.'), lambda x: coalesce(TRY_CAST(x AS INTEGER), 999) > 255)) = 0
+                WHEN 'card' THEN length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''),
+                    lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN c >= '5' THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0
+                WHEN 'phone' THEN length({_DIGITS}) BETWEEN 9 AND 15
+                ELSE false END),
+        texts AS (SELECT min(doc_id) AS doc_id FROM t GROUP BY t),
+        terms AS (SELECT DISTINCT doc_id, lower(match) AS term FROM placed JOIN texts USING (doc_id) WHERE kind = 'term'),
+        entities AS (SELECT DISTINCT doc_id, kind, name FROM base JOIN texts USING (doc_id)),
+        n_t AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term),
+        n_e AS (SELECT kind, name, count(*) AS n_e FROM entities GROUP BY kind, name),
+        n_te AS (SELECT term, kind, name, count(*) AS n_te FROM entities JOIN terms USING (doc_id) GROUP BY term, kind, name),
+        scored AS (SELECT *, n_te / n_t AS p, 1.2816 * 1.2816 / n_t AS z, (SELECT count(*) FROM texts) AS total FROM n_te JOIN n_t USING (term) JOIN n_e USING (kind, name)),
+        flagged AS (
+            SELECT DISTINCT term FROM scored WHERE (p + z / 2 - sqrt(z * (p * (1 - p) + z / 4))) / (1 + z) >= 0.5
+            AND log2(n_te * total / (n_t * n_e)) >= 0.8 * log2(total / n_e)),
+        added AS (SELECT * FROM placed p WHERE kind = 'term' AND lower(match) IN (SELECT term FROM flagged) AND {_CLEAR}),
+        {_digest(["email", "ip", "card", "phone"])}"""
+_SECRETS = f"""
+        WITH {_placed({"assign": _ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "entropy": "[A-Za-z0-9+/_=-]{20,}"})},
+        base AS (
+            SELECT * FROM placed WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(match, {_text(_ASSIGN)}, 1)) >= 8
+                WHEN 'access' THEN length(match) >= 16 WHEN 'hex' THEN length(match) >= 32 ELSE false END),
+        added AS (
+            SELECT * FROM placed p WHERE kind = 'entropy' AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')
+            AND NOT regexp_matches(match, '^([A-Za-z]{{2,}}[0-9]{{0,4}}[-_/=+]+)*[A-Za-z]{{2,}}[0-9]{{0,4}}$')
+            AND NOT regexp_matches(match, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')
+            AND NOT regexp_matches(match, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T?[0-9]*Z?$') AND {_CLEAR}
+            AND list_max(list_transform(range(1, length(match) - 18), lambda i: list_entropy(string_split(match[i:i + 19], ''))))
+                >= CASE WHEN regexp_matches(match, '^[0-9a-fA-F]+$') THEN 3.0 ELSE 3.8 END),
+        {_digest(["assign", "access", "hex"])}"""
+
+_WORD = _text(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")
+_GRAMS = "list_distinct(list_transform(range(1, CASE WHEN len({0}) = 0 THEN 1 ELSE greatest(len({0}) - 1, 2) END), lambda i: array_to_string({0}[i:i + 2], ' ')))"
+# Items of one piece, so of 512 words at most; equal scores of an item go to the earliest passage.
+_LEAKS = rf"""
+        WITH read AS (
+            SELECT row_number() OVER () AS it, item_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), {_WORD}) AS h FROM benchmark),
+        items AS (SELECT * FROM read WHERE len(h) > 0),
+        stat AS (SELECT count(*) AS n, avg(len(h)) AS average, greatest(32, max(len(h))) AS stride FROM items),
+        held AS (SELECT it, len(h) AS dl, unnest(h) AS term FROM items),
+        postings AS (SELECT it, dl, term, count(*) AS tf FROM held GROUP BY it, dl, term),
+        df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+        impacts AS (
+            SELECT it, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)) AS impact
+            FROM postings JOIN df USING (term) CROSS JOIN stat),
+        needs AS (SELECT it, 0.5 * sum(impact) * (1 - 1e-9) AS need FROM impacts GROUP BY it),
+        split AS (
+            SELECT it, h, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1114109), 'g'), chr(1114109)), lambda x: regexp_matches(x, {_WORD})) AS parts FROM items),
+        halves AS (
+            SELECT it, CASE WHEN len(parts) > 1 THEN regexp_extract_all(lower(array_to_string(parts[1:len(parts) - 1], ' ')), {_WORD}) ELSE h[1:len(h) // 2] END AS q,
+                   CASE WHEN len(parts) > 1 THEN regexp_extract_all(lower(parts[len(parts)]), {_WORD}) ELSE h[len(h) // 2 + 1:] END AS a FROM split),
+        wanted AS (SELECT it, {_GRAMS.format("q")} AS q, {_GRAMS.format("a")} AS a FROM halves),
+        words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {_WORD}) AS w FROM documents),
+        numbered AS (SELECT doc_id, w, stride, unnest(range(0, len(w) // stride + 1)) AS k FROM words CROSS JOIN stat),
+        passages AS (SELECT doc_id, k, w[k * stride + 1:(k + 2) * stride] AS p FROM numbered),
+        terms AS (SELECT doc_id, k, unnest(list_distinct(p)) AS term FROM passages),
+        scored AS (SELECT doc_id, k, it, sum(impact) AS score FROM terms JOIN impacts USING (term) GROUP BY doc_id, k, it),
+        found AS (SELECT doc_id, k, it, score FROM scored JOIN needs USING (it) WHERE score >= need),
+        own AS (
+            SELECT doc_id, k, list_concat(p, list_concat(list_transform(range(1, len(p)), lambda i: array_to_string(p[i:i + 1], ' ')),
+                   list_transform(range(1, len(p) - 1), lambda i: array_to_string(p[i:i + 2], ' ')))) AS own FROM passages SEMI JOIN found USING (doc_id, k)),
+        shares AS (
+            SELECT doc_id, k, it, score, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, own)) / len(q) END AS question_overlap,
+                   len(list_intersect(a, own)) / len(a) AS answer_overlap FROM found JOIN own USING (doc_id, k) JOIN wanted USING (it))
+        SELECT doc_id, item_id, score, CAST(question_overlap AS DOUBLE) AS question_overlap, CAST(answer_overlap AS DOUBLE) AS answer_overlap
+        FROM shares JOIN items USING (it) WHERE question_overlap >= 0.5 AND answer_overlap >= 0.5
+        QUALIFY row_number() OVER (PARTITION BY doc_id, it ORDER BY round(score, 9) DESC, k) = 1"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": _LEAKS,
+    "op2_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words),
+        classes AS (SELECT min(doc_id) AS c, s FROM sets WHERE len(s) > 0 GROUP BY s),
+        grams AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+        links AS (
+            SELECT a.c AS a, b.c AS b FROM grams a JOIN grams b USING (g) WHERE a.c <> b.c
+            GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT c AS node, c AS label FROM classes
+            UNION SELECT b, label FROM reach JOIN links ON a = node WHERE label < b),
+        component AS (SELECT node, min(label) AS component_id FROM reach GROUP BY node)
+        SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+        FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN component ON node = c""",
+    "op3_line_dedup": r"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS k FROM split),
+        counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+        worded AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto
+            FROM counted WHERE n > 0),
+        reaching AS (
+            SELECT doc_id, s.pos AS s, e.pos AS e FROM worded s JOIN worded e USING (doc_id) WHERE e.pos >= s.pos AND e.upto - s.upto + s.n >= 50),
+        runs AS (
+            SELECT doc_id, s, min(e) AS e FROM reaching GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM reaching GROUP BY doc_id, e),
+        texts AS (
+            SELECT doc_id, s, e, string_agg(line, chr(10) ORDER BY pos) AS run FROM runs JOIN worded USING (doc_id) WHERE pos BETWEEN s AND e
+            GROUP BY doc_id, s, e),
+        later AS (SELECT * FROM texts QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, s) > 1),
+        gone AS (SELECT DISTINCT doc_id, k, pos FROM worded JOIN later USING (doc_id) WHERE pos BETWEEN s AND e),
+        marked AS (
+            SELECT c.doc_id, c.k, line, n, CASE WHEN n > 0 THEN gone.k IS NOT NULL END AS hit FROM counted c LEFT JOIN gone USING (doc_id, k)),
+        judged AS (
+            SELECT *, coalesce(hit, last_value(hit IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k)
+                   AND first_value(hit IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS goes FROM marked),
+        islands AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM gone),
+        spans AS (SELECT doc_id, min(pos) AS f, min(pos) || ':' || (max(pos) + 1) AS span FROM islands GROUP BY doc_id, island),
+        removed AS (SELECT doc_id, string_agg(span, ',' ORDER BY f) AS removed FROM spans GROUP BY doc_id)
+        SELECT doc_id, CAST(count(*) FILTER (n > 0) AS INTEGER) AS n_lines, CAST(count(*) FILTER (hit) AS INTEGER) AS n_removed,
+               coalesce(max(removed), '') AS removed, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT goes), '') AS text
+        FROM judged LEFT JOIN removed USING (doc_id) GROUP BY doc_id""",
     "op4_url_filter": r"""
         WITH cut AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -87,4 +241,6 @@ ORACLES: dict[str, str] = {
             WHEN contains(host, 'spam') OR contains(host, 'casino') OR contains(host, 'pills')
               OR contains(path, '/wp-admin/') OR contains(path, '/cgi-bin/') THEN 'block'
             ELSE 'allow' END AS verdict FROM ruled""",
+    "op8_pii": _PERSONAL,
+    "op10_secrets": _SECRETS,
 }
