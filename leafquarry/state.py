@@ -1,10 +1,12 @@
-"""The catalogue on disk: immutable Parquet snapshots and a manifest that one rename replaces."""
+"""The catalogue on disk: immutable Parquet snapshots and a manifest that one rename replaces.
+
+The folder may lie on any file system that Spark reads (hdfs:, file:, a mount); what Spark reads there and what the driver
+reads there go through the same Hadoop client, so a path means one place.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +20,68 @@ from .operators.sweep import Ids
 from .schema import TABLES, VERSION
 
 
+class Folder:
+    """The driver's small files in a folder, through Spark's own Hadoop client."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self._gateway, self._conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
+        self._at = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._at.getFileSystem(self._conf)
+        if self._fs.getScheme() == "file":  # without checksum files, which an edit by hand would leave behind
+            self._fs = self._fs.getRawFileSystem()
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._at, name) if name else self._at
+
+    def is_file(self) -> bool:
+        return self._fs.exists(self._at) and self._fs.getFileStatus(self._at).isFile()
+
+    def create(self) -> None:
+        self._fs.mkdirs(self._at)
+
+    def read(self, name: str) -> str | None:
+        if not self._fs.exists(self._path(name)):
+            return None
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Readers see the old file or the new one: it is written beside and renamed over, in one step where the file
+        system has one (local and HDFS do; object stores that copy instead may show neither for a moment)."""
+        stream = self._fs.create(self._path(name + ".new"), True)
+        try:
+            stream.write(bytearray(text, "utf-8"))
+        finally:
+            stream.close()
+        kind = self._jvm.org.apache.hadoop.fs.Options.Rename
+        over = self._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        context.rename(self._fs.makeQualified(self._path(name + ".new")), self._fs.makeQualified(self._path(name)), over)
+
+    def oldest_first(self, name: str) -> list[str]:
+        if not self._fs.exists(self._path(name)):
+            return []
+        held = self._fs.listStatus(self._path(name))
+        return [n for _, n in sorted((x.getModificationTime(), x.getPath().getName()) for x in held)]
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
 class Store:
     """A folder with `manifest.json` and `<table>/v=<version>/` for each table. Readers see whole snapshots only."""
 
     def __init__(self, spark: SparkSession, path: str):
         if not path.strip():
             raise ValueError("database path is empty")
-        if os.path.exists(path) and not os.path.isdir(path):
+        self.spark, self.path, self.folder = spark, path, Folder(spark, path)
+        if self.folder.is_file():
             raise ValueError(f"database path {path} is a file")
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
+        self.folder.create()
         self.manifest = self._read() or {"schema": VERSION, "version": 0, "tables": {}, "next_id": {"contents": 1, "documents": 1}}
         if self.manifest["schema"] == 1:
             self._migrate()
@@ -35,11 +89,8 @@ class Store:
             raise ValueError(f"unknown schema version {self.manifest['schema']}")
 
     def _read(self) -> dict | None:
-        try:
-            with open(f"{self.path}/manifest.json", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+        found = self.folder.read("manifest.json")
+        return None if found is None else json.loads(found)
 
     @property
     def ids(self) -> Ids:
@@ -61,7 +112,7 @@ class Store:
 
     def forget(self, *names: str) -> None:
         for n in names:
-            shutil.rmtree(f"{self.path}/work/{n}", ignore_errors=True)
+            self.folder.remove(f"work/{n}")
 
     def postings(self) -> Postings | None:
         """The word index of the pages; None where they have none."""
@@ -92,13 +143,9 @@ class Store:
         for n, frame in (("contents", saved.contents), ("documents", saved.documents)):
             top = frame.agg(F.max("id")).first()[0] or 0
             fresh["next_id"] = {**fresh["next_id"], n: max(fresh["next_id"][n], top + 1)}
-        temp = f"{self.path}/manifest.json.new"
-        with open(temp, "w", encoding="utf-8") as f:
-            json.dump(fresh, f)
-        os.replace(temp, f"{self.path}/manifest.json")
+        self.folder.replace("manifest.json", json.dumps(fresh))
         # a reader may still hold the snapshot before this one; older ones go
         for n in (*tables, *["postings"] * ("pages" in tables)):
-            old = sorted((x for x in os.listdir(f"{self.path}/{n}") if x != f"v={version}"), key=lambda x: os.path.getmtime(f"{self.path}/{n}/{x}"))
-            for x in old[:-1]:
-                shutil.rmtree(f"{self.path}/{n}/{x}", ignore_errors=True)
+            for x in [x for x in self.folder.oldest_first(n) if x != f"v={version}"][:-1]:
+                self.folder.remove(f"{n}/{x}")
         return saved

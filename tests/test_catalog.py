@@ -148,6 +148,19 @@ def test_store(spark, tmp_path, small):
         Store(spark, str(tmp_path / "file"))
 
 
+def test_store_by_address(spark, tmp_path, small):
+    """A path with a scheme and the bare path are one place, and old snapshots go but the last."""
+    store = Store(spark, f"file:{tmp_path}/db")
+    for _ in range(4):
+        store.save(small)
+    assert Store(spark, str(tmp_path / "db")).manifest == store.manifest
+    assert sorted(p.name for p in (tmp_path / "db" / "pages").iterdir()) == ["v=3", "v=4"]
+    assert not (tmp_path / "db" / "manifest.json.new").exists()
+    store.write("held", small.pages)
+    store.forget("held", "never")
+    assert not (tmp_path / "db" / "work" / "held").exists()
+
+
 def test_migration(spark, tmp_path, small):
     import json
 
