@@ -469,6 +469,18 @@ _OF_THE = "len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i +
 _PDF = 'encode(\'%PDF-1.4\' || chr(10) || \'1 0 obj\' || chr(10) || \'<< /Type /Catalog /Pages 2 0 R >>\' || chr(10) || \'endobj\' || chr(10) || \'2 0 obj\' || chr(10) || \'<< /Type /Pages /Count 17 >>\' || chr(10) || \'endobj\' || chr(10) || \'trailer << /Root 1 0 R >>\' || chr(10))'
 
 ORACLES: dict[str, str] = {
+    "snippets": f"WITH {SQL_LIBRARY}, " + _bm25([_word("the"), _word("thing")], "n0 > 0 AND n1 > 0", 20).replace("DL AS dl", "len(ws) AS dl") + """,
+        shown AS (SELECT path, page_index, ws, list_filter(range(len(ws)), lambda i: ws[i + 1] IN ('the', 'thing')) AS places FROM hits JOIN files USING (path) JOIN words USING (content_id)),
+        tried AS (
+            SELECT *, unnest(places) AS o, 2 * generate_subscripts(places, 1) AS turn, 0 AS bonus FROM shown
+            UNION ALL SELECT *, 0, 2 * list_position(places, list_filter(places, lambda x: x > 0)[1]) + 1, 120 FROM shown WHERE len(ws) > SIZE AND places[len(places)] > 0),
+        held AS (SELECT *, list_filter(places, lambda x: x >= o AND x < o + SIZE) AS inside FROM tried),
+        valued AS (SELECT *, len(inside) + 999 * len(list_distinct(list_transform(inside, lambda x: ws[x + 1]))) + bonus AS worth,
+            CASE WHEN bonus > 0 THEN 0 ELSE least(greatest(o - (SIZE - (list_max(inside) + 1 - o)) // 2, 0), greatest(len(ws) - SIZE, 0)) END AS s FROM held),
+        best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY path, page_index ORDER BY worth DESC, turn) = 1)
+        SELECT path, page_index, CASE WHEN s > 0 THEN '...' ELSE '' END || array_to_string(list_transform(ws[s + 1:s + SIZE],
+            lambda w: CASE WHEN w IN ('the', 'thing') THEN '>>>' || w || '<<<' ELSE w END), ' ') || CASE WHEN s + SIZE < len(ws) THEN '...' ELSE '' END AS snippet,
+            'fts' AS search_source FROM best""".replace("SIZE", "%d" % search.SNIPPET_TOKENS),
     "multi_find": f"WITH {SQL_LIBRARY}, {', '.join(_named(_bm25([_word(w) for w in ws], c, 5), k) for k, (ws, c) in enumerate(_PROBES))}, " + "every_hit AS (" + " UNION ALL ".join(f"SELECT *, {k} AS probe FROM hits{k}" for k in range(3)) + """),
         best AS (SELECT *, row_number() OVER (PARTITION BY path, page_index ORDER BY rank, probe) AS n FROM every_hit)
         SELECT path, page_index, page_count, round(rank, 6) AS rank, 'fts' AS search_source FROM best WHERE n = 1""",
