@@ -8,13 +8,16 @@ import sys
 import pytest
 
 TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-SHOW = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), sorted(set(o) - set(q)), 'pipeline' in q, any(n.startswith('op1_') for n in q))"
+SHOW = "import __spark_entry__ as e, leafquarry; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), sorted(set(o) - set(q)), 'pipeline' in q, any(n.startswith('op1_') for n in q), e.__file__, leafquarry.__file__)"
 
 
 def shown(folder):
-    out = subprocess.run([sys.executable, "-B", "-c", SHOW], cwd=folder, capture_output=True, text=True, timeout=120)
+    """What the entry points in the folder show, with no other copy of them on the path."""
+    out = subprocess.run([sys.executable, "-B", "-c", SHOW], cwd=folder, env={**os.environ, "PYTHONPATH": str(folder)}, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
-    return out.stdout.split()
+    *shown, entry, package = out.stdout.split()
+    assert all(os.path.realpath(x).startswith(os.path.realpath(folder) + os.sep) for x in (entry, package))
+    return shown
 
 
 @pytest.mark.parametrize("gone", [("leafquarry/llm", "tests/llm"), ("leafquarry/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
