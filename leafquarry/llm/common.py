@@ -54,12 +54,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def settled(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with rows that can be told apart however often they are read: docs itself where it is columns and filters of
-    files, a written copy of it otherwise."""
+    Parquet files, the one source whose rows have a place in their file; a written copy of it otherwise."""
     plan = docs._jdf.queryExecution().analyzed()
     same = plan.deterministic()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
-    return docs if same and plan.nodeName() == "LogicalRelation" else scratch.write(docs)
+    return docs if same and _is_parquet(plan) else scratch.write(docs)
+
+
+def _is_parquet(plan) -> bool:
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    of = plan.relation()
+    return of.getClass().getSimpleName() == "HadoopFsRelation" and of.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
 
 
 def row_key(docs: DataFrame) -> Column:

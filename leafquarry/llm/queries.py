@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, line_dedup, near_dedup, pii, quality_rules, rule_classifier, secrets, urlfilter
+from . import bpe, ctw, decontaminate, filter_audit, line_dedup, near_dedup, pii, quality_rules, rule_classifier, secrets, sharding, urlfilter, whitening
 from .common import table
 
 
@@ -20,8 +20,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
+    docs = table(spark, sf_dir, "documents")
+    out = line_dedup.line_dedup(docs)
+    n_lines, n_removed, removed, _ = map(out.__getitem__, out.columns[len(docs.columns) :])  # by place: docs may have columns of these names
+    return out.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.array_join(removed, ",").alias("removed"), "text")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shards(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
@@ -65,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sharding": op13_sharding,
 }
 
 # The patterns of the contracts in DuckDB's dialect, which needs no care against rescans.
@@ -176,6 +193,41 @@ _LEAKS = rf"""
         QUALIFY row_number() OVER (PARTITION BY doc_id, it ORDER BY round(score, 9) DESC, k) = 1"""
 
 
+_AUDIT = r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        failing AS (
+            SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END AS fails FROM t),
+        said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        hist AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM failing LEFT JOIN said USING (doc_id) GROUP BY part, fails),
+        orders AS (SELECT string_agg(f, '' ORDER BY k) AS o FROM (
+            SELECT unnest([a, b, c, d, e]) AS f, generate_subscripts([a, b, c, d, e], 1) AS k, a || b || c || d || e AS word
+            FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v1(a), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v2(b), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v3(c),
+                (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v4(d), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v5(e) WHERE len(list_distinct([a, b, c, d, e])) = 5) GROUP BY word),
+        steps AS (SELECT o, CAST(s AS INTEGER) AS s, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS earlier FROM orders, range(1, 6) r(s)),
+        judged AS (SELECT *, contains(fails, f) AS has, length(translate(earlier, fails, '')) < length(earlier) AS gone FROM hist, steps),
+        counted AS (
+            SELECT part, o AS filter_order, s AS step, f, CAST(sum(CASE WHEN NOT has AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN has AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+                CAST(sum(CASE WHEN has AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN fails = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                CAST(sum(CASE WHEN has AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN has AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM judged GROUP BY part, o, s, f)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counted"""
+# DuckDB has no CRC: the table of 256 remainders comes from the polynomial, and a text's bytes run through it.
+_SHARDS = """
+        WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        remainders AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+        t AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+        crcs AS (
+            SELECT doc_id, md5(t) AS key, size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+            FROM t, remainders),
+        placed AS (
+            SELECT *, CAST(sum(size) OVER (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before, row_number() OVER (ORDER BY key, doc_id NULLS FIRST) AS place,
+                CAST(sum(size) OVER (PARTITION BY key) AS BIGINT) AS g_bytes, count(*) OVER (PARTITION BY key) AS g_rows, CAST(sum(size) OVER () AS BIGINT) AS total, count(*) OVER () AS n FROM crcs),
+        grouped AS (SELECT *, min(before) OVER (PARTITION BY key) AS g_start FROM placed),
+        dealt AS (
+            SELECT *, CAST(least((CASE WHEN g_bytes * 16 <= 0.02::DOUBLE * total AND g_rows * 16 <= 0.02::DOUBLE * n THEN 2 * g_start + g_bytes ELSE 2 * before + size END) * 16 // (2 * total), 15) AS INTEGER) AS shard FROM grouped)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _LEAKS,
     "op2_near_dedup": r"""
@@ -243,4 +295,6 @@ ORACLES: dict[str, str] = {
             ELSE 'allow' END AS verdict FROM ruled""",
     "op8_pii": _PERSONAL,
     "op10_secrets": _SECRETS,
+    "op12_filter_audit": _AUDIT,
+    "op13_sharding": _SHARDS,
 }
