@@ -68,12 +68,12 @@ def offsets(lengths: np.ndarray, x: np.ndarray, n: int, sums: list[int]) -> np.n
     """n x - S, a row for each vector: integers of 64 bits where all fit, Python's otherwise."""
     d = len(sums)
     if (lengths == d).all():
-        dense = x.reshape(-1, d)
+        dense = x.reshape(len(lengths), d)
     else:
         dense = np.full((len(lengths), d), SHIFT, np.int64)
         dense[np.arange(d) < lengths[:, None]] = x
     top = max(int(np.abs(x).max(initial=SHIFT)), SHIFT)
-    kind = np.int64 if n * top + max(map(abs, sums)) < 1 << 62 else object
+    kind = np.int64 if n * top + max(map(abs, sums), default=0) < 1 << 62 else object
     return n * dense.astype(kind) - np.array(sums, kind)
 
 
