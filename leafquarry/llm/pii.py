@@ -15,11 +15,13 @@ whole; only the id and text columns are read; rows are told apart by file and pl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_key, settled
-from .spans import find_spans, joined, let, tag
+from .spans import find_spans, joined, let, place_among, tag
 
 # The patterns of the op8 contract, in the contract's order.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -69,6 +71,49 @@ def least_share(n_te: Column, n_t: Column, z: float) -> Column:
     return (p + zz / 2 - F.sqrt(zz * (p * (1 - p) + zz / 4))) / (1 + zz)
 
 
+def least_texts(disclosure: float, z: float) -> int:
+    """The texts that a term must be in, each with the entity, for the lower end 1 / (1 + z^2 / n) to reach the share."""
+    if disclosure <= 0 or z == 0:
+        return 1
+    return 1 << 31 if disclosure >= 1 else max(1, math.ceil(z * z * disclosure / (1 - disclosure) - 1e-9))
+
+
+#: Classes of entities, and of terms, that are paired in one row's arrays.
+CHUNK = 1024
+
+
+def _together(held: DataFrame, least: int, disclosure: float, z: float, scratch: Scratch) -> DataFrame:
+    """(term, n_te, n_e): how many distinct texts have the term and one of the entities, of which n_e have the entity, where
+    n_te alone leaves the share within reach. held: row, seen, entities, terms.
+
+    What is in fewer than `least` texts leaves first. Entities that stand in the same texts are one class, and so are terms
+    (by the number of their texts and two 64-bit sums of them); all pairs of two classes have one n_te. So the lists of an
+    address book, in however many versions, meet as few classes, and their pairs are dealt out in chunks."""
+    bearing = held.where(F.size("entities") > 0).groupBy("seen").agg(F.min_by(F.struct("row", "entities", "terms"), "row").alias("b")).select("b.*")
+    bearing = scratch.write(bearing.withColumn("mark", F.xxhash64("row.file", "row.at")))
+    of = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor("mark").alias("x"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("y"))
+
+    def classes(rows: DataFrame, name: str) -> DataFrame:
+        return scratch.write(rows.groupBy(name).agg(of.alias("c")).where(F.col("c.n") >= least))
+
+    def by_text(rows: DataFrame, name: str, found: DataFrame, column: str) -> DataFrame:
+        return rows.join(found, name).groupBy("row").agg(F.collect_set("c").alias(column))
+
+    mentions = bearing.select("row", "mark", F.explode("entities").alias("entity"))
+    alive = scratch.write(by_text(mentions, "entity", classes(mentions, "entity"), "es"))
+    used = bearing.join(alive.select("row"), "row", "left_semi").select("row", "mark", F.explode("terms").alias("term"))
+    terms = classes(used, "term")
+    both = scratch.write(alive.join(by_text(used, "term", terms, "ts"), "row"))
+    pieces = lambda c: F.explode(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / CHUNK)))
+    piece = lambda c, i: F.slice(c, (F.col(i) * CHUNK + 1).cast("int"), CHUNK)
+    dealt = both.withColumn("i", pieces("es")).withColumn("j", pieces("ts")).select("row", "i", "j", piece("es", "i").alias("es"), piece("ts", "j").alias("ts")).repartition("row", "i", "j")
+    pairs = dealt.select("ts", F.explode("es").alias("e")).select("e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te"))
+    # of all texts with the term at least t.n count, and n_te at least
+    near = pairs.where((F.col("n_te") >= least) & (least_share(F.col("n_te"), F.col("t.n"), z) >= disclosure))
+    near = near.select(F.col("t").alias("c"), "n_te", F.col("e.n").alias("n_e")).distinct()
+    return near.join(terms, "c").select("term", "n_te", "n_e")
+
+
 def _sized(table: DataFrame, size: Column, otherwise: str = "merge") -> DataFrame:
     """A written table to be broadcast where its strings come to BROADCAST_CHARS at most; joined by shuffle beyond."""
     held = table.agg(F.coalesce(F.sum(size + 32), F.lit(0))).first()[0]
@@ -100,31 +145,29 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = src.select("row", "text").join(first.hint("shuffle_hash"), "row", "left_semi")
     words = scratch.write(texts.select("row", terms.alias("terms")))
     total = scratch.write(first.agg(F.count(F.lit(1)).alias("total")))
-    # of texts with an entity the words came along, so that all words need not be joined to them
-    bearing = held.where(F.size("entities") > 0).groupBy("seen").agg(F.min_by(F.struct("entities", "terms"), "row").alias("b")).select("b.*")
-    n_e = bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = bearing.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
-    n_te = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"))
-    # n_t is n_te at least, so the rest can't reach the share at any n_t
-    n_te = scratch.write(n_te.where(least_share(F.col("n_te"), F.col("n_te"), z) >= disclosure))
+    candidates = scratch.write(_together(held, least_texts(disclosure, z), disclosure, z, scratch))
     # partial counts are summed before the shuffle, so a common word costs a row per task
     n_t = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = n_te.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))
+    scored = candidates.join(n_t, "term").crossJoin(F.broadcast(total))
     pmi = F.log2(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e")))
     flagged = scored.where((least_share(F.col("n_te"), F.col("n_t"), z) >= disclosure) & (pmi >= share * F.log2(F.col("total") / F.col("n_e"))))
     # a term discloses wherever it stands, so its entities no longer matter
     flagged = scratch.write(flagged.select("term").distinct())
-    where = words.select("row", F.explode("terms").alias("term")).join(flagged, "term").groupBy("row").agg(F.collect_list("term").alias("terms"))
+    where = words.select("row", F.explode("terms").alias("term")).join(flagged, "term").groupBy("row").agg(F.sort_array(F.collect_list("term")).alias("terms"))
     alike = held.select("row", "seen").join(held.groupBy("seen").agg(F.min("row").alias("first")), "seen").select("row", "first")
     where = scratch.write(alike.join(where.withColumnRenamed("row", "first"), "first").select("row", "terms"))
     scratch.free(held, where, *source.values())
     hits = src.select("row", "text").join(_sized(where, F.length(F.array_join("terms", " ")), "shuffle_hash"), "row")
-    hit = F.filter(find_spans(F.col("text"), TERM), lambda w: F.array_contains("terms", F.lower(w["match"])))
+    few = F.size("terms") <= 64  # else a search in the sorted terms, so that a text of many is not gone through for each word
+    among = lambda t: F.when(few, F.array_contains("terms", t)).otherwise(F.coalesce(F.get("terms", place_among(F.col("terms"), t, 31)) == t, F.lit(False)))
+    hit = F.filter(find_spans(F.col("text"), TERM), lambda w: among(F.lower(w["match"])))
     hits = hits.select("row", F.transform(hit, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("near"))
     # words of an entity itself are the entity's span
     out = held.select("row", "id", *KINDS).join(hits, "row", "left")
     base = F.concat(*KINDS)
-    apart = F.filter(F.col("near"), lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (w["end"] > b["start"])))
+    edges = F.struct(F.sort_array(F.transform(base, lambda b: b["start"])).alias("start"), F.sort_array(F.transform(base, lambda b: b["end"])).alias("end"))
+    # a word is apart from all spans where as many have ended before it as have begun before its end
+    apart = let(edges, lambda e: F.filter(F.col("near"), lambda w: place_among(e["start"], w["end"], 31) == place_among(e["end"], w["start"] + 1, 31)))
     out = out.select("row", "id", *KINDS, F.coalesce(apart, F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
     return out.withColumnRenamed("id", id_col)
 

@@ -25,18 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_key, settled
+from .spans import place_among
 
 SHARDS, RANGES, DRAWS, SLACK = 16, 512, 16, 0.02
 KEY = ("key", "id", "file", "at")
 
 
-def _place(splitters: Column, key: Column, most: int) -> Column:
-    """How many of the sorted splitters are below the key: a binary search in `most`.bit_length() steps."""
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
-    below = lambda i: F.coalesce(F.get(splitters, i - 1) < key, F.lit(False))
-    return F.aggregate(halves, F.lit(0), lambda at, s: F.when(below(at + s), at + s).otherwise(at))
-
-
 def _drawn(rows: DataFrame, n: int, total: int, draws: int, seed: int) -> DataFrame:
     """rows drawn at least once, with `draws`: on average its share of all bytes and rows, times the number of draws."""
     share = F.col("size") / (2.0 * total) + 1.0 / (2.0 * n)
@@ -60,10 +54,9 @@ def ranged(rows: DataFrame, n: int, total: int, ranges: int, draws: int, scratch
     """rows with `range`, a number that rises with the key; rows: key, id, file, at, size, n of them with total bytes."""
     key = F.struct(*KEY)
     splitters = scratch.write(_quantiles(_drawn(rows, n, total, ranges * draws, 1).select(key.alias("k"), "draws"), F.lit(ranges), []))
-    most = 4 * ranges
 
     def dealt(by: DataFrame) -> DataFrame:
-        return rows.crossJoin(F.broadcast(_sorted(by))).withColumn("range", _place(F.col("splitters"), key, most)).drop("splitters")  # one row
+        return rows.crossJoin(F.broadcast(_sorted(by))).withColumn("range", place_among(F.col("splitters"), key, (4 * ranges).bit_length())).drop("splitters")  # one row
 
     # a range has a share of 1 / ranges on average; one of more than twice that is split again
     load = F.sum("size") / (2.0 * total) + F.count(F.lit(1)) / (2.0 * n)

@@ -58,3 +58,10 @@ def tag(spans: Column, kind: str, order: int) -> Column:
 def joined(tagged: Column) -> Column:
     """kind:start:end of sorted spans, comma-joined."""
     return F.array_join(F.transform(F.sort_array(tagged), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def place_among(ordered: Column, value: Column, bits: int) -> Column:
+    """How many of a sorted array's entries are below the value: a binary search over fewer than 1 << bits entries."""
+    below = lambda i: F.coalesce(F.get(ordered, i - 1) < value, F.lit(False))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+    return F.aggregate(halves, F.lit(0), lambda at, s: F.when(below(at + s), at + s).otherwise(at))
