@@ -231,11 +231,14 @@ def test_columns_that_clash(spark, odd, name):
     assert got == rounded(more.collect()) and got
 
 
-@pytest.mark.parametrize("kind", ["json", "orc"])
+RUNS = {"json": (near_dedup.deduplicate, line_dedup.line_dedup), "orc": (lambda d: pii.digest(pii.find_personal(d)), lambda d: sharding.digest(sharding.shards(d)))}
+
+
+@pytest.mark.parametrize("kind", RUNS)
 def test_other_formats(spark, odd, kind):
     """Files whose rows have no place of their own are written once, and give the same rows."""
     reader = getattr(spark.read.schema("doc_id long, text string, lang string, source string"), kind)
-    for run in (near_dedup.deduplicate, line_dedup.line_dedup, lambda d: pii.digest(pii.find_personal(d)), lambda d: sharding.digest(sharding.shards(d))):
+    for run in RUNS[kind]:
         assert rounded(run(reader(f"{odd}/{kind}")).collect()) == rounded(run(spark.read.parquet(f"{odd}/bare/documents.parquet")).collect())
 
 
