@@ -1,7 +1,7 @@
 """Quality rules: counts over words and lines, and perplexity bands of a modified Kneser-Ney character model.
 
-The model has orders 1 to 4 over 16-bit symbols (code points; those beyond 16 bits are hashed into them), so a 4-gram is
-exactly a long. Spark counts the grams of blocks of rows and derives continuation counts, discounts, and interpolated
+The model has orders 1 to 4 over UTF-16 code units (a code point beyond 16 bits is a pair of them, which nothing else is), so
+a 4-gram is exactly a long and no character shares another's counts. Spark counts the grams of blocks of rows and derives continuation counts, discounts, and interpolated
 probabilities order by order. The tables stay whole, in Spark: each block gets its own grams' values back by a join and
 holds them as sorted arrays, where its texts look them up.
 
@@ -9,7 +9,7 @@ No text may vouch for itself, or a text that nothing else resembles would look l
 their hash (copies are in the same half), each half has a model of its own, whole and summing to one, and a text is scored
 by the model of the other half.
 
-A document's bits per character must lie in its language's band: the median -/+ `width` times the middle distance on
+A document's bits per character (code unit) must lie in its language's band: the median -/+ `width` times the middle distance on
 that side, which is taken times the root of the document's characters, since a mean over more of them scatters less. The
 median is exact over all documents to STEP bits and the distances to 1 %. Nothing but that step widens a band.
 
@@ -80,9 +80,8 @@ def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(grams as longs, row of each): the 4-gram that ends at each character; rows begin with three zeros."""
     lead = (data & 0xC0) != 0x80
-    n_chars = per_row(lead, offs)
-    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    sym = np.where(cp < 65536, cp, 1 + (cp * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(65535)).astype(np.uint64)
+    n_chars = per_row(lead, offs) + per_row(data >= 0xF0, offs)  # four bytes make a pair
+    sym = np.frombuffer(data.tobytes().decode().encode("utf-16-le"), np.uint16).astype(np.uint64)
     row = np.repeat(np.arange(len(n_chars)), n_chars)
     first = np.cumsum(n_chars) - n_chars
     place = np.arange(len(sym)) - first[row]
@@ -175,7 +174,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = dict(scratch.tables)
     text = F.coalesce(F.col(text_col), F.lit(""))
     half = F.pmod(F.xxhash64(text), F.lit(2)).cast("byte")
-    src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"), half.alias("half"), block_of(docs, text).alias("block"))
+    language = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))  # null is apart from empty
+    src = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], language.alias("lang"), text.alias("text"), half.alias("half"), block_of(docs, text).alias("block"))
     counted = scratch.write(gram_counts(src))
     values = scratch.write(gram_scores(counted, scratch))
     scratch.free(counted, values, *source.values())

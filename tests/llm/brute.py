@@ -281,7 +281,8 @@ def kneser_ney(texts: list[str], order: int = 4):
 
 
 def symbols(text: str) -> list[int]:
-    return [c if c < 65536 else 1 + (c * 2654435761 % 2**32 >> 16) % 65535 for c in map(ord, text)]
+    units = text.encode("utf-16-le")
+    return [units[k] + 256 * units[k + 1] for k in range(0, len(units), 2)]
 
 
 def bits(rows: list[tuple[int, str]], half: dict[int, int]) -> dict[int, float]:

@@ -205,6 +205,14 @@ def test_kneser_ney_against_plain(spark):
     assert got == pytest.approx(brute.bits(rows, halves(df)), abs=1e-6) and len(got) == len(rows)
 
 
+def test_a_null_language_is_its_own(spark):
+    """Empty and null are two languages, each with a band of its own."""
+    plain, odd = "the quick brown fox jumps over the lazy dog and runs away from there as it can see us all well", "qqq zzz xxx kkk jjj vvv www yyy qqz zzx xxk kkj jjv vvw wwy yyq qzx zxk xkj kjv jvw"
+    rows = [(i, f"{plain} {i}", "") for i in range(40)] + [(100 + i, f"{odd} {i}", None) for i in range(40)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(g.kept for g in got if g.doc_id < 100) >= 35 and sum(g.kept for g in got if g.doc_id >= 100) >= 35
+
+
 def test_kneser_ney_sums_to_one():
     p = brute.kneser_ney(["abcabcabd abba", "cab bad"])
     assert sum(p(s, tuple(map(ord, "abc"))) for s in range(65536)) == pytest.approx(1, abs=1e-9)
