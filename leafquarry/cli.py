@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import importlib
 import os
+import signal
 import sys
+import threading
 import time
 
 from pyspark.sql import SparkSession
@@ -14,9 +16,10 @@ from pyspark.sql import functions as F
 from . import sinks
 from .functions import arguments, paths
 from .operators import enrich, search, sweep
+from .operators.catalog import Catalog, with_ids
 from .sources import config, files
 from .sources.ocr_http import ANNOTATION, HttpOcr
-from .state import Store
+from .state import Change, Store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -74,23 +77,41 @@ def run_sweep(store: Store, args, cfg: config.Config, ask=input) -> list[str]:
         raise ValueError("no paths to sweep")
     paths.check_excludes(args.exclude)
     found, roots, out = paths.resolve(wanted)
-    catalog = store.load()
     if args.redo:
-        n = catalog.documents.count()
+        n = store.load().documents.count()
         if ask(f"Delete all {n} documents first? [y/N] ").strip().lower() != "y":
             return ["Nothing was changed."]
-        catalog = catalog.reset()
     rows = store.write("scan", files.scan(store.spark, found))
     excluded = rows.where(paths.matches_any(F.col("path"), args.exclude)).count()
-    scan = files.measured(rows, excludes=args.exclude, workers=args.j)
-    decided = store.write("decided", sweep.decide(catalog, scan, roots))  # counting and applying see the same files
+    scan = store.write("measured", files.measured(rows, excludes=args.exclude, workers=args.j))  # read once, however often the commit is tried
+
+    def change(catalog: Catalog) -> Change | None:
+        current = catalog.reset() if args.redo else catalog
+        decided = store.write("decided", sweep.decide(current, scan, roots))  # counting and applying see the same rows
+        return store.replaced(catalog, sweep.apply(current, decided, store.ids))
+
+    store.commit(change)
+    decided = store.spark.read.parquet(store.work("decided"))
     counts = sweep.counters(decided, excluded).first().asDict()
     out += [f"warning: {r.path}: {r.error}" for r in decided.where("action = 'failed'").toLocalIterator()]
-    store.save(sweep.apply(catalog, decided, store.ids))
-    store.forget("scan", "decided")
+    store.forget("scan", "measured", "decided")
     return [*out, ", ".join(f"{v} {k}" for k, v in counts.items())]
 
 
+def run_ocr(store: Store, args, stop: threading.Event, tell=print) -> list[str]:
+    """Runs the provider over what is pending; an interrupt ends it at once, with what has been read by then stored."""
+    arguments.concurrency(args.j)
+    begin, make = time.time(), provider(args)
+    jobs = store.write("jobs", enrich.jobs(store.load(), args.redo))
+    jobs = store.write("numbered", with_ids(jobs, ["content_id"], F.lit(0)).withColumnRenamed("id", "n"))
+    try:
+        results = enrich.in_waves(jobs, store.work("results"), make, store.stored, tell, stop, args.j)
+        done = enrich.progress(results, jobs.count(), time.time() - begin).first()
+    finally:
+        store.forget("jobs", "numbered", "results")
+    return [f"{done.succeeded} succeeded, {done.failed} failed, {done.skipped} skipped" + ", stopped" * stop.is_set()]
+
+
 def provider(args):
     """What makes the provider: the function that was named, or OCR over HTTP with the key of $LEAFQUARRY_OCR_KEY."""
     module, _, name = args.provider.partition(":")
@@ -124,27 +145,24 @@ def command(store: Store, args, cfg: config.Config, ask=input):
     if args.command == "cost":
         return [sinks.cost_text(catalog.cost(args.redo), args.redo)]
     if args.command == "ocr":
-        arguments.concurrency(args.j)
-        begin = time.time()
-        # written before anything reads them: a lost executor must not call a paid provider again
-        work = store.write("jobs", enrich.jobs(catalog, args.redo))
-        results = store.write("results", enrich.run_ocr(work, provider(args), args.j))
-        n = work.count()
-        lines = [sinks.progress_line(i + 1, n, r.status, r.path.rsplit("/", 1)[-1], r.error or f"{len(r.pages)} pages") for i, r in enumerate(results.toLocalIterator())]
-        store.save(enrich.store(catalog, results))
-        done = enrich.progress(results, n, time.time() - begin).first()
-        store.forget("jobs", "results")
-        return [*lines, f"{done.succeeded} succeeded, {done.failed} failed, {done.skipped} skipped"]
+        stop = threading.Event()
+        if threading.current_thread() is threading.main_thread():
+            before = signal.signal(signal.SIGINT, lambda *_: stop.set())
+            try:
+                return run_ocr(store, args, stop)
+            finally:
+                signal.signal(signal.SIGINT, before)
+        return run_ocr(store, args, stop)
     if args.command == "find":
         if not args.query and not args.fts:
             raise ValueError("a query or --fts is needed")
-        found = search.find(catalog.pages, catalog.documents, catalog.contents, search.Options(" ".join(args.query), args.fts, args.mode, args.limit, args.offset, True, args.trigram), postings=store.postings())
+        found = search.find(catalog.dealt.pages if catalog.dealt else catalog.pages, catalog.documents, catalog.contents, search.Options(" ".join(args.query), args.fts, args.mode, args.limit, args.offset, True, args.trigram), indexes=store.indexes())
         return sinks.found_json(found) if args.json else sinks.found_text(found, args.v, sys.stdout.isatty())
     if args.command == "read":
-        pages = catalog.read(args.path, arguments.page_range(args.page, args.context, args.start, args.end))
+        pages = store.at_path(args.path).read(args.path, arguments.page_range(args.page, args.context, args.start, args.end))
         return [sinks.pages_json(args.path, pages)] if args.json else sinks.pages_text(args.path, pages)
     if args.action == "get":
-        doc = catalog.by_path(args.path)
+        doc = store.at_path(args.path).by_path(args.path)
         if not doc.take(1):
             raise LookupError(f"no document {args.path}")
         return sinks.document_json(doc) if args.json else sinks.document_text(doc)

@@ -14,11 +14,27 @@ from ..functions.text import normalize
 PAGE_PRICE = 0.005
 
 
+def block_of(content_id: Column, block: int) -> Column:
+    """The folder of a content's rows, where each `block` of ids have one."""
+    return F.call_function("div", content_id, F.lit(block)).cast("int")
+
+
+@dataclass(frozen=True)
+class Dealt:
+    """Contents and pages as they lie in folders by `block`, a column of theirs: rows that are joined to a few others by it
+    too are read from those folders alone, which Spark finds out while it runs."""
+
+    block: int
+    contents: DataFrame
+    pages: DataFrame
+
+
 @dataclass(frozen=True)
 class Catalog:
     contents: DataFrame
     documents: DataFrame
     pages: DataFrame
+    dealt: Dealt | None = None
 
     # ---- projections, lookups and listings
     def documents_view(self) -> DataFrame:
@@ -32,7 +48,12 @@ class Catalog:
 
     def by_path(self, path: str) -> DataFrame:
         """One document by its exact path, deleted ones too."""
-        return self.documents_view().where(F.col("path") == path).limit(1)
+        if self.dealt is None:
+            return self.documents_view().where(F.col("path") == path).limit(1)
+        doc = self.documents.where(F.col("path") == path).withColumn("block", block_of(F.col("content_id"), self.dealt.block))
+        c = self.dealt.contents.select(F.col("id").alias("content_id"), "block", "checksum", "page_count", "ocr_pending")
+        out = c.join(F.broadcast(doc), ["content_id", "block"])  # paths are unique: one row
+        return out.select("id", "path", "content_id", "checksum", "created_at", "modified_at", "page_count", "ocr_pending", "deleted").limit(1)
 
     def by_checksum(self, checksum: str) -> DataFrame:
         return self.contents.where(F.col("checksum") == checksum).limit(1)
@@ -57,12 +78,16 @@ class Catalog:
     def read(self, path: str, pages: tuple[int, int] | None = None) -> DataFrame:
         """(page_index, markdown) of a live path, in order; all pages or an inclusive range."""
         doc = self.documents.where((F.col("path") == path) & ~F.col("deleted")).select("content_id")
-        found = self.pages.join(F.broadcast(doc), "content_id")  # paths are unique: one row
+        if self.dealt is None:
+            found = self.pages.join(F.broadcast(doc), "content_id")  # paths are unique: one row
+        else:
+            found = self.dealt.pages.join(F.broadcast(doc.withColumn("block", block_of(F.col("content_id"), self.dealt.block))), ["content_id", "block"])
         if pages is not None:
             found = found.where(F.col("page_index").between(*pages))
         return found.select("page_index", "markdown").orderBy("page_index")
 
     def page(self, path: str, index: int) -> str:
+        """One page's text; LookupError without it."""
         got = self.read(path, (index, index)).take(1)
         if not got:
             raise LookupError(f"no page {index} of {path}")
@@ -149,16 +174,18 @@ class Catalog:
     def reset(self) -> Catalog:
         return Catalog(self.contents.limit(0), self.documents.limit(0), self.pages.limit(0))
 
-    def upsert_pages(self, new: DataFrame) -> Catalog:
-        """new(content_id, page_index, markdown) replaces or joins the pages; ids of replaced pages stay. Of rows with one
-        key the last counts, by a column `place` if new has one, else by the text."""
+    def upsert_pages(self, new: DataFrame, first_id: int | None = None) -> Catalog:
+        """new(content_id, page_index, markdown) replaces or joins the pages; ids of replaced pages stay, others follow from
+        first_id on, by default from the largest. Of rows with one key the last counts, by a column `place` if new has one,
+        else by the text."""
         last = F.max_by("markdown", "place" if "place" in new.columns else "markdown")
         new = new.groupBy("content_id", "page_index").agg(last.alias("markdown"))
         old = self.pages.select("content_id", "page_index", F.col("id").alias("__id"))
-        top = F.broadcast(self.pages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top")))
-        named = new.join(old, ["content_id", "page_index"], "left").crossJoin(top)
+        named = new.join(old, ["content_id", "page_index"], "left")
+        if first_id is None:
+            named = named.crossJoin(F.broadcast(self.pages.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("__first"))))
         fresh = named.where("__id is null")
-        fresh = with_ids(fresh, ["content_id", "page_index"], F.col("__top") + 1)
+        fresh = with_ids(fresh, ["content_id", "page_index"], F.col("__first") if first_id is None else F.lit(first_id))
         same = named.where("__id is not null").withColumn("id", F.col("__id"))
         rows = fresh.unionByName(same).select("id", "content_id", "page_index", "markdown", normalize("markdown").alias("search_text"))
         rest = self.pages.join(new.select("content_id", "page_index"), ["content_id", "page_index"], "left_anti")
@@ -167,12 +194,12 @@ class Catalog:
     def delete_pages(self, content_id: int) -> Catalog:
         return replace(self, pages=self.pages.where(F.col("content_id") != content_id))
 
-    def replace_pages(self, results: DataFrame) -> Catalog:
+    def replace_pages(self, results: DataFrame, first_id: int | None = None) -> Catalog:
         """results(content_id, pages array of (page_index, markdown)): upsert all, drop indexes from the number of pages on,
         and mark the contents done."""
         new = results.select("content_id", F.posexplode("pages").alias("place", "p")).select("content_id", "place", F.col("p.page_index").cast("int").alias("page_index"), F.col("p.markdown").alias("markdown"))
         size = results.select("content_id", F.size("pages").alias("__size"))
-        out = self.upsert_pages(new)
+        out = self.upsert_pages(new, first_id)
         pages = out.pages.join(size, "content_id", "left").where(F.col("__size").isNull() | (F.col("page_index") < F.col("__size")))
         done = results.select(F.col("content_id").alias("id"), F.lit(True).alias("__done"))
         contents = self.contents.join(done, "id", "left").withColumn("ocr_pending", F.col("ocr_pending") & F.col("__done").isNull())

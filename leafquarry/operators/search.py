@@ -1,8 +1,8 @@
 """Hybrid ranked search: a word index (BM25), a trigram substring index and a path fallback, as DataFrame plans.
 
-Both indexes are derived columns of `pages`, so nothing has to be kept in step. Statistics count every row of `pages`;
-liveness and fan-out to paths come after. Each leg keeps its best offset + limit rows (TakeOrderedAndProject), legs are
-merged by (path, page), and only the page that is returned gets snippets.
+Both legs read posting tables where there are any (see postings.py), and the texts otherwise. Statistics count every row of
+`pages`; liveness and fan-out to paths come after. Each leg keeps its best offset + limit rows (TakeOrderedAndProject), legs
+are merged by (path, page), and only for the rows that are returned are texts read, for their snippets.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..functions.text import fold, java_literal, normalize, word_tokens
 from ..plans import query as Q
 from ..schema import FOUND
 from ..shipping import ship_package
+from .catalog import block_of
 from .snippet import snippet_udf
 
 DEFAULT_LIMIT, SNIPPET_TOKENS, K1, B, LEAST_IDF = 50, 48, 1.2, 0.75, 1e-6
@@ -126,7 +127,7 @@ def rank_pages(pages: DataFrame, node, index: str) -> DataFrame:
     df_of = {k: F.col(f"__n{k}") for k in range(len(all_phrases))}
     tf_of = dict(df_of)
     k = 0
-    for near in _nears(node, []):  # NEAR limits which places count, not in how many rows a phrase is
+    for near in nears(node):  # NEAR limits which places count, not in how many rows a phrase is
         k = near[1]
         held = held.withColumn(f"__near{k}", _near(F.col("__t"), near[0], index))
         tf_of |= {k + j: F.get(F.col(f"__near{k}"), F.lit(j)) for j in range(len(near[0].phrases))}
@@ -148,9 +149,9 @@ def bm25(tf: dict[int, Column]) -> Column:
     return rank
 
 
-def _nears(node, seen: list) -> list[tuple[Q.Near, int]]:
+def nears(node) -> list[tuple[Q.Near, int]]:
     """NEAR groups with the number of their first phrase."""
-    out = []
+    out, seen = [], []
 
     def walk(x) -> None:
         if isinstance(x, Q.Phrase):
@@ -179,37 +180,45 @@ def live(documents: DataFrame, contents: DataFrame) -> DataFrame:
     return documents.where(~F.col("deleted")).select("path", "content_id").join(named, "content_id")
 
 
-def leg(pages: DataFrame, documents: DataFrame, contents: DataFrame, node, index: str, fetch: int, postings=None, texts: bool = True) -> DataFrame:
-    """The best rows of one index: (path, page_index, page_count, search_text, rank, search_source). Without texts,
-    search_text is null, and a posting table is all that the word leg reads."""
-    source = F.lit("fts" if index == "word" else "trigram").alias("search_source")
-    if index == "word" and postings is not None and not _nears(node, []):
-        from .postings import rank
+#: Rows up to which a page of results is broadcast to the texts; a longer one is joined by whatever join suits.
+BROADCAST_ROWS = 4096
+
+
+def leg(pages: DataFrame, documents: DataFrame, contents: DataFrame, node, index: str, fetch: int, indexes=None) -> DataFrame:
+    """The best rows of one index: (path, content_id, page_index, page_count, rank, search_source)."""
+    from .postings import rank
 
-        best = rank(postings, node).join(live(documents, contents), "content_id").orderBy("rank", "path", "page_index").limit(fetch)
-        if not texts:
-            return best.select("path", "page_index", "page_count", F.lit(None).cast("string").alias("search_text"), "rank", source)
-        held = with_search_text(pages).select("content_id", "page_index", "search_text")
-        out = held.join(F.broadcast(best), ["content_id", "page_index"])  # at most fetch rows
-        return out.select("path", "page_index", "page_count", "search_text", "rank", source)
-    ranked = rank_pages(with_search_text(pages).select("content_id", "page_index", "search_text"), node, index)
-    out = ranked.join(live(documents, contents), "content_id")
-    return out.select("path", "page_index", "page_count", "search_text", "rank", source).orderBy("rank", "path", "page_index").limit(fetch)
+    ranked = rank(indexes.of(index), node) if indexes else rank_pages(with_search_text(pages).select("content_id", "page_index", "search_text"), node, index)
+    out = ranked.select("content_id", "page_index", "rank").join(live(documents, contents), "content_id")
+    source = F.lit("fts" if index == "word" else "trigram").alias("search_source")
+    return out.select("path", "content_id", "page_index", "page_count", "rank", source).orderBy("rank", "path", "page_index").limit(fetch)
 
 
 def merge(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Both legs by (path, page_index): the lower rank wins, the primary on a tie."""
     both = primary.withColumn("__leg", F.lit(0)).unionByName(secondary.withColumn("__leg", F.lit(1)))
     order = F.struct("rank", "__leg")
-    best = F.min_by(F.struct("page_count", "search_text", "rank", "search_source"), order).alias("b")
-    return both.groupBy("path", "page_index").agg(best).select("path", "page_index", "b.*")
+    best = F.min_by(F.struct("content_id", "page_count", "rank", "search_source"), order).alias("b")
+    return both.groupBy("path", "page_index").agg(best).select("path", "b.content_id", "page_index", "b.page_count", "b.rank", "b.search_source")
 
 
 def path_matches(documents: DataFrame, contents: DataFrame, tokens: list[str], mode: str, fetch: int) -> DataFrame:
     """Live documents whose path has the tokens, as page 0 with rank 0."""
     found = live(documents, contents).where(path_has(F.col("path"), tokens, mode))
     page, rank, source = F.lit(0).alias("page_index"), F.lit(0.0).alias("rank"), F.lit("path").alias("search_source")
-    return found.select("path", page, "page_count", F.lit(None).cast("string").alias("search_text"), rank, source).orderBy("path").limit(fetch)
+    return found.select("path", "content_id", page, "page_count", rank, source).orderBy("path").limit(fetch)
+
+
+def texts_of(page: DataFrame, pages: DataFrame, limit: int, block: int = 0) -> DataFrame:
+    """page with search_text. Where pages lie in folders by `block`, so many content ids, only the folders of the page's rows
+    are read: the rows are broadcast, and their blocks prune the scan while it runs."""
+    keys, wanted = ["content_id", "page_index"], page.where(F.col("search_source") != "path").select("content_id", "page_index")
+    few = F.broadcast if limit <= BROADCAST_ROWS else lambda x: x
+    held = with_search_text(pages)
+    if block:
+        wanted, held = wanted.withColumn("block", block_of(F.col("content_id"), block)), held.select("block", *keys, "search_text")
+    texts = held.join(few(wanted), wanted.columns, "left_semi").select(*keys, "search_text")
+    return page.join(few(texts), keys, "left")
 
 
 def append_missing(found: DataFrame, more: DataFrame) -> DataFrame:
@@ -218,9 +227,9 @@ def append_missing(found: DataFrame, more: DataFrame) -> DataFrame:
     return found.withColumn("__late", F.lit(0)).unionByName(late.withColumn("__late", F.lit(1)))
 
 
-def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: Options, snippets: bool = True, postings=None) -> DataFrame:
-    """Ranked results in order: (path, page_index, page_count, snippet, rank, search_source). With a posting table (see
-    postings.py) the word leg reads its terms only."""
+def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: Options, snippets: bool = True, indexes=None) -> DataFrame:
+    """Ranked results in order: (path, page_index, page_count, snippet, rank, search_source). indexes: the posting
+    tables (see postings.py); without, the legs read the texts."""
     mode = search_mode(options.mode)
     limit = options.limit if options.limit > 0 else DEFAULT_LIMIT
     offset = max(options.offset, 0)
@@ -230,9 +239,9 @@ def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: O
     spark = pages.sparkSession
     if node is None:
         return spark.createDataFrame([], FOUND)
-    found = leg(pages, documents, contents, node, "word", fetch, postings, snippets)
+    found = leg(pages, documents, contents, node, "word", fetch, indexes)
     if options.trigram:
-        found = merge(found, leg(pages, documents, contents, node, "trigram", fetch))
+        found = merge(found, leg(pages, documents, contents, node, "trigram", fetch, indexes))
     found = found.withColumn("__late", F.lit(0))
     if options.path_fallback and tokens:
         ahead = found.drop("__late")
@@ -241,6 +250,7 @@ def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: O
     if snippets:
         ship_package(spark)
         wanted = {i: [(phrase_text(p, i), p.prefix, p.first) for p in Q.phrases(node)] for i in ("word", "trigram")}
+        page = texts_of(page, pages, limit, indexes.block if indexes else 0)
         page = page.withColumn("snippet", F.when(F.col("search_source") == "path", F.lit("")).otherwise(snippet_udf(wanted["word"], wanted["trigram"], SNIPPET_TOKENS)("search_text", "search_source")))
         page = page.orderBy("__late", "rank", "path", "page_index")
     else:
@@ -248,9 +258,9 @@ def find(pages: DataFrame, documents: DataFrame, contents: DataFrame, options: O
     return page.select("path", "page_index", "page_count", "snippet", "rank", "search_source")
 
 
-def multi_find(pages: DataFrame, documents: DataFrame, contents: DataFrame, probes: list[Options], snippets: bool = True, postings=None) -> DataFrame:
+def multi_find(pages: DataFrame, documents: DataFrame, contents: DataFrame, probes: list[Options], snippets: bool = True, indexes=None) -> DataFrame:
     """Several probes at once: each (path, page) once, from fts before trigram before path, then by rank."""
-    legs = [find(pages, documents, contents, p, snippets, postings).withColumn("__probe", F.lit(k)) for k, p in enumerate(probes)]
+    legs = [find(pages, documents, contents, p, snippets, indexes).withColumn("__probe", F.lit(k)) for k, p in enumerate(probes)]
     every = reduce(lambda a, b: a.unionByName(b), legs)
     place = F.element_at(F.create_map(F.lit("fts"), F.lit(0), F.lit("trigram"), F.lit(1), F.lit("path"), F.lit(2)), F.col("search_source"))
     w = Window.partitionBy("path", "page_index").orderBy(place, "rank", "__probe")

@@ -17,6 +17,7 @@ class Ids:
 
     contents: int = 1
     documents: int = 1
+    pages: int = 1
 
 
 def decide(catalog: Catalog, scan: DataFrame, roots: list[str]) -> DataFrame:

@@ -6,11 +6,9 @@ documents of several pages, `pages` and `events` give urls and times.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,36 +20,42 @@ from .operators import enrich, postings, search, sweep
 from .plans import query as Q
 from .shared import shared_dir
 from .sources import files
+from .state import Folder, Store
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_WRITTEN: dict[tuple[str, str], tuple[str, int]] = {}
-
-
 @dataclass(frozen=True)
 class Library(C.Catalog):
-    """A catalogue on disk, with the word index of its pages."""
+    """A catalogue on disk, with the posting tables of its pages."""
+
+    store: Store | None = None
+
+    @property
+    def indexes(self) -> postings.Indexes:
+        return self.store.indexes()
+
 
-    postings: postings.Postings
+#: The store that each folder of tables was last read into: (application, the table as it was then, store).
+_READ: dict[str, tuple[str, tuple[int, int], Store]] = {}
 
 
 def library(spark: SparkSession, d: str) -> Library:
-    """library_plan() as it stands on disk: written once for a session, as a catalogue is by its sweeps, and then read."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _WRITTEN:
-        base, plan = f"{shared_dir(spark)}/leafquarry-library-{uuid.uuid4().hex[:12]}", library_plan(spark, d)
-        plan.contents.write.parquet(f"{base}/contents")
-        plan.documents.write.parquet(f"{base}/documents")
-        plan.pages.withColumn("search_text", text.normalize("markdown")).write.parquet(f"{base}/pages")
-        pages = spark.read.parquet(f"{base}/pages")
-        n = postings.buckets_for(pages.count())
-        postings.write(postings.build(pages, n), f"{base}/postings", n)
-        _WRITTEN[key] = base, n
-    base, n = _WRITTEN[key]
-    return Library(*(spark.read.parquet(f"{base}/{t}") for t in ("contents", "documents", "pages")), postings.read(spark, f"{base}/postings", n))
+    """library_plan() as a store: written by the first query of a session, as a catalogue is by its sweeps, and then read. A
+    folder whose documents have changed since is read anew."""
+    now, app = Folder(spark, d).changed("documents.parquet"), spark.sparkContext.applicationId
+    if d not in _READ or _READ[d][:2] != (app, now):
+        if d in _READ and _READ[d][0] == app:
+            Folder(spark, _READ[d][2].path).remove("")
+        store = Store(spark, f"{shared_dir(spark)}/leafquarry-library-{uuid.uuid4().hex[:12]}")
+        plan = library_plan(spark, d)
+        store.save(C.Catalog(plan.contents, plan.documents, plan.pages.withColumn("search_text", text.normalize("markdown"))))
+        _READ[d] = app, now, store
+    store = _READ[d][2]
+    held = store.load()
+    return Library(held.contents, held.documents, held.pages, held.dealt, store)
 
 
 def library_plan(spark: SparkSession, d: str) -> C.Catalog:
@@ -93,13 +97,14 @@ def _results(found: DataFrame) -> DataFrame:
 
 def _find(lib: C.Catalog, **options) -> DataFrame:
     options.setdefault("path_fallback", False)
-    return _results(search.find(lib.pages, lib.documents, lib.contents, search.Options(**options), snippets=False, postings=lib.postings))
+    return _results(search.find(lib.pages, lib.documents, lib.contents, search.Options(**options), snippets=False, indexes=lib.indexes))
 
 
-def _bm25(phrases: list[str], condition: str, limit: int, offset: int = 0) -> str:
-    """SQL of a ranked query over `words`. phrases: SQL expressions of a row's counts; condition over n0, n1, ..."""
-    counts = ", ".join(f"{p} AS n{k}" for k, p in enumerate(phrases))
-    dfs = ", ".join(f"sum(CASE WHEN n{k} > 0 THEN 1 ELSE 0 END) AS df{k}" for k in range(len(phrases)))
+def _bm25(phrases: list[str], condition: str, limit: int, offset: int = 0, held: dict[int, str] | None = None) -> str:
+    """SQL of a ranked query over `words`. phrases: SQL expressions of a row's counts; condition over n0, n1, ...; held: what
+    a row must have to count for a phrase's document frequency, where that is not its count."""
+    counts = ", ".join(f"{p} AS n{k}, {(held or {}).get(k, p)} > 0 AS h{k}" for k, p in enumerate(phrases))
+    dfs = ", ".join(f"sum(CASE WHEN h{k} THEN 1 ELSE 0 END) AS df{k}" for k in range(len(phrases)))
     idf = lambda k: f"(CASE WHEN total - df{k} + 0.5 <= df{k} + 0.5 THEN 1e-6 ELSE ln((total - df{k} + 0.5) / (df{k} + 0.5)) END)"
     rank = " + ".join(f"{idf(k)} * n{k} * 2.2 / (n{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(phrases)))
     return f"""counted AS (SELECT content_id, {counts}, DL AS dl FROM words),
@@ -119,8 +124,9 @@ def _words_sql(phrases: list[str], condition: str, limit: int, offset: int = 0)
 
 
 def _sub(p: str) -> str:
-    """How often p stands in t, overlaps included."""
-    return f"len(list_filter(range(1, length(t) - {len(p) - 2}), lambda i: substr(t, i, {len(p)}) = '{p}'))"
+    """How often p stands in t; p cannot overlap itself."""
+    assert not any(p.startswith(p[-k:]) for k in range(1, len(p)))
+    return f"(length(t) - length(replace(t, '{p}', ''))) // {len(p)}"
 
 
 def normalize_text(spark, d):
@@ -147,10 +153,22 @@ def fts_page(spark, d):
     return _find(library(spark, d), query="and", limit=10, offset=15)
 
 
+def _leg(lib: Library, query, index: str, fetch: int) -> DataFrame:
+    found = search.leg(lib.pages, lib.documents, lib.contents, query, index, fetch, lib.indexes)
+    return found.withColumn("rank", F.round("rank", 6)).drop("content_id")
+
+
 def fts_trigram(spark, d):
-    lib = library(spark, d)
-    found = search.leg(lib.pages, lib.documents, lib.contents, Q.from_arguments("hering", "and"), "trigram", 40)
-    return _results(found.withColumn("snippet", F.lit(""))).drop("search_text")
+    return _leg(library(spark, d), Q.from_arguments("hering", "and"), "trigram", 40)
+
+
+def fts_substrings(spark, d):
+    """Two substrings, one across words, and a third that must not be there."""
+    return _leg(library(spark, d), Q.parse('"n the" AND "erin" NOT "ming"'), "trigram", 35)
+
+
+def fts_near(spark, d):
+    return _find(library(spark, d), raw="NEAR(the of, 3) OR thing", limit=30)
 
 
 def find_hybrid(spark, d):
@@ -164,12 +182,12 @@ def path_fallback(spark, d):
 def multi_find(spark, d):
     lib = library(spark, d)
     probes = [search.Options(query=q, limit=5, path_fallback=False) for q in ("the thing", "of the", "and")]
-    return _results(search.multi_find(lib.pages, lib.documents, lib.contents, probes, snippets=False, postings=lib.postings))
+    return _results(search.multi_find(lib.pages, lib.documents, lib.contents, probes, snippets=False, indexes=lib.indexes))
 
 
 def snippets(spark, d):
     lib = library(spark, d)
-    return search.find(lib.pages, lib.documents, lib.contents, search.Options(query="the thing", limit=20), postings=lib.postings).select("path", "page_index", "snippet", "search_source")
+    return search.find(lib.dealt.pages, lib.documents, lib.contents, search.Options(query="the thing", limit=20), indexes=lib.indexes).select("path", "page_index", "snippet", "search_source")
 
 
 def read_range(spark, d):
@@ -357,7 +375,7 @@ def content_by_checksum(spark, d):
 
 
 def page_one(spark, d):
-    return spark.createDataFrame([(talks(spark, d).page("/talks/3.pdf", 1),)], "markdown string")
+    return talks(spark, d).read("/talks/3.pdf", (1, 1)).select("markdown")
 
 
 def insert_and_mark(spark, d):
@@ -401,13 +419,24 @@ def ocr_progress(spark, d):
 
 def document_ndjson(spark, d):
     """The listing's lines of JSON."""
-    lines = list(sinks.document_json(library(spark, d).list(limit=25)))
-    return spark.createDataFrame([(x,) for x in lines], "line string")
+    return sinks.json_lines(library(spark, d).list(limit=25))
 
 
 def document_lines(spark, d):
-    lines = list(sinks.documents_text(library(spark, d).list(limit=10)))
-    return spark.createDataFrame([(x,) for x in lines], "line string")
+    """The listing as text, every document of the catalogue."""
+    return sinks.text_lines(library(spark, d).list())
+
+
+def page_texts(spark, d):
+    """Every page of every conversation as `read` shows it."""
+    return sinks.page_lines(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_index"), F.col("text").alias("markdown")))
+
+
+def found_texts(spark, d):
+    """What `find -v` shows below each path, for all pages with a word."""
+    lib = library(spark, d)
+    found = search.find(lib.dealt.pages, lib.documents, lib.contents, search.Options(raw="heron OR thing", limit=25, path_fallback=False), indexes=lib.indexes)
+    return sinks.found_lines(found.withColumn("snippet", F.when(F.col("page_count") % 2 == 0, "").otherwise(F.concat(F.lit(">>>"), "search_source", F.lit("<<<")))), verbose=True)
 
 
 def durations(spark, d):
@@ -416,28 +445,86 @@ def durations(spark, d):
     return docs.select("doc_id", text.duration(seconds).alias("took"), text.data_url(F.lit("text/plain"), F.encode(F.substring("text", 1, 20), "UTF-8")).alias("url"))
 
 
+def laid_out(docs: DataFrame, top: str) -> DataFrame:
+    """(name, bytes) of the files below top that a frame (name, data) is written to, by the tasks that read it. top lies in
+    the folder that driver and executors share."""
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            sizes = []
+            for name, data in zip(b.column("name").to_pylist(), b.column("data").to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(f"{top}/{name}"), exist_ok=True)
+                with open(f"{top}/{name}", "wb") as f:
+                    sizes.append(f.write(data))
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return docs.mapInArrow(write, "name string, bytes long")
+
+
 def scan_tree(spark, d):
-    """A small tree of files of every kind, swept: supported ones with checksum and pages, without what macOS keeps."""
-    top = tempfile.mkdtemp(prefix="leafquarry-tree-")
-    pages = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Count 17 >>\nendobj\ntrailer << /Root 1 0 R >>\n"
-    tree = {"a.pdf": pages, "sub/b.PNG": b"b", "sub/deep/_c.jpeg": b"c", "sub/.d.jpg": b"d", "sub/e.txt": b"e", ".DS_Store": b"f", "._g.png": b"g", ".Trash/h.png": b"h", "skip/i.png": b"i", "bad.pdf": b"j"}
-    for name, data in tree.items():
-        os.makedirs(os.path.dirname(f"{top}/{name}"), exist_ok=True)
-        with open(f"{top}/{name}", "wb") as f:
-            f.write(data)
-    found, _, _ = paths.resolve([top, f"{top}/sub/*.PNG"])
-    rows = files.measured(files.scan(spark, found, skip_macos=True), excludes=[f"{top}/skip/**"]).groupBy("path").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("size", "content_type", "checksum", "page_count")])
+    """Every document as a file, as text of one page or a PDF of so many, in a tree with what macOS keeps and kinds that
+    nobody reads; swept with its checksums and page counts."""
+    top = f"{shared_dir(spark).removeprefix('file://')}/leafquarry-tree-{uuid.uuid4().hex[:12]}"
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    ending = F.element_at(F.array(*map(F.lit, [".png", ".PDF", ".jpeg", ".txt", ".pdf"])), (n % 5 + 1).cast("int"))
+    folder = F.when(n % 7 == 0, ".Trash/").when(n % 11 == 0, "skip/").otherwise(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/")))
+    name = F.concat(folder, F.when(n % 13 == 0, "._").otherwise(""), n.cast("string"), ending)
+    pdf = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Count "), (n % 17 + 1).cast("string"), F.lit(" >>\nendobj\ntrailer << /Root 1 0 R >>\n% "), n.cast("string"), F.lit("\n"))
+    data = F.when(ending == ".pdf", F.when(n % 3 == 0, "no pdf").otherwise(pdf)).when(ending == ".PDF", pdf).otherwise(F.coalesce("text", F.lit("")))
+    laid_out(docs.select(name.alias("name"), F.encode(data, "UTF-8").alias("data")), top).write.format("noop").mode("overwrite").save()
+    found, _, _ = paths.resolve([top])
+    rows = files.measured(files.scan(spark, found, skip_macos=True), excludes=[f"{top}/skip/**"])
     return rows.select(F.substring("path", len(top) + 2, 1000).alias("name"), "size", "content_type", "checksum", F.coalesce("page_count", F.lit(-1)).alias("page_count"))
 
 
+def word_lists(spark, d):
+    """Building the word index: pages and places of every word of the documents."""
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("content_id"), F.lit(0).alias("page_index"), text.normalize("text").alias("search_text"))
+    return postings.listed(pages, "word").groupBy("term").agg(F.count(F.lit(1)).alias("pages"), F.sum("tf").alias("places"))
+
+
+def gram_lists(spark, d):
+    """Building the substring index: pages and places of every three characters of the conversations."""
+    turns = table(spark, d, "conversations")
+    pages = turns.select(F.col("conv_id").alias("content_id"), F.col("turn").cast("int").alias("page_index"), text.normalize("text").alias("search_text"))
+    return postings.listed(pages, "trigram").groupBy("term").agg(F.count(F.lit(1)).alias("pages"), F.sum("tf").alias("places"))
+
+
+def find_after_commits(spark, d):
+    """Ranks from an index that has grown: most pages at once, two OCR runs, one of them again with other texts, and files
+    that went. Each was a commit."""
+    plan, n = library_plan(spark, d), F.col("content_id")
+    pages = plan.pages.withColumn("search_text", text.normalize("markdown"))
+    store = Store(spark, f"{shared_dir(spark)}/leafquarry-commits-{uuid.uuid4().hex[:12]}")
+    store.save(C.Catalog(plan.contents, plan.documents, pages.where(n % 3 != 0)))
+    run = lambda some, markdown: pages.where(some).select("content_id", F.lit("OK").alias("status"), F.array(F.struct("page_index", markdown.alias("markdown"))).alias("pages"))
+    store.stored(run(n % 6 == 0, F.lit("to be read again")))
+    store.stored(run(n % 3 == 0, F.col("markdown")))
+    store.commit(lambda c: store.replaced(c, replace(c, documents=c.documents.where(n % 10 != 7)).drop_orphans()))
+    lib = store.load()
+    return _results(search.find(lib.pages, lib.documents, lib.contents, search.Options(query="andthe thing ering", mode="or", limit=30, path_fallback=False), snippets=False, indexes=store.indexes()))
+
+
+def ocr_stored(spark, d):
+    """The pages of pending contents after an OCR run, and the contents' flags."""
+    lib = library(spark, d)
+    results = enrich.run_ocr(enrich.jobs(lib), FakeProvider).where("status = 'OK'").select("content_id", "pages")
+    out = C.Catalog(lib.contents, lib.documents, lib.pages).replace_pages(results)
+    return out.pages.join(out.contents.select(F.col("id").alias("content_id"), "ocr_pending"), "content_id").where("content_id % 5 = 0").select("content_id", "page_index", "search_text", "ocr_pending")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        normalize_text, fts_and, fts_or, fts_phrase, fts_not, fts_page, fts_trigram, find_hybrid, path_fallback, multi_find, snippets,
+        normalize_text, fts_and, fts_or, fts_phrase, fts_not, fts_page, fts_trigram, fts_substrings, fts_near, find_hybrid, path_fallback, multi_find, snippets,
         read_range, read_context, doc_get, doc_list_range, doc_list_page, event_range, pending_contents, pending_documents, orphan_contents,
         representative_path, live_contents, all_stats, pending_stats, cost_estimate, dedupe_contents, sweep_plan, sweep_counters, sweep_apply,
         fts_prefix, fts_first, fts_concat, fts_column, path_appended, doc_by_path, content_by_checksum, page_one, insert_and_mark, insert_and_update,
-        upsert_pages, delete_pages, document_count, ocr_progress, document_ndjson, document_lines, durations, scan_tree, soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
+        upsert_pages, delete_pages, document_count, ocr_progress, document_ndjson, document_lines, durations, scan_tree, page_texts, found_texts, word_lists, gram_lists, find_after_commits, ocr_stored, soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
     )
 }
 
@@ -466,9 +553,14 @@ def _named(body: str, k: int) -> str:
 
 _PROBES = [(["the", "thing"], "n0 > 0 AND n1 > 0"), (["of", "the"], "n0 > 0 AND n1 > 0"), (["and"], "n0 > 0")]
 _OF_THE = "len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'))"
-_PDF = 'encode(\'%PDF-1.4\' || chr(10) || \'1 0 obj\' || chr(10) || \'<< /Type /Catalog /Pages 2 0 R >>\' || chr(10) || \'endobj\' || chr(10) || \'2 0 obj\' || chr(10) || \'<< /Type /Pages /Count 17 >>\' || chr(10) || \'endobj\' || chr(10) || \'trailer << /Root 1 0 R >>\' || chr(10))'
+
+_NEARBY = "len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = '{0}' AND list_contains(ws[greatest(i - 4, 1):i + 4], '{1}')))"
 
 ORACLES: dict[str, str] = {
+    "fts_near": f"""WITH {SQL_LIBRARY}, {_bm25([_NEARBY.format("the", "of"), _NEARBY.format("of", "the"), _word("thing")], "n0 > 0 AND n1 > 0 OR n2 > 0", 30, held={0: _word("the"), 1: _word("of")}).replace("DL AS dl", "len(ws) AS dl")}
+        SELECT path, page_index, page_count, round(rank, 6) AS rank, 'fts' AS search_source FROM hits""",
+    "fts_substrings": f"""WITH {SQL_LIBRARY}, {_bm25([_sub("n the"), _sub("erin"), _sub("ming")], "n0 > 0 AND n1 > 0 AND n2 = 0", 35).replace("DL AS dl", "greatest(length(t) - 2, 0) AS dl")}
+        SELECT path, page_index, page_count, round(rank, 6) AS rank, 'trigram' AS search_source FROM hits""",
     "snippets": f"WITH {SQL_LIBRARY}, " + _bm25([_word("the"), _word("thing")], "n0 > 0 AND n1 > 0", 20).replace("DL AS dl", "len(ws) AS dl") + """,
         shown AS (SELECT path, page_index, ws, list_filter(range(len(ws)), lambda i: ws[i + 1] IN ('the', 'thing')) AS places FROM hits JOIN files USING (path) JOIN words USING (content_id)),
         tried AS (
@@ -512,13 +604,30 @@ ORACLES: dict[str, str] = {
         SELECT *, round(100.0::DOUBLE * (succeeded + failed + skipped) / 1000, 6) AS percent, round(60.0::DOUBLE / (succeeded + failed) * (1000 - succeeded - failed - skipped), 6) AS eta FROM n""",
     "document_ndjson": f"""WITH {SQL_LIBRARY}, l AS (SELECT f.id, path, created_at, page_count, ocr_pending FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted ORDER BY created_at DESC, f.id LIMIT 25)
         SELECT '{{"path":"' || path || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","modified_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","page_count":' || page_count || ',"ocr_pending":' || ocr_pending || ',"deleted":false}}' AS line FROM l""",
-    "document_lines": f"""WITH {SQL_LIBRARY}, l AS (SELECT f.id, path, created_at, page_count FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted ORDER BY created_at DESC, f.id LIMIT 10)
-        SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '  ' || path || '  (' || page_count || ' pages)' AS line FROM l UNION ALL SELECT '' UNION ALL SELECT (SELECT count(*) FROM l) || ' document(s).'""",
+    "document_lines": f"""WITH {SQL_LIBRARY} SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '  ' || path || '  (' || page_count || ' pages)' AS line FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted""",
+    "page_texts": """WITH p AS (SELECT conv_id * 1000 + turn AS page_index, text FROM conversations) SELECT page_index, '--- page ' || (page_index + 1) || ' ---' AS line FROM p UNION ALL SELECT page_index, text FROM p""",
+    "found_texts": f"""WITH {SQL_LIBRARY}, {_bm25([_word("heron"), _word("thing")], "n0 > 0 OR n1 > 0", 25).replace("DL AS dl", "len(ws) AS dl")}
+        SELECT path || CASE WHEN page_count > 1 THEN ' (page 1)' ELSE '' END || CASE WHEN page_count % 2 = 0 THEN '' ELSE chr(10) || '    fts' END || chr(10) AS line FROM hits""",
+    "word_lists": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS t FROM documents),
+        w AS (SELECT doc_id, unnest(string_split(strip_accents(t), ' ')) AS term FROM t WHERE t <> '')
+        SELECT term, count(DISTINCT doc_id) AS pages, count(*) AS places FROM w GROUP BY term""",
+    "gram_lists": r"""WITH t AS (SELECT conv_id, turn, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g')), '') AS c FROM conversations),
+        g AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS term FROM t WHERE len(c) > 2)
+        SELECT term, count(DISTINCT (conv_id, turn)) AS pages, count(*) AS places FROM g GROUP BY term""",
+    "find_after_commits": f"""WITH {SQL_LIBRARY.replace("docs AS (SELECT *, sha256(text) AS checksum FROM documents)", "all_docs AS (SELECT *, sha256(text) AS checksum FROM documents), all_firsts AS (SELECT checksum, min(doc_id) AS id FROM all_docs GROUP BY checksum), docs AS (SELECT d.* FROM all_docs d JOIN all_firsts f USING (checksum) WHERE f.id % 10 <> 7 AND f.id IN (SELECT f2.id FROM all_docs d2 JOIN all_firsts f2 USING (checksum) WHERE d2.doc_id % 17 <> 0))")},
+        {_bm25([_word("andthe"), _word("thing"), _word("ering")], "n0 > 0 OR n1 > 0 OR n2 > 0", 30).replace("DL AS dl", "len(ws) AS dl")}
+        SELECT path, page_index, page_count, round(rank, 6) AS rank, 'fts' AS search_source FROM hits""",
+    "ocr_stored": f"""WITH {SQL_LIBRARY}, j AS (SELECT content_id, arg_min(path, f.id) AS path FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted AND ocr_pending GROUP BY content_id)
+        SELECT content_id, 0 AS page_index, CASE WHEN path IS NULL OR ends_with(path, '5.pdf') THEN t ELSE trim(regexp_replace(lower('# ' || path), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) END AS search_text,
+            path IS NULL OR ends_with(path, '5.pdf') AS ocr_pending FROM texts LEFT JOIN j USING (content_id) WHERE content_id % 5 = 0""",
     "durations": """WITH s AS (SELECT doc_id, text, CAST(floor(doc_id * 37 / 4.0) AS BIGINT) AS s, doc_id * 37 / 4.0 AS x FROM documents)
         SELECT doc_id, CASE WHEN x <= 0 THEN '0s' WHEN x < 1 THEN '<1s' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's'
             ELSE (s // 3600) || 'h' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' END AS took, 'data:text/plain;base64,' || base64(encode(substr(text, 1, 20))) AS url FROM s""",
-    "scan_tree": f"""SELECT name, CAST(CASE WHEN name = 'a.pdf' THEN octet_length({_PDF}) ELSE 1 END AS BIGINT) AS size, kind AS content_type, CASE WHEN name = 'a.pdf' THEN sha256({_PDF}) WHEN data IS NOT NULL THEN sha256(data) END AS checksum, CAST(pages AS INTEGER) AS page_count
-        FROM (VALUES ('a.pdf', 'pdf', NULL, 17), ('sub/b.PNG', 'png', 'b', 1), ('sub/deep/_c.jpeg', 'jpeg', 'c', 1), ('sub/.d.jpg', 'jpeg', 'd', 1), ('bad.pdf', 'pdf', NULL, -1)) t(name, kind, data, pages)""",
+    "scan_tree": """WITH f AS (SELECT doc_id AS n, coalesce(text, '') AS t, ['.png', '.PDF', '.jpeg', '.txt', '.pdf'][doc_id % 5 + 1] AS e, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS stem FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0),
+        g AS (SELECT *, CASE WHEN e = '.pdf' AND n % 3 = 0 THEN 'no pdf' WHEN e IN ('.pdf', '.PDF') THEN '%PDF-1.4' || chr(10) || '1 0 obj' || chr(10) || '<< /Type /Catalog /Pages 2 0 R >>' || chr(10) || 'endobj' || chr(10) || '2 0 obj' || chr(10) || '<< /Type /Pages /Count ' || (n % 17 + 1)
+            || ' >>' || chr(10) || 'endobj' || chr(10) || 'trailer << /Root 1 0 R >>' || chr(10) || '% ' || n || chr(10) ELSE t END AS data FROM f WHERE e <> '.txt')
+        SELECT stem || e AS name, octet_length(encode(data)) AS size, CASE e WHEN '.png' THEN 'png' WHEN '.jpeg' THEN 'jpeg' ELSE 'pdf' END AS content_type, CASE WHEN data <> 'no pdf' THEN sha256(data) END AS checksum,
+            CAST(CASE WHEN data = 'no pdf' THEN -1 WHEN e IN ('.pdf', '.PDF') THEN n % 17 + 1 ELSE 1 END AS INTEGER) AS page_count FROM g""",
     "normalize_text": r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS search_text FROM documents",
     "fts_and": _words_sql([_word("the"), _word("thing")], "n0 > 0 AND n1 > 0", 20),
     "fts_or": _words_sql([_word("andthe"), _word("thing"), _word("ering")], "n0 > 0 OR n1 > 0 OR n2 > 0", 30),

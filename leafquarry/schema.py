@@ -16,5 +16,5 @@ SCAN = _struct(path="string", mtime_ns="long", size="long", content_type="string
 FOUND = _struct(path="string", page_index="int", page_count="int", snippet="string", rank="double", search_source="string")
 OCR_RESULT = _struct(content_id="long", path="string", status="string", error="string").add("pages", ArrayType(_struct(page_index="int", markdown="string")))
 TABLES = {"contents": CONTENTS, "documents": DOCUMENTS, "pages": PAGES}
-#: Version 1 had no search_text; state.Store brings it up to date.
-VERSION = 2
+#: Version 1 had no search_text, version 2 no segments; state.Store brings both up to date.
+VERSION = 3

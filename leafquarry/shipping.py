@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+#: Threads plan queries side by side; one of them ships.
+_ONE = threading.Lock()
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the executors once per application, so that workers can import it anywhere."""
-    sc = spark.sparkContext
+    with _ONE:
+        _ship(spark.sparkContext)
+
+
+def _ship(sc: SparkContext) -> None:
     if getattr(sc, "_leafquarry_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BOLD, MARK, OFF = "\033[1m", "\033[33m", "\033[0m"
 
@@ -51,34 +51,61 @@ def found_text(results: DataFrame, verbose: bool = False, color: bool = False) -
     yield f"{n} result(s) found." if n else "No results found."
 
 
-def stamp(t) -> str:
-    t = t if t.tzinfo else t.replace(tzinfo=timezone.utc)
-    text = t.strftime("%Y-%m-%dT%H:%M:%S") + (f".{t.microsecond:06d}".rstrip("0") if t.microsecond else "")
-    return text + ("Z" if t.utcoffset().total_seconds() == 0 else t.strftime("%z")[:3] + ":" + t.strftime("%z")[3:])
+def stamp(at: Column) -> Column:
+    """RFC 3339 in the session's time zone: Z for UTC, a fraction only where there is one."""
+    fraction = F.regexp_replace(F.date_format(at, ".SSSSSS"), r"\.?0+$", "")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.date_format(at, "XXX"))
+
+
+def document_fields(documents: DataFrame) -> list[Column]:
+    """The fields of a document's record, in order."""
+    return [F.col("path"), stamp(F.col("created_at")).alias("created_at"), stamp(F.col("modified_at")).alias("modified_at"), F.col("page_count"), F.col("ocr_pending"), F.col("deleted")]
+
+
+def json_lines(documents: DataFrame) -> DataFrame:
+    """(line): each document as one JSON object, nulls included, in the frame's order."""
+    return documents.select(F.to_json(F.struct(*document_fields(documents)), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def text_lines(documents: DataFrame) -> DataFrame:
+    """(line): each document's time, path and pages, in the frame's order."""
+    return documents.select(F.concat(stamp(F.col("created_at")), F.lit("  "), "path", F.lit("  ("), F.col("page_count").cast("string"), F.lit(" pages)")).alias("line"))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(page_index, line): a heading and the text of each page, in order."""
+    heading = F.concat(F.lit("--- page "), (F.col("page_index") + 1).cast("string"), F.lit(" ---"))
+    return pages.select("page_index", F.posexplode(F.array(heading, "markdown")).alias("part", "line")).orderBy("page_index", "part").select("page_index", "line")
+
+
+def found_lines(results: DataFrame, verbose: bool = False) -> DataFrame:
+    """(line): each result's path, with its page where the document has several; verbose: the snippet below, indented, and
+    an empty line. In the frame's order."""
+    page = F.when(F.col("page_count") > 1, F.concat(F.lit(" (page "), (F.col("page_index") + 1).cast("string"), F.lit(")"))).otherwise("")
+    head = F.concat("path", page)
+    if not verbose:
+        return results.select(head.alias("line"))
+    below = F.transform(F.split(F.regexp_replace("snippet", ">>>|<<<", ""), "\n"), lambda x: F.concat(F.lit("    "), x))
+    return results.select(F.concat_ws("\n", F.array(head), F.when(F.col("snippet") != "", below), F.array(F.lit(""))).alias("line"))
 
 
 def document_json(documents: DataFrame) -> Iterator[str]:
-    for r in documents.toLocalIterator():
-        yield _json([("path", r.path), ("created_at", stamp(r.created_at)), ("modified_at", stamp(r.modified_at)), ("page_count", r.page_count), ("ocr_pending", r.ocr_pending), ("deleted", r.deleted)])
+    return (r.line for r in json_lines(documents).toLocalIterator())
 
 
 def documents_text(documents: DataFrame) -> Iterator[str]:
     n = 0
-    for r in documents.toLocalIterator():
+    for r in text_lines(documents).toLocalIterator():
         n += 1
-        yield f"{stamp(r.created_at)}  {r.path}  ({r.page_count} pages)"
+        yield r.line
     yield ""
     yield f"{n} document(s)."
 
 
 def document_text(document: DataFrame) -> Iterator[str]:
-    for r in document.toLocalIterator():
-        yield f"path: {r.path}"
-        yield f"created_at: {stamp(r.created_at)}"
-        yield f"modified_at: {stamp(r.modified_at)}"
-        yield f"page_count: {r.page_count}"
-        yield f"ocr_pending: {str(r.ocr_pending).lower()}"
-        yield f"deleted: {str(r.deleted).lower()}"
+    for r in document.select(*document_fields(document)).toLocalIterator():
+        for name, value in r.asDict().items():
+            yield f"{name}: {str(value).lower() if isinstance(value, bool) else value}"
 
 
 def pages_json(path: str, pages: DataFrame) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import sweep
-from ..state import Store
+from ..operators.catalog import Catalog
+from ..state import Change, Store
 
 
 def follow(scans: DataFrame, store: Store, checkpoint: str):
@@ -13,10 +14,11 @@ def follow(scans: DataFrame, store: Store, checkpoint: str):
     batch that is delivered again changes nothing, since its files are then unchanged."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        catalog = store.load()
-        decided = store.write("batch", sweep.decide(catalog, batch, ["/dev/null/nowhere"]))
-        if not decided.where("action in ('new', 'restored', 'updated', 'touched')").isEmpty():  # else the tables stay as they are
-            store.save(sweep.apply(catalog, decided, store.ids))
+        def change(catalog: Catalog) -> Change | None:
+            decided = store.write("batch", sweep.decide(catalog, batch, ["/dev/null/nowhere"]))
+            return store.replaced(catalog, sweep.apply(catalog, decided, store.ids))
+
+        store.commit(change)
         store.forget("batch")
 
     return scans.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,6 @@ import pytest
 from leafquarry.operators import enrich, sweep
 from leafquarry.operators.catalog import Catalog
 from leafquarry.schema import CONTENTS, DOCUMENTS, PAGES
-from leafquarry.state import Store
 
 
 def day(n):
@@ -111,7 +110,7 @@ def test_ocr(spark):
     c = catalog(spark, [(1, "a", 1, True), (2, "b", 1, True), (3, "c", 1, True)], [(1, "/first.pdf", 1, 1, False), (2, "/second.pdf", 2, 1, False), (3, "/third.txt", 3, 1, False), (4, "/copy.pdf", 1, 1, False)])
     results = enrich.run_ocr(enrich.jobs(c), Provider).cache()
     assert sorted((r.content_id, r.status) for r in results.collect()) == [(1, "OK"), (2, "FAIL"), (3, "SKIP")]
-    after = enrich.store(c, results)
+    after = c.replace_pages(results.where("status = 'OK'").select("content_id", "pages"))
     assert {r.id: r.ocr_pending for r in after.contents.collect()} == {1: False, 2: True, 3: True} and after.pages.count() == 2
     twice = spark.createDataFrame([(2, [(0, "z"), (1, "b"), (0, "a")])], "content_id long, pages array<struct<page_index:int,markdown:string>>")
     assert sorted((r.page_index, r.markdown) for r in c.replace_pages(twice).pages.collect()) == [(0, "a"), (1, "b")]  # the last one counts
@@ -132,45 +131,3 @@ def test_retries():
     with pytest.raises(OSError):
         enrich.retrying(call, lambda e: None, sleep=waits.append)
     assert len(calls) == 6
-
-
-def test_store(spark, tmp_path, small):
-    store = Store(spark, str(tmp_path / "db"))
-    store.save(small)
-    again = Store(spark, str(tmp_path / "db"))
-    assert again.load().documents.count() == 5 and again.ids == sweep.Ids(5, 6)
-    again.save(again.load().reset())
-    assert Store(spark, str(tmp_path / "db")).ids == sweep.Ids(5, 6)  # ids are never used again
-    with pytest.raises(ValueError):
-        Store(spark, " ")
-    (tmp_path / "file").write_text("")
-    with pytest.raises(ValueError):
-        Store(spark, str(tmp_path / "file"))
-
-
-def test_store_by_address(spark, tmp_path, small):
-    """A path with a scheme and the bare path are one place, and old snapshots go but the last."""
-    store = Store(spark, f"file:{tmp_path}/db")
-    for _ in range(4):
-        store.save(small)
-    assert Store(spark, str(tmp_path / "db")).manifest == store.manifest
-    assert sorted(p.name for p in (tmp_path / "db" / "pages").iterdir()) == ["v=3", "v=4"]
-    assert not (tmp_path / "db" / "manifest.json.new").exists()
-    store.write("held", small.pages)
-    store.forget("held", "never")
-    assert not (tmp_path / "db" / "work" / "held").exists()
-
-
-def test_migration(spark, tmp_path, small):
-    import json
-
-    store = Store(spark, str(tmp_path / "db"))
-    store.save(small)
-    path = tmp_path / "db" / "manifest.json"
-    m = json.loads(path.read_text())
-    small.pages.drop("search_text").write.parquet(str(tmp_path / "db" / "pages" / "v=old"))
-    path.write_text(json.dumps({**m, "schema": 1, "tables": {**m["tables"], "pages": "old"}}))
-    assert Store(spark, str(tmp_path / "db")).load().pages.where("search_text = 'p1'").count() == 1
-    path.write_text(json.dumps({**m, "schema": 9}))
-    with pytest.raises(ValueError):
-        Store(spark, str(tmp_path / "db"))

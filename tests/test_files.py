@@ -201,6 +201,6 @@ def test_stream(spark, tmp_path, tree):
     q = follow(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert store.load().documents.count() == 1
-    version = store.manifest["version"]
+    version = store.state["version"]
     follow(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp2")).awaitTermination(120)
-    assert store.manifest["version"] == version  # the same files again: nothing is written
+    assert store.state["version"] == version  # the same files again: nothing is written

@@ -107,13 +107,32 @@ def test_multi_find(spark):
     assert sorted(r.path for r in rows) == ["/desk/heron.pdf", "/desk/otter.pdf"] and {r.search_source for r in rows} == {"fts"}
 
 
-@pytest.mark.parametrize("raw", ["tax OR gamma", '"report pdf"', "tax NOT alpha", "repo*", "alpha + beta", "^tax", '"&" OR tax', "alpha OR (beta AND nothing)", "tax tax", "nothing"])
-def test_postings(spark, raw, tmp_path):
+RAW = ['"tax" AND "alpha"', '"report pdf"', "tax NOT alpha", "repo*", "alpha + beta", "^tax", '"&" OR tax', "alpha OR (beta AND nothing)", "tax tax", '"tercol"', '"ph"', "NEAR(alpha gamma, 1) OR beta", "NEAR(tax alp*, 3) OR gamma", "NEAR(alpha beta tax, 2)", "NEAR(alpha beta) NOT invoice", '"alpha x" OR "beta alp"']
+
+
+def test_postings_against_fts5(spark):
+    """Ranks from position lists: substrings, phrases and NEAR, alone and inside other nodes, in both indexes."""
+    from leafquarry.operators import postings
+
+    texts = [*TEXTS, "alpha x gamma y alpha z beta gamma", "tax tercol \U0001f600 tercol ercolm alphaalphaalpha"]
+    pages, _, _ = library(spark, [(f"/{i}.pdf", 1, 0, t) for i, t in enumerate(texts)])
+    pages = pages.cache()
+    for index, options in (("word", ""), ("trigram", ", tokenize='trigram'")):
+        db = sqlite3.connect(":memory:")
+        db.execute(f"create virtual table {index} using fts5(search_text{options})")
+        db.executemany(f"insert into {index}(rowid, search_text) values (?, ?)", [(r.id, r.search_text) for r in pages.collect()])
+        held = postings.build(pages, index)
+        for raw in RAW:
+            want = dict(db.execute(f"select rowid, bm25({index}) from {index} where {index} match ?", (raw,)))
+            got = {r.content_id: r["rank"] for r in postings.rank(held, Q.parse(raw)).collect()}
+            assert got == pytest.approx(want, rel=1e-9, abs=1e-12), (index, raw)
+
+
+def test_no_postings(spark):
     from leafquarry.operators import postings
 
-    pages, docs, contents = library(spark, [(f"/{i}.pdf", 1, 0, t) for i, t in enumerate(TEXTS)])
-    postings.write(postings.build(pages, 8), str(tmp_path), 8)
-    held, node = postings.read(spark, str(tmp_path), 8), Q.parse(raw)
-    want = {r.content_id: r["rank"] for r in search.rank_pages(pages, node, "word").collect()}
-    got = {r.content_id: r["rank"] for r in postings.rank(held, node).collect()}
-    assert got == pytest.approx(want)
+    pages, _, _ = library(spark, [("/a.pdf", 1, 0, ""), ("/b.pdf", 1, 0, "ab")])
+    for index in postings.INDEXES:
+        for some in (pages, pages.limit(0)):
+            assert postings.rank(postings.build(some, index), Q.parse("abc OR abcd")).count() == 0
+    assert not postings.File("f", "b", "d").holds(["a", "e"], ["e"]) and postings.File("f", "b", "d").holds([], ["cx"]) and postings.File("f", "b", "dx").holds(["dw"], ["d"])
