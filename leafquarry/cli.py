@@ -1,4 +1,4 @@
-"""Command line: sweep, ocr, cost, find, read, doc get, doc list."""
+"""Command line: sweep, ocr, cost, find, sql, read, doc get, doc list."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from .operators import enrich, search, sweep
 from .operators.catalog import Catalog, with_ids
 from .sources import config, files
 from .sources.ocr_http import ANNOTATION, HttpOcr
+from .sql import register
 from .state import Change, Store
 
 
@@ -56,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--start", type=int)
     s.add_argument("--end", type=int)
     s.add_argument("--json", action="store_true")
+    s = sub.add_parser("sql")
+    s.add_argument("statement", help="over documents, contents, pages and find(words, mode)")
     d = sub.add_parser("doc").add_subparsers(dest="action", required=True)
     s = d.add_parser("get")
     s.add_argument("--path", required=True)
@@ -158,6 +161,9 @@ def command(store: Store, args, cfg: config.Config, ask=input):
             raise ValueError("a query or --fts is needed")
         found = search.find(catalog.dealt.pages if catalog.dealt else catalog.pages, catalog.documents, catalog.contents, search.Options(" ".join(args.query), args.fts, args.mode, args.limit, args.offset, True, args.trigram), indexes=store.indexes())
         return sinks.found_json(found) if args.json else sinks.found_text(found, args.v, sys.stdout.isatty())
+    if args.command == "sql":
+        register(store)
+        return (r[0] for r in store.spark.sql(args.statement).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator())
     if args.command == "read":
         pages = store.at_path(args.path).read(args.path, arguments.page_range(args.page, args.context, args.start, args.end))
         return [sinks.pages_json(args.path, pages)] if args.json else sinks.pages_text(args.path, pages)

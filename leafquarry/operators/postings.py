@@ -63,13 +63,17 @@ class Postings:
     def lists(self, terms: list[str], starts: list[str]) -> DataFrame:
         """The postings of some terms and of all terms with some prefixes."""
         wanted = [F.col("term").isin(terms)] * bool(terms) + [F.col("term").startswith(s) for s in starts]
-        if self.frame is not None:
-            return self.frame.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
-        inside = [f.path for f in self.files if f.holds(terms, starts)]
-        if not inside:
+        wanted = reduce(lambda a, b: a | b, wanted, F.lit(False))
+        return self.frame.where(wanted) if self.frame is not None else self._read([f.path for f in self.files if f.holds(terms, starts)], wanted)
+
+    def every(self) -> DataFrame:
+        """All postings."""
+        return self.frame if self.frame is not None else self._read([f.path for f in self.files], F.lit(True))
+
+    def _read(self, paths: list[str], wanted: Column) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], POSTING)
-        rows = self.spark.read.schema(POSTING + ", seg string").option("basePath", self.base).parquet(*inside)
-        rows = rows.where(reduce(lambda a, b: a | b, wanted))
+        rows = self.spark.read.schema(POSTING + ", seg string").option("basePath", self.base).parquet(*paths).where(wanted)
         if self.dead is not None:
             rows = rows.join(self.dead.select("seg", "content_id"), ["seg", "content_id"], "left_anti")
         return rows.select("term", "content_id", "page_index", "dl", "tf", "positions")

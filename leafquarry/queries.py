@@ -20,6 +20,7 @@ from .operators import enrich, postings, search, sweep
 from .plans import query as Q
 from .shared import shared_dir
 from .sources import files
+from .sql import register
 from .state import Folder, Store
 
 
@@ -445,6 +446,20 @@ def durations(spark, d):
     return docs.select("doc_id", text.duration(seconds).alias("took"), text.data_url(F.lit("text/plain"), F.encode(F.substring("text", 1, 20), "UTF-8")).alias("url"))
 
 
+def sql_search(spark, d):
+    """A search joined with the catalogue and grouped, in SQL text alone."""
+    register(library(spark, d).store, "lib_")
+    return spark.sql("""SELECT c.ocr_pending, f.page_count, count(*) AS pages, count(DISTINCT f.path) AS paths, round(min(f.rank), 6) AS best, round(sum(f.rank), 4) AS total
+        FROM lib_find('The thing, of', 'or') f JOIN lib_documents d USING (path) JOIN lib_contents c ON c.id = d.content_id WHERE d.created_at >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY c.ocr_pending, f.page_count""")
+
+
+def sql_find(spark, d):
+    """The best pages with all words, with their texts' beginnings, in SQL text alone."""
+    register(library(spark, d).store, "lib_")
+    return spark.sql("""SELECT f.path, round(f.rank, 6) AS rank, left(p.search_text, 40) AS beginning FROM lib_find('the THING', 'and') f JOIN lib_documents d USING (path)
+        JOIN lib_pages p ON p.content_id = d.content_id AND p.page_index = f.page_index ORDER BY f.rank, f.path LIMIT 25""")
+
+
 def laid_out(docs: DataFrame, top: str) -> DataFrame:
     """(name, bytes) of the files below top that a frame (name, data) is written to, by the tasks that read it. top lies in
     the folder that driver and executors share."""
@@ -524,7 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         read_range, read_context, doc_get, doc_list_range, doc_list_page, event_range, pending_contents, pending_documents, orphan_contents,
         representative_path, live_contents, all_stats, pending_stats, cost_estimate, dedupe_contents, sweep_plan, sweep_counters, sweep_apply,
         fts_prefix, fts_first, fts_concat, fts_column, path_appended, doc_by_path, content_by_checksum, page_one, insert_and_mark, insert_and_update,
-        upsert_pages, delete_pages, document_count, ocr_progress, document_ndjson, document_lines, durations, scan_tree, page_texts, found_texts, word_lists, gram_lists, find_after_commits, ocr_stored, soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
+        upsert_pages, delete_pages, document_count, ocr_progress, document_ndjson, document_lines, durations, scan_tree, sql_search, sql_find, page_texts, found_texts, word_lists, gram_lists, find_after_commits, ocr_stored, soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
     )
 }
 
@@ -605,6 +620,11 @@ ORACLES: dict[str, str] = {
     "document_ndjson": f"""WITH {SQL_LIBRARY}, l AS (SELECT f.id, path, created_at, page_count, ocr_pending FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted ORDER BY created_at DESC, f.id LIMIT 25)
         SELECT '{{"path":"' || path || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","modified_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","page_count":' || page_count || ',"ocr_pending":' || ocr_pending || ',"deleted":false}}' AS line FROM l""",
     "document_lines": f"""WITH {SQL_LIBRARY} SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '  ' || path || '  (' || page_count || ' pages)' AS line FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted""",
+    "sql_search": f"""WITH {SQL_LIBRARY}, {_bm25([_word("the"), _word("thing"), _word("of")], "n0 > 0 OR n1 > 0 OR n2 > 0", 1000000).replace("DL AS dl", "len(ws) AS dl")}
+        SELECT c.ocr_pending, h.page_count, count(*) AS pages, count(DISTINCT h.path) AS paths, round(min(h.rank), 6) AS best, round(sum(h.rank), 4) AS total
+        FROM hits h JOIN files f USING (path) JOIN contents c ON c.id = f.content_id WHERE f.created_at >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY c.ocr_pending, h.page_count""",
+    "sql_find": f"""WITH {SQL_LIBRARY}, {_bm25([_word("the"), _word("thing")], "n0 > 0 AND n1 > 0", 25).replace("DL AS dl", "len(ws) AS dl")}
+        SELECT path, round(rank, 6) AS rank, left(t, 40) AS beginning FROM hits JOIN files USING (path) JOIN texts USING (content_id)""",
     "page_texts": """WITH p AS (SELECT conv_id * 1000 + turn AS page_index, text FROM conversations) SELECT page_index, '--- page ' || (page_index + 1) || ' ---' AS line FROM p UNION ALL SELECT page_index, text FROM p""",
     "found_texts": f"""WITH {SQL_LIBRARY}, {_bm25([_word("heron"), _word("thing")], "n0 > 0 OR n1 > 0", 25).replace("DL AS dl", "len(ws) AS dl")}
         SELECT path || CASE WHEN page_count > 1 THEN ' (page 1)' ELSE '' END || CASE WHEN page_count % 2 = 0 THEN '' ELSE chr(10) || '    fts' END || chr(10) AS line FROM hits""",
