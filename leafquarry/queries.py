@@ -6,6 +6,7 @@ documents of several pages, `pages` and `events` give urls and times.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -39,26 +40,33 @@ class Library(C.Catalog):
         return self.store.indexes()
 
 
-#: The store that each folder of tables was last read into: (application, the table as it was then, store).
-_READ: dict[str, tuple[str, tuple[int, int], Store]] = {}
+#: The store that each table of each folder was last read into: (application, the table as it was then, store).
+_READ: dict[tuple[str, str], tuple[str, tuple[int, int], Store]] = {}
 
 
-def library(spark: SparkSession, d: str) -> Library:
-    """library_plan() as a store: written by the first query of a session, as a catalogue is by its sweeps, and then read. A
-    folder whose documents have changed since is read anew."""
-    now, app = Folder(spark, d).changed("documents.parquet"), spark.sparkContext.applicationId
-    if d not in _READ or _READ[d][:2] != (app, now):
-        if d in _READ and _READ[d][0] == app:
-            Folder(spark, _READ[d][2].path).remove("")
-        store = Store(spark, f"{shared_dir(spark)}/leafquarry-library-{uuid.uuid4().hex[:12]}")
-        plan = library_plan(spark, d)
-        store.save(C.Catalog(plan.contents, plan.documents, plan.pages.withColumn("search_text", text.normalize("markdown"))))
-        _READ[d] = app, now, store
-    store = _READ[d][2]
+def _stored(spark: SparkSession, d: str, name: str, plan: Callable[[SparkSession, str], C.Catalog]) -> Library:
+    """A catalogue as a store: written by the first query of a session, as by its sweeps and OCR runs, and then read. Where
+    the table has changed since, it is read anew."""
+    now, app = Folder(spark, d).changed(f"{name}.parquet"), spark.sparkContext.applicationId
+    if (d, name) not in _READ or _READ[d, name][:2] != (app, now):
+        if (d, name) in _READ and _READ[d, name][0] == app:
+            Folder(spark, _READ[d, name][2].path).remove("")
+        store, found = Store(spark, f"{shared_dir(spark)}/leafquarry-{name}-{uuid.uuid4().hex[:12]}"), plan(spark, d)
+        store.save(C.Catalog(found.contents, found.documents, found.pages.withColumn("search_text", text.normalize("markdown"))))
+        _READ[d, name] = app, now, store
+    store = _READ[d, name][2]
     held = store.load()
     return Library(held.contents, held.documents, held.pages, held.dealt, store)
 
 
+def library(spark: SparkSession, d: str) -> Library:
+    return _stored(spark, d, "documents", library_plan)
+
+
+def talk_library(spark: SparkSession, d: str) -> Library:
+    return _stored(spark, d, "conversations", talks)
+
+
 def library_plan(spark: SparkSession, d: str) -> C.Catalog:
     """documents as a catalogue of one-page files; each seventeenth is deleted, each fifth content waits for OCR."""
     docs = table(spark, d, "documents").withColumn("checksum", F.sha2("text", 256))
@@ -192,11 +200,11 @@ def snippets(spark, d):
 
 
 def read_range(spark, d):
-    return talks(spark, d).read("/talks/3.pdf", arguments.page_range(start=1, end=3))
+    return talk_library(spark, d).store.at_path("/talks/3.pdf").read("/talks/3.pdf", arguments.page_range(start=1, end=3))
 
 
 def read_context(spark, d):
-    return talks(spark, d).read("/talks/5.pdf", arguments.page_range(page=1, context=2))
+    return talk_library(spark, d).store.at_path("/talks/5.pdf").read("/talks/5.pdf", arguments.page_range(page=1, context=2))
 
 
 def doc_get(spark, d):
@@ -367,7 +375,8 @@ def path_appended(spark, d):
 
 def doc_by_path(spark, d):
     lib = library(spark, d)
-    return lib.by_path(lib.documents.agg(F.min("path")).first()[0]).select("id", "path", "checksum", "deleted")
+    path = lib.documents.agg(F.min("path")).first()[0]
+    return lib.store.at_path(path).by_path(path).select("id", "path", "checksum", "deleted")
 
 
 def content_by_checksum(spark, d):
@@ -376,7 +385,7 @@ def content_by_checksum(spark, d):
 
 
 def page_one(spark, d):
-    return talks(spark, d).read("/talks/3.pdf", (1, 1)).select("markdown")
+    return talk_library(spark, d).store.at_path("/talks/3.pdf").read("/talks/3.pdf", (1, 1)).select("markdown")
 
 
 def insert_and_mark(spark, d):
@@ -446,6 +455,20 @@ def durations(spark, d):
     return docs.select("doc_id", text.duration(seconds).alias("took"), text.data_url(F.lit("text/plain"), F.encode(F.substring("text", 1, 20), "UTF-8")).alias("url"))
 
 
+def path_like(spark, d):
+    """Path words in which % and _ stand for anything and for one character."""
+    return _find(library(spark, d), query="SRC1_en 1%.pdf", limit=40, path_fallback=True)
+
+
+def migrated_pages(spark, d):
+    """Pages of a folder in the first layout, which had no search_text, after it was opened."""
+    lib, at = talks(spark, d), f"{shared_dir(spark)}/leafquarry-old-{uuid.uuid4().hex[:12]}"
+    for name in ("contents", "documents", "pages"):
+        getattr(lib, name).write.parquet(f"{at}/{name}/v=1")
+    Folder(spark, at).write("manifest.json", json.dumps({"schema": 1, "version": 1, "tables": dict.fromkeys(("contents", "documents", "pages"), 1), "next_id": {"contents": 1, "documents": 1}}))
+    return Store(spark, at).load().pages.select("content_id", "page_index", "markdown", "search_text")
+
+
 def sql_search(spark, d):
     """A search joined with the catalogue and grouped, in SQL text alone."""
     register(library(spark, d).store, "lib_")
@@ -539,7 +562,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         read_range, read_context, doc_get, doc_list_range, doc_list_page, event_range, pending_contents, pending_documents, orphan_contents,
         representative_path, live_contents, all_stats, pending_stats, cost_estimate, dedupe_contents, sweep_plan, sweep_counters, sweep_apply,
         fts_prefix, fts_first, fts_concat, fts_column, path_appended, doc_by_path, content_by_checksum, page_one, insert_and_mark, insert_and_update,
-        upsert_pages, delete_pages, document_count, ocr_progress, document_ndjson, document_lines, durations, scan_tree, sql_search, sql_find, page_texts, found_texts, word_lists, gram_lists, find_after_commits, ocr_stored, soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
+        upsert_pages, delete_pages, document_count, ocr_progress, document_ndjson, document_lines, durations, scan_tree, sql_search, sql_find, path_like, migrated_pages, page_texts, found_texts, word_lists, gram_lists, find_after_commits, ocr_stored, soft_delete, orphan_cleanup, replace_pages, exclude_globs, classify_ext, ocr_annotations, ocr_run, join_aggregate,
     )
 }
 
@@ -620,6 +643,8 @@ ORACLES: dict[str, str] = {
     "document_ndjson": f"""WITH {SQL_LIBRARY}, l AS (SELECT f.id, path, created_at, page_count, ocr_pending FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted ORDER BY created_at DESC, f.id LIMIT 25)
         SELECT '{{"path":"' || path || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","modified_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","page_count":' || page_count || ',"ocr_pending":' || ocr_pending || ',"deleted":false}}' AS line FROM l""",
     "document_lines": f"""WITH {SQL_LIBRARY} SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '  ' || path || '  (' || page_count || ' pages)' AS line FROM files f JOIN contents c ON c.id = f.content_id WHERE NOT deleted""",
+    "path_like": f"""{_LIB} SELECT path, 0 AS page_index, page_count, CAST(0 AS DOUBLE) AS rank, 'path' AS search_source FROM {_VIEW} WHERE NOT deleted AND path ILIKE '%src1_en%' AND path ILIKE '%1%.pdf%' ORDER BY path LIMIT 40""",
+    "migrated_pages": r"""SELECT conv_id AS content_id, CAST(turn AS INTEGER) AS page_index, text AS markdown, trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS search_text FROM conversations""",
     "sql_search": f"""WITH {SQL_LIBRARY}, {_bm25([_word("the"), _word("thing"), _word("of")], "n0 > 0 OR n1 > 0 OR n2 > 0", 1000000).replace("DL AS dl", "len(ws) AS dl")}
         SELECT c.ocr_pending, h.page_count, count(*) AS pages, count(DISTINCT h.path) AS paths, round(min(h.rank), 6) AS best, round(sum(h.rank), 4) AS total
         FROM hits h JOIN files f USING (path) JOIN contents c ON c.id = f.content_id WHERE f.created_at >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY c.ocr_pending, h.page_count""",

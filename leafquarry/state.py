@@ -256,11 +256,18 @@ class Store:
         must not write anything that a second call would not replace."""
         for k in range(TRIES):
             self.refresh()
-            base = self.load()
-            change = make(base)
-            if change is None:
-                return base
-            if self._try(change):
+            base, version = self.load(), self.state["version"]
+            try:
+                change = make(base)
+                if change is None:
+                    return base
+                done = self._try(change)
+            except Exception:
+                self.refresh()
+                if self.state["version"] < version + KEEP:
+                    raise
+                continue  # so many commits came in between that what was read may be gone
+            if done:
                 self.forget("change-contents", "change-documents")
                 self._tidy()
                 self._merge()
@@ -304,7 +311,12 @@ class Store:
             if delta is not None and delta.added is not None:
                 self._add(table, delta.added, state, made)
 
-        side_by_side(one, TABLES)
+        try:
+            side_by_side(one, TABLES)
+        except Exception:
+            for name in made:
+                self.folder.remove(name)
+            raise
         return self._enter(state, made)
 
     def _enter(self, state: dict, made: list[str]) -> bool:
