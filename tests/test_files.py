@@ -158,6 +158,20 @@ def test_sinks(spark):
     assert sinks.progress_line(1, 2, "OK", "a") == "[1/2] OK: a"
 
 
+def test_lines(spark):
+    """Lines as columns: times with and without a fraction, nulls, and a page of results with its snippets."""
+    from datetime import datetime, timezone
+
+    at = datetime(2025, 1, 2, 3, 4, 5, 120000, tzinfo=timezone.utc)
+    docs = spark.createDataFrame([("/a.pdf", at, at.replace(microsecond=0), None, True, False)], "path string, created_at timestamp, modified_at timestamp, page_count int, ocr_pending boolean, deleted boolean")
+    assert list(sinks.document_json(docs)) == ['{"path":"/a.pdf","created_at":"2025-01-02T03:04:05.12Z","modified_at":"2025-01-02T03:04:05Z","page_count":null,"ocr_pending":true,"deleted":false}']
+    assert list(sinks.documents_text(docs.fillna(3)))[0] == "2025-01-02T03:04:05.12Z  /a.pdf  (3 pages)"
+    assert list(sinks.document_text(docs))[1:5] == ["created_at: 2025-01-02T03:04:05.12Z", "modified_at: 2025-01-02T03:04:05Z", "page_count: None", "ocr_pending: true"]
+    found = spark.createDataFrame([("/b.pdf", 2, 3, "x >>>y<<<\nz", -1.0, "fts"), ("/c.pdf", 0, 1, "", 0.0, "path")], FOUND)
+    assert [r.line for r in sinks.found_lines(found, verbose=True).collect()] == ["/b.pdf (page 3)\n    x y\n    z\n", "/c.pdf\n"]
+    assert [r.line for r in sinks.found_lines(found).collect()] == ["/b.pdf (page 3)", "/c.pdf"]
+
+
 def test_config(tmp_path):
     assert config.load(str(tmp_path / "none")) == config.Config()
     (tmp_path / "c.yaml").write_text("paths:\n  - /a\n  - '/b'\ndatabase_path: /db\n")
@@ -187,6 +201,9 @@ def test_cli(spark, tree, tmp_path, capsys):
     assert "2 succeeded, 0 failed" in run("ocr", "--provider", "leafquarry.queries:FakeProvider")[1].out
     found = [json.loads(x) for x in run("find", "images", "two", "--json")[1].out.splitlines()]
     assert [(f["search_source"], f["page_index"], f["page_count"]) for f in found] == [("fts", 0, 2)]
+    rows = [json.loads(x) for x in run("sql", "SELECT f.path, d.page_count FROM find('Two, images', 'and') f JOIN documents d USING (path)")[1].out.splitlines()]
+    assert [(r["path"][-7:], r["page_count"]) for r in rows] == [("two.pdf", 2)]
+    assert run("read", "--path", str(tree / "images/two.pdf"), "--page", "0")[1].out.startswith("--- page 1 ---")
     os.remove(tree / "images/f.png")
     assert "1 deleted" in run("sweep", str(tree / "images"))[1].out
 
