@@ -40,8 +40,10 @@ def planted() -> list[str | None]:
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("planted")
-    spark.createDataFrame(list(enumerate(planted())), "doc_id long, text string").repartition(3).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([(i, t, ("en", "fr", None)[i % 3]) for i, t in enumerate(planted())], "doc_id long, text string, lang string").repartition(3).write.parquet(str(at / "documents.parquet"))
     spark.createDataFrame([(k % 5, t) for k, t in enumerate(ITEMS)], "item_id long, text string").coalesce(1).write.parquet(str(at / "benchmark.parquet"))
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 150, 2)] + [(4, 1, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(at / "labels.parquet"))
     return str(at)
 
 
@@ -52,7 +54,7 @@ def close(v):
 @pytest.mark.parametrize("name", [k for k in ORACLES if k != "op4_url_filter"])
 def test_sql(spark, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     found = con.execute(ORACLES[name])
     columns = sorted(d[0] for d in found.description)
