@@ -8,9 +8,11 @@
    standard deviations) below the threshold are passed over.
 4. The others are confirmed on the full sets, inside the bucket, which gives out a forest of links only: pairs that links
    so far have joined are not looked at, since they can't change the groups, and no candidate pair leaves a block.
-A bucket of more than CHUNK classes (or CHUNK_SHINGLES shingles) is dealt out in chunks by hash: first each chunk for
-itself; then pairs of chunks, but none within a component that the first links already make. So no task holds more than
-two chunks, and what a hot bucket of near copies costs is its classes, not their pairs.
+A bucket of more than CHUNK classes (or CHUNK_SHINGLES shingles) is dealt out in chunks by hash, each looked at for itself.
+What these links leave apart in such buckets is not compared chunk by chunk: two sets that link share one of the rarest
+n - ceil(t n) + 1 shingles of either, so classes meet only under such a shingle, and there only in blocks of like size and of
+several components. So a passage that unlike texts share brings none of them together, and a hot bucket of near copies
+costs its classes, not their pairs. How rare a shingle is comes from a table of SLOTS counts; any fixed order is exact.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are kept; texts under five words are one
 shingle, the whole sequence; ids may repeat (each row is judged, equal ids are kept together) or be null (kept only where
@@ -31,7 +33,7 @@ from .bpe import ragged
 from .common import Scratch, by_block, connected_components, free_name, row_key, settled, ship_package
 from .vectext import chunks, lower_ascii, mix, span_hashes, windows, words
 
-SHINGLE, BANDS, ROWS, SKETCH_HASHES, SKETCH_BITS, MARGIN, CHUNK, CHUNK_SHINGLES = 5, 28, 4, 512, 2048, 0.09, 1024, 1 << 22
+SHINGLE, BANDS, ROWS, SKETCH_HASHES, SKETCH_BITS, MARGIN, CHUNK, CHUNK_SHINGLES, SLOTS = 5, 28, 4, 512, 2048, 0.09, 1024, 1 << 22, 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS + SKETCH_HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, BANDS * ROWS + SKETCH_HASHES, dtype=np.uint32)
@@ -125,24 +127,33 @@ def _sketched(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(sketch, "cls binary, shingles array<long>, sketch binary")
 
 
+def partners(i: int, label: np.ndarray, chunk: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int, most: int) -> np.ndarray:
+    """The later classes of a block that may link with class i: of other components and (in a block of two chunks) of the
+    other chunk, of a size that can reach the threshold, and with odd sketches that differ in at most `most` bits."""
+    j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+    if (chunk != chunk[0]).any():
+        j = j[chunk[j] != chunk[i]]
+    j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+    return j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64) <= most] if len(j) else j
+
+
+def rare_shingles(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of which a set must share one with any set it links with: all but ceil(percent n / 100) - 1, the rarest
+    by counts of slots, then by value."""
+    return s[np.lexsort((s, counts[s & (len(counts) - 1)]))[: len(s) - (percent * len(s) + 99) // 100 + 1]]
+
+
 def forest(cls: list[bytes], chunk: np.ndarray, component: np.ndarray, sketch: np.ndarray, flat: np.ndarray, offs: np.ndarray, percent: int, most: int) -> list[tuple[bytes, bytes]]:
     """Links that join the classes of one block as all its links would: a forest, so fewer than it has classes.
 
-    A pair is looked at where its classes lie in different components, by the links so far, and (in a block of two chunks)
-    in different chunks; where its odd sketches differ in at most `most` bits; and then on the full sets."""
+    A pair is looked at where its classes are partners(), by the links so far, and then on the full sets."""
     n, size = len(cls), np.diff(offs)
     label = np.unique(component, return_inverse=True)[1]
     codes = np.unique(flat, return_inverse=True)[1]
     mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
-    across = bool((chunk != chunk[0]).any())
     out = []
     for i in range(n - 1):
-        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if across:
-            j = j[chunk[j] != chunk[i]]
-        j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-        if len(j):
-            j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
+        j = partners(i, label, chunk, size, sketch, percent, most)
         if not len(j):
             continue
         mark[codes[offs[i] : offs[i + 1]]] = True
@@ -182,33 +193,92 @@ def _links(members: DataFrame, percent: int, most: int) -> DataFrame:
     return dealt.mapInArrow(link, "a binary, b binary")
 
 
+def _hopeful(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """Of members (block, cls, chunk, component, n, sketch) those with a partner in their block, so that full sets travel for
+    them alone."""
+
+    def look(batches):
+        for _, t in by_block(batches):
+            if len(t) < 2:
+                continue
+            t = t.combine_chunks()
+            label = np.unique(np.array(t.column("component").to_pylist(), object), return_inverse=True)[1]
+            chunk, size = t.column("chunk").to_numpy(), t.column("n").to_numpy()
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(t), -1)
+            hope = np.zeros(len(t), bool)
+            for i in range(len(t) - 1):
+                j = partners(i, label, chunk, size, sketch, percent, most)
+                hope[j] = True
+                hope[i] |= len(j) > 0
+            if hope.any():
+                yield from t.select(["block", "cls", "chunk", "component"]).take(pa.array(np.flatnonzero(hope))).to_batches()
+
+    dealt = members.select("block", "cls", "chunk", "component", "n", "sketch").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(look, "block long, cls binary, chunk long, component binary")
+
+
 def _parts(size, total):
     """Into how many chunks classes are dealt, by their number and their shingles."""
     return F.greatest(F.ceil(size / CHUNK), F.ceil(total / CHUNK_SHINGLES)).cast("int")
 
 
-def _across(large: DataFrame, component: DataFrame) -> DataFrame:
-    """(block, cls, chunk, component) of buckets that have several chunks: pairs of chunks that can still hold a link.
+def _undecided(members: DataFrame, component: DataFrame) -> DataFrame:
+    """members (key, cls, n) with their component, of keys that several components share."""
+    held = members.join(component.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    label = F.xxhash64("component")
+    several = held.groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
+    return held.join(several, "key", "left_semi")
+
 
-    Within a bucket, a component of more than a chunk has chunks of its own and the others share some; two chunks of one
-    component need no block. So the rows grow with the classes outside the large components, not with the pairs within."""
-    held = large.join(component.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    per = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, cls, n): each class under its rare_shingles(). The counts are SLOTS at most, whatever there is to count."""
+    slot = F.col("s").bitwiseAND(F.lit(SLOTS - 1).cast("long")).alias("slot")
+    found = sets.select(F.explode("shingles").alias("s")).groupBy(slot).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("shingles")
+            offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k in range(len(b)):
+                keys = rare_shingles(flat[offs[k] : offs[k + 1]], shared.value, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b.column("cls")[k].as_py()] * len(keys), pa.binary()), pa.array(np.full(len(keys), offs[k + 1] - offs[k], np.int64))], names=["key", "cls", "n"])
+
+    return sets.select("cls", "shingles").mapInArrow(run, "key long, cls binary, n long")
+
+
+def _across(members: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """(block, cls, chunk, component, n) from members (key, cls, n): within each key, chunks, and pairs of chunks, that can
+    still hold a link.
+
+    Classes are binned by size, so that only those of one bin or of neighbouring bins can link. In a bin, a component of
+    more than a chunk has chunks of its own and the others share some; two chunks of one component need no block. So the
+    rows grow with the classes outside the large components, not with the pairs within. Keys often bring the same classes
+    together: of blocks alike in all their members one stays."""
+    step = max(-math.log(percent / 100), 1e-6) * (1 + 1e-6)  # a little wide, so that rounding parts no pair
+    held = _undecided(members, component).withColumn("bin", F.floor(F.log("n") / step).cast("long"))
+    per = held.groupBy("key", "component", "bin").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     own = (F.col("size") > CHUNK) | (F.col("total") > CHUNK_SHINGLES)
     per = per.withColumn("family", F.when(own, F.col("component")).otherwise(F.expr("X''")))
-    several = per.groupBy("key").agg(F.count(F.lit(1)).alias("components")).where("components > 1").select("key")
-    families = per.join(several, "key", "left_semi").groupBy("key", "family").agg(_parts(F.sum("size"), F.sum("total")).alias("parts"))
-    label = F.xxhash64("family", "part")
-    chunks = families.select("key", "family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("key", "family", label.alias("chunk"))
-    one, two = (chunks.select("key", F.col("family").alias(f"f{k}"), F.col("chunk").alias(f"c{k}")) for k in (1, 2))
+    families = per.groupBy("key", "family", "bin").agg(_parts(F.sum("size"), F.sum("total")).alias("parts"))
+    label = F.xxhash64("family", "bin", "part")
+    chunks = families.select("key", "family", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("key", "family", "bin", label.alias("chunk"))
+    one = chunks.select("key", "bin", F.col("family").alias("f1"), F.col("chunk").alias("c1"))
+    near = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")
+    two = chunks.select("key", near, F.col("family").alias("f2"), F.col("chunk").alias("c2"))
     alike = (F.col("f1") == F.col("f2")) & (F.col("f1") != F.expr("X''"))
-    blocks = one.join(two, "key").where((F.col("c1") <= F.col("c2")) & ~alike)
+    blocks = one.join(two, ["key", "bin"]).where((F.col("c1") <= F.col("c2")) & ~alike)
     blocks = blocks.select("key", "c1", "c2", F.xxhash64("key", "c1", "c2").alias("block"))
-    of = per.select("key", "component", "family").join(families, ["key", "family"])
-    held = held.join(of, ["key", "component"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    held = held.select("key", "cls", "component", label.alias("chunk"))
+    of = per.select("key", "component", "bin", "family").join(families, ["key", "family", "bin"])
+    held = held.join(of, ["key", "component", "bin"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    held = held.select("key", "cls", "component", "n", label.alias("chunk"))
     sides = [blocks.select("key", F.col("c1").alias("chunk"), "block"), blocks.where("c1 <> c2").select("key", F.col("c2").alias("chunk"), "block")]
-    return held.join(sides[0].unionByName(sides[1]), ["key", "chunk"]).select("block", "cls", "chunk", "component")
+    held = held.join(sides[0].unionByName(sides[1]), ["key", "chunk"]).select("block", "cls", "chunk", "component", "n")
+    marks = [F.bit_xor(F.xxhash64(*x)).alias(f"x{k}") for k, x in enumerate((("cls", "chunk"), ("chunk", "cls")))]
+    kinds = held.groupBy("block").agg(F.count(F.lit(1)).alias("members"), *marks).where("members > 1")
+    return held.join(kinds.groupBy("members", "x0", "x1").agg(F.min("block").alias("block")).select("block"), "block", "left_semi")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -241,8 +311,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = scratch.write(_links(blocks.join(sets, "cls").withColumn("component", F.col("cls")), percent, most))
     component = connected_components(spark, links, scratch)
     large = dealt.where("parts > 1").select("key", "cls", "n")
-    if not large.isEmpty():  # then between the chunks of large buckets, where these links leave several components
-        more = scratch.write(_links(_across(large, component).join(sets, "cls"), percent, most))
+    if not large.isEmpty():  # then what these links leave apart in large buckets, by the rarest shingles
+        apart = scratch.write(_undecided(large, component).select("cls").distinct())
+        prefixes = scratch.write(_prefixes(sets.join(apart, "cls", "left_semi"), percent))
+        members = scratch.write(_across(prefixes, component, percent))
+        hopeful = scratch.write(_hopeful(members.join(sets.select("cls", "sketch"), "cls"), percent, most))
+        more = scratch.write(_links(hopeful.join(sets, "cls"), percent, most))
         component = connected_components(spark, links.unionByName(more), scratch)
 
     labelled = classes.select("cls", "lead").join(component.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "lead", F.coalesce("component", "cls").alias("component"))
