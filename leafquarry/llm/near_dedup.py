@@ -33,7 +33,7 @@ from .bpe import ragged
 from .common import Scratch, by_block, connected_components, free_name, row_key, settled, ship_package
 from .vectext import chunks, lower_ascii, mix, span_hashes, windows, words
 
-SHINGLE, BANDS, ROWS, SKETCH_HASHES, SKETCH_BITS, MARGIN, CHUNK, CHUNK_SHINGLES, SLOTS = 5, 28, 4, 512, 2048, 0.09, 1024, 1 << 22, 1 << 21
+SHINGLE, BANDS, ROWS, SKETCH_HASHES, SKETCH_BITS, MARGIN, CHUNK, CHUNK_SHINGLES, SLOTS, FIRST = 5, 28, 4, 512, 2048, 0.09, 1024, 1 << 22, 1 << 21, 8
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS + SKETCH_HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, BANDS * ROWS + SKETCH_HASHES, dtype=np.uint32)
@@ -217,21 +217,33 @@ def _hopeful(members: DataFrame, percent: int, most: int) -> DataFrame:
     return dealt.mapInArrow(look, "block long, cls binary, chunk long, component binary")
 
 
+def _blocks(dealt: DataFrame) -> DataFrame:
+    """(block, cls, chunk) of the classes (key, cls, chunk) that share a chunk of a bucket. The same classes often meet in
+    many bands: one block of them is enough."""
+    blocks = dealt.groupBy("key", "chunk").agg(F.sort_array(F.collect_list("cls")).alias("members")).where(F.size("members") > 1)
+    blocks = blocks.groupBy(F.xxhash64("members").alias("block"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
+    return blocks.select("block", F.explode("members").alias("cls"), F.lit(0).cast("long").alias("chunk"))
+
+
 def _parts(size, total):
     """Into how many chunks classes are dealt, by their number and their shingles."""
     return F.greatest(F.ceil(size / CHUNK), F.ceil(total / CHUNK_SHINGLES)).cast("int")
 
 
-def _undecided(members: DataFrame, component: DataFrame) -> DataFrame:
-    """members (key, cls, n) with their component, of keys that several components share."""
-    held = members.join(component.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+def _labelled(members: DataFrame, component: DataFrame) -> DataFrame:
+    """members with their component, by their column cls."""
+    return members.join(component.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def _undecided(labelled: DataFrame) -> DataFrame:
+    """The rows (key, cls, n, component) of keys that several components share."""
     label = F.xxhash64("component")
-    several = held.groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
-    return held.join(several, "key", "left_semi")
+    several = labelled.groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
+    return labelled.join(several, "key", "left_semi")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, cls, n): each class under its rare_shingles(). The counts are SLOTS at most, whatever there is to count."""
+    """(key, cls, n, component): each class of sets (cls, shingles, component) under its rare_shingles(). The counts are SLOTS at most, whatever there is to count."""
     slot = F.col("s").bitwiseAND(F.lit(SLOTS - 1).cast("long")).alias("slot")
     found = sets.select(F.explode("shingles").alias("s")).groupBy(slot).agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
@@ -244,13 +256,20 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             for k in range(len(b)):
                 keys = rare_shingles(flat[offs[k] : offs[k + 1]], shared.value, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b.column("cls")[k].as_py()] * len(keys), pa.binary()), pa.array(np.full(len(keys), offs[k + 1] - offs[k], np.int64))], names=["key", "cls", "n"])
+                cls, component = (pa.array([b.column(c)[k].as_py()] * len(keys), pa.binary()) for c in ("cls", "component"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), cls, pa.array(np.full(len(keys), offs[k + 1] - offs[k], np.int64)), component], names=["key", "cls", "n", "component"])
+
+    return sets.select("cls", "shingles", "component").mapInArrow(run, "key long, cls binary, n long, component binary")
+
 
-    return sets.select("cls", "shingles").mapInArrow(run, "key long, cls binary, n long")
+def _first_of(held: DataFrame) -> DataFrame:
+    """Of rows (key, cls, n, component) up to FIRST for each key and component, by hash."""
+    slot = F.pmod(F.xxhash64("cls"), F.lit(FIRST)).alias("slot")
+    return held.groupBy("key", "component", slot).agg(F.min(F.struct("cls", "n")).alias("c")).select("key", "c.*", "component")
 
 
-def _across(members: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """(block, cls, chunk, component, n) from members (key, cls, n): within each key, chunks, and pairs of chunks, that can
+def _across(held: DataFrame, percent: int) -> DataFrame:
+    """(block, cls, chunk, component, n) from rows (key, cls, n, component): within each key, chunks, and pairs of chunks, that can
     still hold a link.
 
     Classes are binned by size, so that only those of one bin or of neighbouring bins can link. In a bin, a component of
@@ -258,7 +277,7 @@ def _across(members: DataFrame, component: DataFrame, percent: int) -> DataFrame
     rows grow with the classes outside the large components, not with the pairs within. Keys often bring the same classes
     together: of blocks alike in all their members one stays."""
     step = max(-math.log(percent / 100), 1e-6) * (1 + 1e-6)  # a little wide, so that rounding parts no pair
-    held = _undecided(members, component).withColumn("bin", F.floor(F.log("n") / step).cast("long"))
+    held = held.withColumn("bin", F.floor(F.log("n") / step).cast("long"))
     per = held.groupBy("key", "component", "bin").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     own = (F.col("size") > CHUNK) | (F.col("total") > CHUNK_SHINGLES)
     per = per.withColumn("family", F.when(own, F.col("component")).otherwise(F.expr("X''")))
@@ -304,17 +323,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = scratch.write(_sketched(src.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("cls", "text")))
     most = most_differing_bits(percent / 100 - MARGIN)
 
-    # first within each chunk of a bucket; the same classes often meet in many bands: one block of them is enough
-    blocks = dealt.groupBy("key", "chunk").agg(F.sort_array(F.collect_list("cls")).alias("members")).where(F.size("members") > 1)
-    blocks = blocks.groupBy(F.xxhash64("members").alias("block"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
-    blocks = blocks.select("block", F.explode("members").alias("cls"), F.lit(0).cast("long").alias("chunk"))
-    links = scratch.write(_links(blocks.join(sets, "cls").withColumn("component", F.col("cls")), percent, most))
+    links = scratch.write(_links(_blocks(dealt).join(sets, "cls").withColumn("component", F.col("cls")), percent, most))
     component = connected_components(spark, links, scratch)
     large = dealt.where("parts > 1").select("key", "cls", "n")
-    if not large.isEmpty():  # then what these links leave apart in large buckets, by the rarest shingles
-        apart = scratch.write(_undecided(large, component).select("cls").distinct())
-        prefixes = scratch.write(_prefixes(sets.join(apart, "cls", "left_semi"), percent))
-        members = scratch.write(_across(prefixes, component, percent))
+    if not large.isEmpty():
+        # the chunks of one group of copies are components of their own so far: a few classes of each join most of them
+        few = scratch.write(_first_of(_undecided(scratch.write(_labelled(large, component)))))
+        parts = few.groupBy("key").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+        dealt = few.select("key", "cls").join(parts, "key").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        few = _blocks(dealt).join(few.select("cls", "component").distinct(), "cls").join(sets, "cls")
+        links = links.unionByName(scratch.write(_links(few, percent, most)))
+        component = connected_components(spark, links, scratch)
+        # what is apart still meets by its rarest shingles
+        apart = scratch.write(_undecided(scratch.write(_labelled(large, component))).select("cls", "component").distinct())
+        prefixes = scratch.write(_prefixes(sets.join(apart, "cls"), percent))
+        members = scratch.write(_across(scratch.write(_undecided(prefixes)), percent))
         hopeful = scratch.write(_hopeful(members.join(sets.select("cls", "sketch"), "cls"), percent, most))
         more = scratch.write(_links(hopeful.join(sets, "cls"), percent, most))
         component = connected_components(spark, links.unionByName(more), scratch)
