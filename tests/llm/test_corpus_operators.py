@@ -96,60 +96,6 @@ def test_large_bucket_is_dealt_in_chunks(spark, monkeypatch):
     assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == brute.components(rows, 85)
 
 
-def test_unlike_texts_of_a_hot_bucket_do_not_meet(spark, monkeypatch):
-    """Texts that share half their words fill a bucket of many chunks; near copies among them, of like and unlike size, are
-    found all the same, and the blocks hold fewer rows than pairs of chunks would."""
-    monkeypatch.setattr(near_dedup, "CHUNK", 1)
-    every = near_dedup._blocks
-    monkeypatch.setattr(near_dedup, "_blocks", lambda dealt: every(dealt).limit(0))  # all is left to the rarest shingles
-    r = random.Random(5)
-    passage = [f"p{k}" for k in range(60)]
-    rows = []
-    for i in range(90):
-        w = passage + [f"u{i}x{k}" for k in range(30 + i % 7)]
-        rows.append((3 * i, " ".join(w)))
-        if i % 9 == 0:
-            w = list(w)
-            w[r.randrange(len(w))] = "changed"
-            rows.append((3 * i + 1, " ".join(w)))
-            rows.append((3 * i + 2, " ".join([*w, *(f"more{i}x{k}" for k in range(7))])))
-    seen = []
-    prefixes, across = near_dedup._prefixes, near_dedup._across
-
-    def apart(sets, percent):
-        seen.append(sets.count())
-        return prefixes(sets, percent)
-
-    def blocks(held, percent):
-        seen.append(across(held, percent).count())
-        return across(held, percent)
-
-    monkeypatch.setattr(near_dedup, "_prefixes", apart)
-    monkeypatch.setattr(near_dedup, "_across", blocks)
-    got = near_dedup.near_dedup(frame(spark, rows), percent=85).collect()
-    assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == brute.components(rows, 85)
-    assert len({g.component_id for g in got}) < len(rows) - 15
-    classes, members = seen
-    assert classes > 60 and 0 < members < classes * (classes - 1)
-
-
-@pytest.mark.parametrize("percent", [80, 85, 100])
-def test_sets_that_link_share_a_rare_shingle(percent):
-    rng = np.random.default_rng(percent)
-    counts = rng.integers(0, 5, 256)
-    for _ in range(2000):
-        n, m = (int(x) for x in rng.integers(1, 60, 2))
-        n, m = min(n, m), max(n, m)
-        common = min(n, -(-percent * (n + m) // (100 + percent)))
-        pool = np.unique(rng.integers(0, 2**62, n + m + 9))
-        pool = rng.permutation(pool)[: n + m]
-        a, b = pool[:n], np.concatenate([pool[:common], pool[n : n + m - common]])
-        if 100 * common >= percent * (n + m - common):
-            assert set(near_dedup.rare_shingles(a, counts, percent)) & set(near_dedup.rare_shingles(b, counts, percent))
-            step = max(-np.log(percent / 100), 1e-6) * (1 + 1e-6)
-            assert abs(np.floor(np.log(n) / step) - np.floor(np.log(m) / step)) <= 1
-
-
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     for j in (0.8, 0.9):
